@@ -1,6 +1,6 @@
 """Named query registry: importing this package registers every query."""
 
-from provenance_spark.plans import corpus_queries  # noqa: F401
+from provenance_spark.plans import corpus_queries, profile_queries, text_queries  # noqa: F401
 from provenance_spark.plans.registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]

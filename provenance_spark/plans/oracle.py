@@ -101,10 +101,14 @@ def lemmatize_sql(tokens: str, lemma_map: dict[str, str]) -> str:
 NGRAM_RE = r"([\p{L}\p{N}_]{2,})"
 
 
-def ngram_terms_sql(text: str) -> str:
-    u = f"regexp_extract_all(lower({text}), {sql_str(NGRAM_RE)}, 1)"
-    return (f"list_concat({u}, list_transform(range(1, len({u})), "
-            f"lambda i: {u}[i] || ' ' || {u}[i + 1]))")
+def ngram_terms_sql(tokens_col: str) -> str:
+    """1-2-grams from a column of unigram lists (a column, so the lambda does not re-run the regex)."""
+    return (f"list_concat({tokens_col}, list_transform(range(1, len({tokens_col})), "
+            f"lambda i: {tokens_col}[i] || ' ' || {tokens_col}[i + 1]))")
+
+
+def unigrams_sql(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), {sql_str(NGRAM_RE)}, 1)"
 
 
 def keras_words_sql(text: str) -> str:
