@@ -108,18 +108,22 @@ def fit_sequence_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return ranked.select("word", "n", (F.col("pos") + 2).alias("id"))
 
 
-def word_id_map(vocab: DataFrame, limit: int = MAX_BROADCAST_VOCAB) -> dict[str, int]:
-    rows = vocab.select("word", "id").collect()
-    if len(rows) > limit:
-        raise ValueError("sequence vocabulary larger than the inline-map bound")
-    return {r["word"]: int(r["id"]) for r in rows}
-
-
-def text_to_sequence(words, word_ids: dict[str, int], oov_id: int = 1):
-    """word -> id; unknown (or cut) words -> OOV. A map lookup per element, no shuffle."""
-    keys = sorted(word_ids)
-    m = F.map_from_arrays(F.lit(keys), F.lit([word_ids[k] for k in keys]))
-    return F.transform(words, lambda w: F.coalesce(F.try_element_at(m, w), F.lit(oov_id)))
+def text_to_sequence(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", words_col: str = "words",
+                     oov_id: int = 1, num_partitions: int | None = None) -> DataFrame:
+    """(doc, seq) with word -> id, unknown (or cut) words -> OOV, in word order.
+
+    Documents are hash-partitioned by id once; the vocabulary (bounded by ``num_words``) is
+    broadcast, so the lookup is a hash join and regrouping the words of a document needs no
+    further shuffle. Documents without words get an empty sequence.
+    """
+    n = num_partitions or shuffle_partitions(docs.sparkSession)
+    words = (docs.repartition(n, id_col)
+             .select(id_col, F.posexplode_outer(words_col).alias("_pos", "word")))
+    v = F.broadcast(vocab.select("word", F.col("id").alias("_id")))
+    item = F.when(F.col("word").isNotNull(),
+                  F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(oov_id)).alias("_id")))
+    grouped = words.join(v, "word", "left").groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return grouped.select(id_col, F.transform("_items", lambda s: s["_id"]).alias("seq"))
 
 
 def pad_sequence(seq, maxlen: int = 100, value: int = 0):

@@ -145,9 +145,8 @@ def q_seq_vocabulary(spark, sf_dir):
 
 
 def sequences(spark, sf_dir):
-    ids = ft.word_id_map(sequence_vocabulary(spark, sf_dir))
-    d = docs(spark, sf_dir)
-    return d.select("doc_id", ft.text_to_sequence(tx.keras_words(F.col("text")), ids).alias("seq"))
+    d = docs(spark, sf_dir).select("doc_id", tx.keras_words(F.col("text")).alias("words"))
+    return ft.text_to_sequence(d, sequence_vocabulary(spark, sf_dir))
 
 
 @query("text_sequences", "F5", f"""

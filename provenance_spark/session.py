@@ -59,3 +59,9 @@ def workspace_path(spark: SparkSession, name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (survives lost executors)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
