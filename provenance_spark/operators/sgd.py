@@ -87,12 +87,24 @@ def _initial_t(losses: Sequence[str]) -> np.ndarray:
     return 1.0 / (eta0 * ALPHA)
 
 
-def sgd_epoch(rows: pd.DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str], step: int) -> int:
+def compact_row(idx, val, compact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index/value arrays of one row; with ``compact`` duplicate indices are summed and the row is
+    scaled to unit L2 norm (hashed features)."""
+    idx = np.asarray(idx, dtype=np.int64)
+    val = np.asarray(val, dtype=np.float64)
+    if compact and len(idx):
+        idx, inv = np.unique(idx, return_inverse=True)
+        val = np.bincount(inv, weights=val)
+        val = val / np.linalg.norm(val)
+    return idx, val
+
+
+def sgd_epoch(rows: pd.DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str], step: int,
+              compact: bool = False) -> int:
     """One pass over ``rows`` (columns idx, val, y) updating each loss's (w, b) in place."""
     t0 = _initial_t(losses)
     for idx, val, y in zip(rows["idx"], rows["val"], rows["y"]):
-        idx = np.asarray(idx, dtype=np.int64)
-        val = np.asarray(val, dtype=np.float64)
+        idx, val = compact_row(idx, val, compact)
         yy = 1.0 if y == 1 else -1.0
         for k, loss in enumerate(losses):
             eta = 1.0 / (ALPHA * (t0[k] + step))
@@ -106,7 +118,8 @@ def sgd_epoch(rows: pd.DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence
 
 
 def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
-              init: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+              init: tuple[np.ndarray, np.ndarray] | None = None,
+              compact: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """Fit all losses in one scan of ``df`` (idx array<int>, val array<double>, y int)."""
     n_l = len(losses)
     W0 = np.zeros((n_l, dim)) if init is None else init[0]
@@ -118,7 +131,7 @@ def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
         W, b = start.value[0].copy(), start.value[1].copy()
         n, t = 0, 0
         for pdf in batches:
-            t = sgd_epoch(pdf, W, b, losses, t)
+            t = sgd_epoch(pdf, W, b, losses, t, compact)
             n += len(pdf)
         if n == 0:
             return
@@ -146,7 +159,7 @@ def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
 
 
 def evaluate(df: DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str] = fv.SGD_LOSSES,
-             by: str = "split") -> DataFrame:
+             by: str = "split", compact: bool = False) -> DataFrame:
     """Per (group, loss): accuracy and mean loss of every fitted weight vector, in one scan."""
     sc = df.sparkSession.sparkContext
     model = sc.broadcast((W, b))
@@ -159,8 +172,8 @@ def evaluate(df: DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str]
             out = []
             for g, part in pdf.groupby(by):
                 y = np.where(part["y"].to_numpy() == 1, 1.0, -1.0)
-                f = np.array([[float(Wm[k, np.asarray(i, dtype=np.int64)] @ np.asarray(v, dtype=np.float64))
-                               for i, v in zip(part["idx"], part["val"])] for k in range(len(losses))]) + bm[:, None]
+                rows = [compact_row(i, v, compact) for i, v in zip(part["idx"], part["val"])]
+                f = np.array([[float(Wm[k, i] @ v) for i, v in rows] for k in range(len(losses))]) + bm[:, None]
                 for k, loss in enumerate(losses):
                     m = f[k] * y
                     out.append((g, loss, int(((f[k] > 0).astype(int) == (y > 0)).sum()),
