@@ -22,16 +22,23 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenance_spark.functions.text import keras_words, ngram_terms
+from provenance_spark.functions.text import keras_words, ngram_terms, ngram_unigrams, with_bigrams
 from provenance_spark.operators.positions import boundary_keys, slice_label, with_positions
 from provenance_spark.session import shuffle_partitions
 
 MAX_BROADCAST_VOCAB = 1 << 20
 
 
-def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_n: int = 2) -> DataFrame:
-    """1..max_n-grams per document (lower-cased runs of 2+ word characters)."""
-    return docs.select(id_col, ngram_terms(F.col(text_col), max_n).alias("terms"))
+def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_n: int = 2,
+              keep: tuple = ()) -> DataFrame:
+    """1..max_n-grams per document (lower-cased runs of 2+ word characters).
+
+    The unigram list is its own column first so the regex runs once per document (the bigram
+    expression references the list three times).
+    """
+    uni = docs.select(id_col, *keep, ngram_unigrams(F.col(text_col)).alias("_u"))
+    terms = with_bigrams(F.col("_u")) if max_n >= 2 else F.col("_u")
+    return uni.select(id_col, *keep, terms.alias("terms"))
 
 
 def term_counts(terms: DataFrame, id_col: str = "doc_id", terms_col: str = "terms",
