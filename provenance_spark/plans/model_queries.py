@@ -85,9 +85,9 @@ def q_tfidf_logistic(spark, sf_dir):
 def q_sequence_logistic(spark, sf_dir):
     from pyspark.ml.feature import CountVectorizerModel
 
-    from provenance_spark.functions.text import clean_text, keras_words
+    from provenance_spark.functions.text import keras_words, with_clean_text
     p = prepared(spark, sf_dir)
-    cleaned = p.select("id", "split", "AI", clean_text(F.col("text")).alias("text"))
+    cleaned = with_clean_text(p.select("id", "split", "AI", "text"), "text", "text")
     vocab = ft.fit_sequence_vocabulary(cleaned.where(F.col("split") == "train"), id_col="id", num_words=2000)
     seq = ft.text_to_sequence(cleaned.select("id", keras_words(F.col("text")).alias("words")), vocab, id_col="id")
     padded = seq.select("id", ft.pad_sequence(F.col("seq"), 100).alias("padded"))

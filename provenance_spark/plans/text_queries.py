@@ -25,8 +25,14 @@ def q_clean_basic(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.clean_basic(F.col("text")).alias("clean"))
 
 
-def _tokens_out(col):
-    return [F.array_join(col, " ").alias("tokens"), F.size(col).alias("n_tokens")]
+def _tokens_out(df, col):
+    """Tokens as one string plus their count.
+
+    The array is its own column first: expressions holding a lambda are not de-duplicated by
+    subexpression elimination, so referencing ``col`` twice would run the whole chain twice.
+    """
+    return (df.select("doc_id", col.alias("_t"))
+              .select("doc_id", F.array_join("_t", " ").alias("tokens"), F.size("_t").alias("n_tokens")))
 
 
 def _tokens_sql(expr: str) -> str:
@@ -35,36 +41,36 @@ def _tokens_sql(expr: str) -> str:
 
 @query("word_tokens", "T4", _tokens_sql(o.word_tokens_sql(o.clean_basic_sql("text"))))
 def q_word_tokens(spark, sf_dir):
-    t = tx.word_tokens(tx.clean_basic(F.col("text")))
-    return docs(spark, sf_dir).select("doc_id", *_tokens_out(t))
+    d = tx.with_word_tokens(docs(spark, sf_dir), "text", "t")
+    return _tokens_out(d, F.col("t"))
 
 
 @query("stopword_filter", "T5", _tokens_sql(o.remove_stopwords_sql(o.word_tokens_sql(o.clean_basic_sql("text")))))
 def q_stopword_filter(spark, sf_dir):
-    t = tx.remove_stopwords(tx.word_tokens(tx.clean_basic(F.col("text"))))
-    return docs(spark, sf_dir).select("doc_id", *_tokens_out(t))
+    d = tx.with_word_tokens(docs(spark, sf_dir), "text", "t")
+    return _tokens_out(d, tx.remove_stopwords(F.col("t")))
 
 
 @query("lemmatize", "T6", _tokens_sql(o.lemmatize_sql(o.word_tokens_sql(o.clean_basic_sql("text")), LEMMAS)))
 def q_lemmatize(spark, sf_dir):
-    t = tx.lemmatize_tokens(tx.word_tokens(tx.clean_basic(F.col("text"))), LEMMAS)
-    return docs(spark, sf_dir).select("doc_id", *_tokens_out(t))
+    d = tx.with_word_tokens(docs(spark, sf_dir), "text", "t")
+    return _tokens_out(d, tx.lemmatize_tokens(F.col("t"), LEMMAS))
 
 
 @query("clean_full", "T7 T8 T9", f"""
 SELECT doc_id, {o.strip_sql("array_to_string(" + o.lemmatize_sql(o.remove_stopwords_sql(
     o.word_tokens_sql(o.clean_basic_sql('text'))), LEMMAS) + ", ' ')")} AS clean FROM documents""")
 def q_clean_full(spark, sf_dir):
-    return docs(spark, sf_dir).select(
-        "doc_id", tx.clean_text(F.col("text"), remove_stopword=True, lemmatize=True, lemma_map=LEMMAS).alias("clean"))
+    return tx.with_clean_text(docs(spark, sf_dir), "text", "clean", remove_stopword=True, lemmatize=True,
+                              lemma_map=LEMMAS).select("doc_id", "clean")
 
 
 @query("clean_stopwords_only", "T8", f"""
 SELECT doc_id, {o.strip_sql("array_to_string(" + o.remove_stopwords_sql(
     o.word_tokens_sql(o.clean_basic_sql('text'))) + ", ' ')")} AS clean FROM documents""")
 def q_clean_stopwords_only(spark, sf_dir):
-    return docs(spark, sf_dir).select(
-        "doc_id", tx.clean_text(F.col("text"), remove_stopword=True, lemmatize=False).alias("clean"))
+    return tx.with_clean_text(docs(spark, sf_dir), "text", "clean", remove_stopword=True,
+                              lemmatize=False).select("doc_id", "clean")
 
 
 # ---------------------------------------------------------------- TF-IDF
