@@ -83,11 +83,12 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], quotas: DataFrame, i
                      (F.col("_quota") - (F.col("_cum") - F.col("_cnt"))).alias("_need")))
     plan = totals.join(q, list(strata), "right").join(bound, list(strata), "left")
     if check_short:
+        # a filter on the (small, broadcast) plan table runs for every stratum, so the error fires
+        # even when no stratum has a boundary bucket and nothing downstream reads ``_need``
         short = F.coalesce(F.col("_total"), F.lit(0)) < F.col("_quota")
-        plan = plan.withColumn("_need", F.when(
-            short, F.raise_error(F.concat(F.lit("stratum too small for its quota: "),
-                                          F.to_json(F.struct(*strata, "_quota", "_total")))))
-            .otherwise(F.col("_need")))
+        plan = plan.where(F.when(short, F.raise_error(F.concat(
+            F.lit("stratum too small for its quota: "),
+            F.to_json(F.struct(*strata, "_quota", "_total"))))).otherwise(F.lit(True)))
     plan = F.broadcast(plan.where(F.col("_quota") > 0).select(*strata, "_bbucket", "_need"))
     joined = keyed.join(plan, list(strata))
     inside = joined.where(F.col("_bucket") < F.col("_bbucket"))

@@ -56,7 +56,9 @@ def sample_cte(name: str = "sample", seed: int = 1, source: str = "corpus", quot
     SELECT s.*, row_number() OVER (PARTITION BY split, version
                                    ORDER BY md5({sql_str(str(seed) + ':')} || CAST(id AS VARCHAR)), id) AS rn
     FROM {source} s) r
-  JOIN {quotas} q ON r.split = q.split AND r.version = q.version
+  JOIN (SELECT * FROM {quotas}
+        WHERE CASE WHEN n < quota THEN error('stratum too small for its quota') ELSE true END) q
+    ON r.split = q.split AND r.version = q.version
   WHERE r.rn <= q.quota)"""
 
 
