@@ -141,10 +141,10 @@ def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
                                 "v": np.concatenate([W[k, nz], [b[k]]]) * n, "n": n})
 
     parts = df.select("idx", "val", "y").mapInPandas(fit_partition, "l long, i long, v double, n long")
-    sums = parts.groupBy("l", "i").agg(F.sum("v").alias("v")).collect()
-    n_total = parts.where(F.col("i") == -1).groupBy("l").agg(F.sum("n").alias("n")).collect()
+    # one scan: every partition emits exactly one intercept row (i = -1) per loss carrying its n
+    sums = parts.groupBy("l", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
     start.unpersist()
-    total = {r["l"]: r["n"] for r in n_total}
+    total = {r["l"]: r["n"] for r in sums if r["i"] == -1}
     W, b = np.zeros((n_l, dim)), np.zeros(n_l)
     for r in sums:
         denom = total.get(r["l"], 1)
