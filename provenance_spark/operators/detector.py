@@ -57,10 +57,7 @@ def tfidf_arrays(df: DataFrame, id_col: str = "id", text_col: str = "text", keep
     """Sparse TF-IDF rows (``idx`` array<int>, ``val`` array<double>) with the vocabulary fitted on
     ``fit_split``. Rows are hash-partitioned by id once; counting, weighting, normalising and
     regrouping all reuse that partitioning."""
-    n_parts = shuffle_partitions(df.sparkSession)
-    terms = df.select(id_col, *keep, ft.ngram_terms(F.col(text_col)).alias("terms")).repartition(n_parts, id_col)
-    tf = (terms.select(id_col, *keep, F.explode("terms").alias("term"))
-          .groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = ft.doc_term_counts(df.select(id_col, *keep, text_col), id_col, text_col, keep=tuple(keep))
     fit_tf = tf.where(F.col("split") == fit_split).select(id_col, "term", "tf")
     n_docs = df.where(F.col("split") == fit_split).count()
     vocab = ft.fit_vocabulary(fit_tf, n_docs, min_df=min_df, max_features=max_features, id_col=id_col)

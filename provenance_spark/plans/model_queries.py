@@ -70,7 +70,7 @@ def q_extra_heads(spark, sf_dir):
 def q_tfidf_logistic(spark, sf_dir):
     p = prepared(spark, sf_dir)
     terms = p.select("id", "split", "AI", ft.ngram_terms(F.col("text")).alias("terms"))
-    tf = ft.term_counts(terms.where(F.col("split") == "train"), id_col="id")
+    tf = ft.doc_term_counts(p.where(F.col("split") == "train").select("id", "text"), id_col="id")
     n_train = p.where(F.col("split") == "train").count()
     vocab_rows = ft.fit_vocabulary(tf, n_train, min_df=5, max_features=1 << 18, id_col="id").collect()
     stages = ft.tfidf_vector_stages(vocab_rows, input_col="terms", output_col="features")

@@ -85,7 +85,7 @@ tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unn
 WITH {TERMS_CTE}
 SELECT doc_id, term, tf FROM tf""")
 def q_ngrams(spark, sf_dir):
-    return ft.term_counts(ft.doc_terms(docs(spark, sf_dir)))
+    return ft.doc_term_counts(docs(spark, sf_dir))
 
 
 # F1 parameters of the registered queries (vectoriser defaults are min_df=100, 2**18 features)
@@ -100,7 +100,7 @@ vocab AS (SELECT term, df, cf, row_number() OVER (ORDER BY term) - 1 AS term_id,
 
 def fitted_vocabulary(spark, sf_dir):
     d = docs(spark, sf_dir)
-    tf = ft.term_counts(ft.doc_terms(d))
+    tf = ft.doc_term_counts(d)
     n_docs = d.count()
     return tf, ft.fit_vocabulary(tf, n_docs, min_df=MIN_DF, max_features=MAX_FEATURES)
 
