@@ -20,7 +20,6 @@ from provenance_spark.functions.text import encoder_pre_tokens, normalize_newlin
 from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
 from provenance_spark.operators.heads import RidgeModel, check_head
-from provenance_spark.session import shuffle_partitions
 
 ENCODER_VOCAB = 2000
 MAX_LEN = 64
