@@ -255,8 +255,9 @@ def ngram_terms(text: Column, max_n: int = 2) -> Column:
 
 def keras_words(text: Column, filters: str = fv.KERAS_FILTERS) -> Column:
     """F4 word split: lower case, filter characters become spaces, split on single spaces, drop empties."""
-    spaced = F.translate(F.lower(text), filters, " " * len(filters))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    spaced = F.trim(F.translate(F.lower(text), filters, " " * len(filters)))  # trim: ASCII spaces only
+    # split on runs of spaces (no lambda, so it stays in codegen); all-space text has no words
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +"))
 
 
 def encoder_pre_tokens(text: Column) -> Column:

@@ -139,6 +139,12 @@ def fit_sequence_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: s
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct(F.col(id_col).alias("d"), F.col("_pos").alias("p"))).alias("_first"))
     stats = stats.select("word", "n", F.col("_first.d").alias("first_doc"), F.col("_first.p").alias("first_pos"))
+    if num_words is not None:
+        # exact top (num_words - 2) first: ranking then touches a bounded table
+        order = ["n", "first_doc", "first_pos"]
+        stats = cut_lineage(stats)  # one row per distinct word; the jobs below reuse it
+        bounds = boundary_keys(stats, order, (), lambda size, g: [num_words - 2], descending=["n"])
+        stats = stats.where(slice_label(order, (), bounds, descending=["n"]) == 0)
     ranked = with_positions(stats, ["n", "first_doc", "first_pos"], descending=["n"])
     if num_words is not None:
         ranked = ranked.where(F.col("pos") < num_words - 2)
