@@ -134,11 +134,17 @@ def fit_sequence_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: s
                             num_words: int | None = 2000) -> DataFrame:
     """word index of a Keras-style tokenizer: id 1 = OOV, then by falling count, ties by first
     appearance (document order, then position). Keeps ids below ``num_words``."""
-    words = docs.select(id_col, F.posexplode(keras_words(F.col(text_col))).alias("_pos", "word"))
-    stats = words.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(F.col(id_col).alias("d"), F.col("_pos").alias("p"))).alias("_first"))
-    stats = stats.select("word", "n", F.col("_first.d").alias("first_doc"), F.col("_first.p").alias("first_pos"))
+    n_parts = shuffle_partitions(docs.sparkSession)
+    words = (docs.repartition(n_parts, id_col)
+             .select(id_col, F.posexplode(keras_words(F.col(text_col))).alias("_pos", "word")))
+    # Two hash aggregates instead of min(struct(doc, pos)), whose struct buffer forces a sort-based
+    # aggregate over every word occurrence. (word, doc) groups need no shuffle (documents are
+    # hash-partitioned by id); after them (word, doc) is unique, so min_by picks exactly the first
+    # position in the first document.
+    per_doc = words.groupBy("word", id_col).agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_p"))
+    stats = per_doc.groupBy("word").agg(
+        F.sum("_c").alias("n"), F.min(id_col).alias("first_doc"),
+        F.min_by("_p", F.col(id_col)).alias("first_pos"))
     if num_words is not None:
         # exact top (num_words - 2) first: ranking then touches a bounded table
         order = ["n", "first_doc", "first_pos"]
