@@ -67,8 +67,7 @@ def tfidf_arrays(df: DataFrame, id_col: str = "id", text_col: str = "text", keep
     w = w.withColumn("_w", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col))))
     rows = (w.groupBy(id_col, *keep)
             .agg(F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), "_w"))).alias("_e")))
-    out = rows.select(id_col, *keep, F.transform("_e", lambda e: e["i"]).alias("idx"),
-                      F.transform("_e", lambda e: e["_w"]).alias("val"))
+    out = rows.select(id_col, *keep, F.col("_e.i").alias("idx"), F.col("_e._w").alias("val"))
     # documents without any kept term keep an empty row
     empty = (df.select(id_col, *keep).join(out.select(id_col), id_col, "left_anti")
              .withColumn("idx", F.array().cast("array<int>")).withColumn("val", F.array().cast("array<double>")))

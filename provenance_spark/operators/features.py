@@ -172,7 +172,7 @@ def text_to_sequence(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
     item = F.when(F.col("word").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(oov_id)).alias("_id")))
     grouped = words.join(v, "word", "left").groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return grouped.select(id_col, F.transform("_items", lambda s: s["_id"]).alias("seq"))
+    return grouped.select(id_col, F.col("_items._id").alias("seq"))  # field of each element, no lambda
 
 
 def pad_sequence(seq, maxlen: int = 100, value: int = 0):
