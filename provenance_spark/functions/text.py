@@ -248,6 +248,18 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
+def with_ngram_terms(df: DataFrame, text_col: str = "text", out_col: str = "terms", max_n: int = 2) -> DataFrame:
+    """F2 as an array column, with the unigram regex in a column of its own first.
+
+    :func:`with_bigrams` references the unigram list three times inside ``zip_with``; lambdas are
+    not code-generated, so a nested regex would run three times per row.
+    """
+    tmp = f"_{out_col}_uni"
+    staged = df.withColumn(tmp, ngram_unigrams(F.col(text_col)))
+    terms = with_bigrams(F.col(tmp)) if max_n >= 2 else F.col(tmp)
+    return staged.withColumn(out_col, terms).drop(tmp)
+
+
 def ngram_terms(text: Column, max_n: int = 2) -> Column:
     unigrams = ngram_unigrams(text)
     return with_bigrams(unigrams) if max_n >= 2 else unigrams

@@ -68,8 +68,9 @@ def q_extra_heads(spark, sf_dir):
 
 @query("tfidf_logistic", "M5 F1 F3 U4")
 def q_tfidf_logistic(spark, sf_dir):
+    from provenance_spark.functions.text import with_ngram_terms
     p = prepared(spark, sf_dir)
-    terms = p.select("id", "split", "AI", ft.ngram_terms(F.col("text")).alias("terms"))
+    terms = with_ngram_terms(p.select("id", "split", "AI", "text"), "text", "terms").drop("text")
     tf = ft.doc_term_counts(p.where(F.col("split") == "train").select("id", "text"), id_col="id")
     n_train = p.where(F.col("split") == "train").count()
     vocab_rows = ft.fit_vocabulary(tf, n_train, min_df=5, max_features=1 << 18, id_col="id").collect()

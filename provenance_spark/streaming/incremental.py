@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenance_spark.functions import fixed_values as fv
-from provenance_spark.functions.text import ngram_terms
+from provenance_spark.functions.text import with_ngram_terms
 from provenance_spark.operators import sgd
 from provenance_spark.sources.materialize import _fs_exists
 
@@ -29,8 +29,11 @@ def hashed_rows(df: DataFrame, text_col: str = "text", num_features: int = 1 <<
     (``compact=True``), which is linear per row; doing it with array lambdas would re-evaluate
     the sorted bucket list for every element.
     """
-    idx = F.transform(ngram_terms(F.col(text_col)), lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("int"))
-    return df.withColumn("idx", idx).withColumn("val", F.transform("idx", lambda _: F.lit(1.0)))
+    staged = with_ngram_terms(df, text_col, "_terms")
+    idx = F.transform("_terms", lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("int"))
+    # every bucket starts at 1.0: an array of ones as long as idx, without a second lambda
+    return (staged.withColumn("idx", idx).drop("_terms")
+            .withColumn("val", F.array_repeat(F.lit(1.0), F.size("idx"))))
 
 
 class IncrementalSGD:
