@@ -61,7 +61,7 @@ def tfidf_arrays(df: DataFrame, id_col: str = "id", text_col: str = "text", keep
     n_docs = df.where(F.col("split") == fit_split).count()
     vocab = ft.fit_vocabulary(fit_tf, n_docs, min_df=min_df, max_features=max_features, id_col=id_col)
     dim = vocab.count()
-    v = F.broadcast(vocab.select("term", "term_id", "idf"))  # bounded by max_features
+    v = ft.bounded_broadcast(vocab.select("term", "term_id", "idf"), rows=dim)
     w = tf.join(v, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     from pyspark.sql import Window
     w = w.withColumn("_w", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col))))

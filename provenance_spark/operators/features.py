@@ -41,6 +41,13 @@ def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return uni.select(id_col, *keep, terms.alias("terms"))
 
 
+def bounded_broadcast(small: DataFrame, rows: int | None = None, limit: int = MAX_BROADCAST_VOCAB) -> DataFrame:
+    """Broadcast ``small`` only when its row count is known to be within ``limit``; beyond it the
+    join stays a shuffle join. ``rows`` may pass a count already taken."""
+    n = small.count() if rows is None else rows
+    return F.broadcast(small) if n <= limit else small
+
+
 def doc_term_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_n: int = 2,
                   keep: tuple = ()) -> DataFrame:
     """F2 as (doc, term) rows: every unigram, then every adjacent pair joined by one space.
@@ -97,8 +104,7 @@ def fit_vocabulary(tf: DataFrame, n_docs: int, min_df: int = 1, max_features: in
 
 def tfidf_long(tf: DataFrame, vocab: DataFrame, id_col: str = "doc_id", digits: int | None = 6) -> DataFrame:
     """F1 transform in long form: (doc, term_id, weight), unit L2 norm per document."""
-    v = vocab.select("term", "term_id", "idf")
-    v = F.broadcast(v)  # bounded by max_features
+    v = bounded_broadcast(vocab.select("term", "term_id", "idf"))  # within max_features when set
     w = tf.join(v, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     weight = F.col("_w") / norm
@@ -168,7 +174,7 @@ def text_to_sequence(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
     n = num_partitions or shuffle_partitions(docs.sparkSession)
     words = (docs.repartition(n, id_col)
              .select(id_col, F.posexplode_outer(words_col).alias("_pos", "word")))
-    v = F.broadcast(vocab.select("word", F.col("id").alias("_id")))
+    v = bounded_broadcast(vocab.select("word", F.col("id").alias("_id")))  # within num_words when set
     item = F.when(F.col("word").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(oov_id)).alias("_id")))
     grouped = words.join(v, "word", "left").groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_items"))
