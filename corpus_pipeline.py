@@ -8,6 +8,7 @@ return the columns of documents; the last adds ``epoch``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from provenance_spark.llm import decontaminate_ac, langid_ppm, line_site, mix_budget, simhash_cover
 from provenance_spark.llm.common import table
@@ -23,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without lines that are boilerplate of their source."""
-    return line_site.cleaned(docs, HOST)
+    """All documents, their texts without lines that are boilerplate of their source; n_chars follows the text."""
+    return line_site.cleaned(docs, HOST).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
