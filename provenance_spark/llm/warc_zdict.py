@@ -133,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         def flush() -> pa.RecordBatch:
             store.create_dir(base, recursive=True)
             name, raw = f"{uuid.uuid4().hex}.warc.zst", archive(held)
-            with store.open_output_stream(f"{base}/{name}") as f:
+            with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(raw)
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [len(held)], "n_bytes": [len(raw)]})
 
@@ -163,7 +163,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-                with store.open_input_stream(at) as f:
+                with store.open_input_stream(at, compression=None) as f:
                     raw = f.read()
                 rows: list[tuple] = []
                 for head, block in read_archive(raw):
