@@ -184,6 +184,11 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
         open_ = bool(total)
         if open_:
             stretches[-1].append(i)
+    for s in stretches:  # a window begins before the line that fills it, and ends after
+        while not weights[s[0]]:
+            s.pop(0)
+        while not weights[s[-1]]:
+            s.pop()
     strong = [s for s in stretches if marked or max(sums[i] for i in s) >= surge]
     if not strong and stretches:
         strong = [max(stretches, key=lambda s: sum(weights[i] for i in s))]
