@@ -122,7 +122,7 @@ def plan(rows: DataFrame, targets: Targets, budget_share: float, max_epochs: int
         F.when(split, F.col("share") % F.col("total")).otherwise(0).alias("left"), F.lit("").alias("prefix")))
     small = fits(leaf, LEAVES)
     narrow = lambda d: F.broadcast(d) if small else d
-    at = leaf.where(split)
+    at = leaf.where(F.col("left") > 0)
     for _ in range(DIGITS // 2):  # sums of 256 ranges of the range found before; the first whose sum goes beyond is next
         near = rows.join(narrow(at.select(*LEVELS, "epochs", "left", "prefix")), list(LEVELS))
         near = near.withColumn("hash", order_hash(seed, F.col("epochs"), F.col("id"))).where(F.col("hash").startswith(F.col("prefix")))
@@ -159,7 +159,7 @@ def mixture(docs: DataFrame, targets: Targets, budget_share: float, max_epochs:
     """``(id, domain, language, site, n_tokens, copies)`` of every row of ``docs``.
 
     A null source or language is the node ``none``; null and empty texts have no tokens; a leaf without tokens supplies
-    nothing; rows that repeat an id within a leaf are taken together; an empty table gives an empty result.
+    nothing; a leaf whose share ends with an epoch takes no row, however short, of the next; rows that repeat an id within a leaf are taken together; an empty table gives an empty result.
     """
     rows = counted(docs, id_col, text_col, lang_col, source_col)
     leaves = plan(rows, targets, budget_share, max_epochs, seed)

@@ -83,7 +83,7 @@ plan AS (SELECT domain, language, site, total, CASE WHEN total > 0 THEN share //
 o AS (SELECT *, md5('{SEED}|' || epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM rows_ JOIN plan USING (domain, language, site)),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, site ORDER BY h) AS upto FROM o)
 SELECT doc_id, domain, language, site, CAST(n_tokens AS BIGINT) AS n_tokens,
-       CAST(epochs + CASE WHEN total > 0 AND upto <= left_ THEN 1 ELSE 0 END AS BIGINT) AS copies FROM c"""
+       CAST(epochs + CASE WHEN left_ > 0 AND upto <= left_ THEN 1 ELSE 0 END AS BIGINT) AS copies FROM c"""
 
 OP9 = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS ls FROM documents),
