@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +111,3 @@ def dot(array_col: Column, weights: list[float]) -> Column:
     w = F.lit(weights)
     return F.aggregate(F.zip_with(array_col, w, lambda a, b: a.cast("double") * b), F.lit(0.0),
                        lambda acc, x: acc + x)
-
-
-def as_numpy(values) -> np.ndarray:
-    return np.asarray(values, dtype=np.float64)

@@ -23,24 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenance_spark.functions.text import keras_words, ngram_terms, ngram_unigrams, with_bigrams
-from provenance_spark.operators.positions import boundary_keys, slice_label, with_positions
+from provenance_spark.operators.positions import boundary_key, rows_before, with_positions
 from provenance_spark.session import cut_lineage, shuffle_partitions
 
 MAX_BROADCAST_VOCAB = 1 << 20
 
 
-def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_n: int = 2,
-              keep: tuple = ()) -> DataFrame:
-    """1..max_n-grams per document (lower-cased runs of 2+ word characters).
-
-    The unigram list is its own column first so the regex runs once per document (the bigram
-    expression references the list three times).
-    """
-    uni = docs.select(id_col, *keep, ngram_unigrams(F.col(text_col)).alias("_u"))
-    terms = with_bigrams(F.col("_u")) if max_n >= 2 else F.col("_u")
-    return uni.select(id_col, *keep, terms.alias("terms"))
-
-
 def bounded_broadcast(small: DataFrame, rows: int | None = None, limit: int = MAX_BROADCAST_VOCAB) -> DataFrame:
     """Broadcast ``small`` only when its row count is known to be within ``limit``; beyond it the
     join stays a shuffle join. ``rows`` may pass a count already taken."""
@@ -75,16 +63,6 @@ def doc_term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_counts(terms: DataFrame, id_col: str = "doc_id", terms_col: str = "terms",
-                num_partitions: int | None = None) -> DataFrame:
-    """(doc, term, tf): documents are hash-partitioned by id first, so the count and any later
-    per-document step (norms) need no further shuffle."""
-    n = num_partitions or shuffle_partitions(terms.sparkSession)
-    return (terms.repartition(n, id_col)
-            .select(id_col, F.explode(terms_col).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
 def fit_vocabulary(tf: DataFrame, n_docs: int, min_df: int = 1, max_features: int | None = None,
                    id_col: str = "doc_id") -> DataFrame:
     """(term, df, cf, term_id, idf) for the kept terms."""
@@ -94,9 +72,8 @@ def fit_vocabulary(tf: DataFrame, n_docs: int, min_df: int = 1, max_features: in
     # would otherwise re-run tokenising and counting every time
     stats = cut_lineage(stats)
     if max_features is not None:
-        bounds = boundary_keys(stats.select("term", "cf"), ["cf", "term"], (), lambda n, g: [max_features],
-                               descending=["cf"])
-        stats = stats.where(slice_label(["cf", "term"], (), bounds, descending=["cf"]) == 0)
+        last = boundary_key(stats, ["cf", "term"], max_features, descending=["cf"])
+        stats = rows_before(stats, ["cf", "term"], last, descending=["cf"])
     vocab = with_positions(stats.select("term", "df", "cf"), ["term"], pos_col="term_id")
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     return vocab.withColumn("idf", idf)
@@ -155,8 +132,7 @@ def fit_sequence_vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: s
         # exact top (num_words - 2) first: ranking then touches a bounded table
         order = ["n", "first_doc", "first_pos"]
         stats = cut_lineage(stats)  # one row per distinct word; the jobs below reuse it
-        bounds = boundary_keys(stats, order, (), lambda size, g: [num_words - 2], descending=["n"])
-        stats = stats.where(slice_label(order, (), bounds, descending=["n"]) == 0)
+        stats = rows_before(stats, order, boundary_key(stats, order, num_words - 2, descending=["n"]), descending=["n"])
     ranked = with_positions(stats, ["n", "first_doc", "first_pos"], descending=["n"])
     if num_words is not None:
         ranked = ranked.where(F.col("pos") < num_words - 2)
@@ -188,11 +164,5 @@ def pad_sequence(seq, maxlen: int = 100, value: int = 0):
     return F.concat(kept, F.array_repeat(F.lit(value), F.lit(maxlen) - F.least(n, F.lit(maxlen))))
 
 
-def hashed_features(terms_col: str, num_features: int = 1 << 18, output_col: str = "features"):
-    """hashing vectoriser (no vocabulary to fit), for streams and incremental fitting."""
-    from pyspark.ml.feature import HashingTF
-    return HashingTF(inputCol=terms_col, outputCol=output_col, numFeatures=num_features)
-
-
 def idf_value(n_docs: int, df: int) -> float:
     return math.log((1 + n_docs) / (1 + df)) + 1.0

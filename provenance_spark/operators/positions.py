@@ -13,9 +13,10 @@ one task; a group may hold a third of all rows. Instead:
 4. join the offsets back (broadcast: the table is bounded by partitions + groups) and add them to
    the in-partition index.
 
-Slices by position then become key filters: the keys at the slice boundaries (one per group and
-cut) are read from the narrow positioned table, and the full table is labelled with a plain
-comparison expression, so wide rows (texts) are never shuffled for positioning.
+Slices by position then become key filters: the keys at the slice boundaries (one row per group)
+are looked up in the narrow positioned table, joined back by group (broadcast after a size check)
+and compared, so wide rows (texts) are never shuffled for positioning and the plan does not grow
+with the number of groups.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from provenance_spark.session import ensure_checkpoint_dir, shuffle_partitions
+from provenance_spark.session import checked_broadcast, cut_lineage, ensure_checkpoint_dir, shuffle_partitions
 
-MAX_GROUPS = 10_000
+#: Names of the positioning columns of narrow key tables.
+POS, SIZE = "_position", "_group_rows"
 
 
 def with_positions(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (),
@@ -40,6 +43,8 @@ def with_positions(df: DataFrame, order_by: Sequence[str], group_by: Sequence[st
     languages): the broadcast offset table has one row per (partition, group) pair. Pass only the
     columns needed downstream (narrow keys).
     """
+    if pos_col in df.columns or size_col in df.columns:
+        raise ValueError(f"the table already has a column {pos_col} or {size_col}")
     spark = df.sparkSession
     n_parts = num_partitions or shuffle_partitions(spark)
     keys = [F.col(g).asc_nulls_first() for g in group_by]
@@ -59,8 +64,8 @@ def with_positions(df: DataFrame, order_by: Sequence[str], group_by: Sequence[st
     if size_col:
         offsets = offsets.withColumn("_size", F.sum("_cnt").over(grp))
     extra = ["_size"] if size_col else []
-    offsets = F.broadcast(offsets.select(*[F.col(g).alias(f"_o_{g}") for g in group_by],
-                                         F.col("_pid").alias("_o_pid"), "_off", "_first", *extra))
+    offsets = checked_broadcast(offsets.select(*[F.col(g).alias(f"_o_{g}") for g in group_by],
+                                               F.col("_pid").alias("_o_pid"), "_off", "_first", *extra))
     cond = tagged["_pid"] == offsets["_o_pid"]
     for g in group_by:
         cond = cond & tagged[g].eqNullSafe(offsets[f"_o_{g}"])
@@ -75,67 +80,76 @@ def with_positions(df: DataFrame, order_by: Sequence[str], group_by: Sequence[st
 CutFn = Callable[[int, tuple], Sequence[int]]
 
 
-def boundary_keys(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str], cut_fn: CutFn,
-                  descending: Sequence[str] = ()) -> dict[tuple, list[tuple | None]]:
-    """For each group, the order key found at each cut position (``None`` past the group's end).
+def boundary_key(df: DataFrame, order_by: Sequence[str], cut: int, descending: Sequence[str] = ()) -> tuple | None:
+    """The order key found at position ``cut`` of the whole table (``None`` past its end): one row to the driver."""
+    narrow = with_positions(df.select(*order_by), order_by, (), pos_col=POS, descending=descending)
+    row = narrow.where(F.col(POS) == max(int(cut), 0)).first()
+    return None if row is None else tuple(row[k] for k in order_by)
 
-    Driver traffic is bounded by groups x cuts rows (group sizes and boundary keys only).
-    """
-    keys = list(group_by) + list(order_by)
-    narrow = with_positions(df.select(*keys), order_by, group_by, size_col="_n",
-                            descending=descending)
-    sizes = {tuple(r[g] for g in group_by): r["_n"]
-             for r in narrow.groupBy(*group_by).agg(F.max("_n").alias("_n")).collect()}
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"{len(sizes)} groups: positional slices need a low-cardinality grouping")
-    cuts = {g: [max(int(c), 0) for c in cut_fn(n, g)] for g, n in sizes.items()}
-    wanted = sorted({c for cs in cuts.values() for c in cs})
-    found: dict[tuple, tuple] = {}
-    if wanted:
-        for r in narrow.where(F.col("pos").isin(wanted)).collect():
-            found[(tuple(r[g] for g in group_by), r["pos"])] = tuple(r[k] for k in order_by)
-    return {g: [found.get((g, c)) if 0 <= c < sizes[g] else None for c in cs] for g, cs in cuts.items()}
-
-
-def _before(order_by: Sequence[str], key: tuple, descending: Sequence[str]) -> Column:
+
+def _before(order_by: Sequence[str], key: Sequence[Column], descending: Sequence[str]) -> Column:
     """Row-value comparison ``(order_by) < key`` in the positioning order."""
     cond = None
     for i in reversed(range(len(order_by))):
-        c, v = F.col(order_by[i]), F.lit(key[i])
+        c, v = F.col(order_by[i]), key[i]
         strict = c > v if order_by[i] in descending else c < v
         cond = strict if cond is None else strict | ((c == v) & cond)
     return cond
 
 
-def slice_label(order_by: Sequence[str], group_by: Sequence[str],
-                bounds: dict[tuple, list[tuple | None]], descending: Sequence[str] = ()) -> Column:
-    """Index of the positional slice of each row: slice ``i`` is ``[cut[i-1], cut[i])``."""
-    label = None
-    for g, keys in bounds.items():
-        in_group = None
-        for name, value in zip(group_by, g):
-            term = F.col(name).eqNullSafe(F.lit(value))
-            in_group = term if in_group is None else in_group & term
-        for i, key in enumerate(keys):
-            cond = F.lit(True) if key is None else _before(order_by, key, descending)
-            if in_group is not None:
-                cond = in_group & cond
-            label = F.when(cond, F.lit(i)) if label is None else label.when(cond, F.lit(i))
-    n_slices = max((len(v) for v in bounds.values()), default=0)
-    return F.lit(n_slices) if label is None else label.otherwise(F.lit(n_slices))
+def rows_before(df: DataFrame, order_by: Sequence[str], key: tuple | None, descending: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``df`` before an order key (all of them before ``None``)."""
+    return df if key is None else df.where(_before(order_by, [F.lit(v) for v in key], descending))
+
+
+def label_slices(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str], cut_fn: CutFn,
+                 label: str, descending: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the index of each row's positional slice: slice ``i`` is ``[cut[i-1], cut[i])``.
+
+    ``cut_fn(n, group)`` gives the cut positions of a group of ``n`` rows, as many for every group.
+    The driver sees one row per group (its size); the keys at the cuts never leave Spark.
+    """
+    keys = [*group_by, *order_by]
+    narrow = cut_lineage(with_positions(df.select(*keys), order_by, group_by, pos_col=POS, size_col=SIZE, descending=descending))
+    sizes = narrow.groupBy(*group_by).agg(F.max(SIZE).alias(SIZE)).collect()
+    wanted = [(*(r[g] for g in group_by), i, max(int(c), 0)) for r in sizes if r[SIZE]
+              for i, c in enumerate(cut_fn(r[SIZE], tuple(r[g] for g in group_by)))]
+    if not wanted:
+        return df.withColumn(label, F.lit(0))
+    n_cuts = 1 + max(w[-2] for w in wanted)
+    fields = [df.schema[g] for g in group_by]
+    schema = T.StructType([*[T.StructField(f"_g_{f.name}", f.dataType) for f in fields],
+                           T.StructField("_cut", T.IntegerType()), T.StructField("_at", T.LongType())])
+    cuts = checked_broadcast(df.sparkSession.createDataFrame(wanted, schema))
+    same = [narrow[g].eqNullSafe(cuts[f"_g_{g}"]) for g in group_by]
+    at = cuts.join(narrow, [*same, narrow[POS] == cuts["_at"]], "left") if same else cuts.join(narrow, narrow[POS] == cuts["_at"], "left")
+    found = at.groupBy(*[f"_g_{g}" for g in group_by]).agg(*[
+        F.max(F.when(F.col("_cut") == i, F.struct(*order_by))).alias(f"_k{i}") for i in range(n_cuts)])
+    found = found.select(*[f"_g_{g}" for g in group_by], *[F.col(f"_k{i}")[k].alias(f"_k{i}_{k}") for i in range(n_cuts) for k in order_by])
+    found = checked_broadcast(found)
+    if group_by:
+        cond = None
+        for g in group_by:
+            one = df[g].eqNullSafe(found[f"_g_{g}"])
+            cond = one if cond is None else cond & one
+        joined = df.join(found, cond)
+    else:
+        joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(found.withColumn("_one", F.lit(1))), "_one")
+    out = None
+    for i in range(n_cuts):
+        key = [F.col(f"_k{i}_{k}") for k in order_by]
+        cond = key[-1].isNull() | _before(order_by, key, descending)  # no key: the cut is past the group's end
+        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
+    return joined.select(*[df[c] for c in df.columns] if group_by else df.columns, out.otherwise(F.lit(n_cuts)).alias(label))
 
 
 def first_n_by_key(df: DataFrame, order_by: Sequence[str], n: int | Callable[[tuple], int],
                    group_by: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` rows of each group in key order, exactly (``n`` may depend on the group)."""
-    cap = (lambda size, g: [n]) if isinstance(n, int) else (lambda size, g: [n(g)])
-    bounds = boundary_keys(df, order_by, group_by, cap)
-    return df.where(slice_label(order_by, group_by, bounds) == 0)
+    cuts = (lambda size, g: [n]) if isinstance(n, int) else (lambda size, g: [n(g)])
+    return label_slices(df, order_by, group_by, cuts, "_slice").where(F.col("_slice") == 0).drop("_slice")
 
 
 def row_at(df: DataFrame, order_by: Sequence[str], k: int) -> DataFrame:
-    """The row at 0-based position ``k`` in key order (empty if the table is shorter)."""
-    bounds = boundary_keys(df, order_by, (), lambda size, g: [k, k + 1])
-    if bounds.get((), [None])[0] is None:
-        return df.where(F.lit(False))
-    return df.where(slice_label(order_by, (), bounds) == 1)
+    """The row at 0-based position ``k`` in key order (empty if the table is shorter): a top-k per task."""
+    return df.orderBy(*order_by).offset(k).limit(1)

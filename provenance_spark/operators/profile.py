@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenance_spark.session import checked_broadcast
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """A1: rows per value (order: count desc, then value - apply at presentation)."""
@@ -50,7 +52,7 @@ def length_band(value: Column, q1: Column, q3: Column) -> Column:
 
 def length_bands(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """A4: every row labelled with its band against its group's quartiles (one DF, not three)."""
-    q = quartiles(df, value, by).select(*by, "q1", "q3")
+    q = checked_broadcast(quartiles(df, value, by).select(*by, "q1", "q3"))
     return (df.join(q, list(by))
             .withColumn("band", length_band(F.col(value), F.col("q1"), F.col("q3")))
             .drop("q1", "q3"))
@@ -58,7 +60,7 @@ def length_bands(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = 100, digits: int = 6) -> DataFrame:
     """Equal-width bins over each group's own [min, max]; the last bin is closed; empty bins kept."""
-    stats = df.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    stats = checked_broadcast(df.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx")))
     width = F.col("_mx") - F.col("_mn")
     raw = F.floor(F.try_divide((F.col(value) - F.col("_mn")) * bins, width))
     bin_ = F.when(width > 0, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
@@ -78,7 +80,7 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.
     lo_lim = F.col("q1") - whis * F.col("iqr")
     hi_lim = F.col("q3") + whis * F.col("iqr")
     x = F.col(value)
-    joined = df.join(q.select(*by, "q1", "median", "q3", "iqr"), list(by))
+    joined = df.join(checked_broadcast(q.select(*by, "q1", "median", "q3", "iqr")), list(by))
     return joined.groupBy(*by, "q1", "median", "q3", "iqr").agg(
         F.min(F.when(x >= lo_lim, x)).alias("whisker_lo"),
         F.max(F.when(x <= hi_lim, x)).alias("whisker_hi"),

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
+from provenance_spark.session import checked_broadcast
 
 DEFAULT_PREFIX = 4
 
@@ -32,33 +33,26 @@ def seeded_hash(row_id: Column, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
 
 
-def quota_frame(spark, quotas: Mapping[tuple, int], strata: Sequence[str]) -> DataFrame:
-    rows = [(*k, int(v)) for k, v in quotas.items()]
-    schema = ", ".join([f"{s} string" for s in strata] + ["_quota long"])
-    return spark.createDataFrame(rows, schema)
-
-
 def balanced_quotas(counts: DataFrame, split_col: str = "split", version_col: str = "version",
                     total: Mapping[str, int] | None = None) -> DataFrame:
     """Per (split, version) quota with the 4:1:1:2 mix (human, gpt2, gpt3, gpt3.5).
 
     ``total`` fixes the sample size of a split (a multiple of 8); splits absent from ``total`` get
-    the largest size their strata support: 8 x min(count // part). ``counts`` has columns
-    (split, version, n).
+    the largest size their strata support: 8 x min(count // part), and one part at least, so that a
+    stratum that is missing or too short raises in :func:`stratified_sample` and no split vanishes.
+    ``counts`` has columns (split, version, n).
     """
     parts = F.create_map(*[x for v, p in fv.VERSION_PARTS for x in (F.lit(v), F.lit(p))])
-    with_part = counts.withColumn("_part", F.element_at(parts, F.col(version_col)))
+    grid = counts.select(split_col).distinct().withColumn(version_col, F.explode(F.array(*[F.lit(v) for v, _ in fv.VERSION_PARTS])))
+    every = grid.join(counts, [split_col, version_col], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    with_part = every.withColumn("_part", F.element_at(parts, F.col(version_col)))
     unit_auto = with_part.groupBy(split_col).agg(
-        F.min(F.floor(F.col("n") / F.col("_part"))).alias("_unit_auto"),
-        F.count(F.lit(1)).alias("_strata"))
-    # a stratum missing from the data means a unit of 0
-    unit_auto = unit_auto.withColumn(
-        "_unit_auto", F.when(F.col("_strata") < len(fv.VERSION_PARTS), 0).otherwise(F.col("_unit_auto")))
+        F.greatest(F.min(F.floor(F.col("n") / F.col("_part"))), F.lit(1)).alias("_unit_auto"))
     unit = F.col("_unit_auto")
     if total:
         fixed = F.create_map(*[x for s, t in total.items() for x in (F.lit(s), F.lit(t // fv.PARTS_TOTAL))])
         unit = F.coalesce(F.element_at(fixed, F.col(split_col)), unit)
-    return (with_part.join(F.broadcast(unit_auto), split_col)
+    return (with_part.join(unit_auto, split_col)
             .select(split_col, version_col, "n", (unit * F.col("_part")).cast("long").alias("_quota")))
 
 
@@ -75,7 +69,7 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], quotas: DataFrame, i
     run = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_cum", F.sum("_cnt").over(run))
     totals = hist.groupBy(*strata).agg(F.max("_cum").alias("_total"))
-    q = F.broadcast(quotas.select(*strata, "_quota"))
+    q = checked_broadcast(quotas.select(*strata, "_quota"))
     # boundary bucket: first bucket whose running count reaches the quota
     bound = (hist.join(q, list(strata))
              .where((F.col("_cum") >= F.col("_quota")) & (F.col("_cum") - F.col("_cnt") < F.col("_quota")))
@@ -89,7 +83,7 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], quotas: DataFrame, i
         plan = plan.where(F.when(short, F.raise_error(F.concat(
             F.lit("stratum too small for its quota: "),
             F.to_json(F.struct(*strata, "_quota", "_total"))))).otherwise(F.lit(True)))
-    plan = F.broadcast(plan.where(F.col("_quota") > 0).select(*strata, "_bbucket", "_need"))
+    plan = checked_broadcast(plan.where(F.col("_quota") > 0).select(*strata, "_bbucket", "_need"))
     joined = keyed.join(plan, list(strata))
     inside = joined.where(F.col("_bucket") < F.col("_bbucket"))
     edge = joined.where(F.col("_bucket") == F.col("_bbucket"))

@@ -119,8 +119,13 @@ def sgd_epoch(rows: pd.DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence
 
 def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
               init: tuple[np.ndarray, np.ndarray] | None = None,
-              compact: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-    """Fit all losses in one scan of ``df`` (idx array<int>, val array<double>, y int)."""
+              compact: bool = False, step: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Fit all losses in one scan of ``df`` (idx array<int>, val array<double>, y int).
+
+    ``step`` is the number of steps already made, so the learning rate goes on where the pass before
+    ended; the third result is the number after this pass: ``step`` and the mean rows of a
+    partition. On one partition, passes over two halves equal one pass over both.
+    """
     n_l = len(losses)
     W0 = np.zeros((n_l, dim)) if init is None else init[0]
     b0 = np.zeros(n_l) if init is None else init[1]
@@ -129,7 +134,7 @@ def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
 
     def fit_partition(batches):
         W, b = start.value[0].copy(), start.value[1].copy()
-        n, t = 0, 0
+        n, t = 0, step
         for pdf in batches:
             t = sgd_epoch(pdf, W, b, losses, t, compact)
             n += len(pdf)
@@ -142,20 +147,19 @@ def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
 
     parts = df.select("idx", "val", "y").mapInPandas(fit_partition, "l long, i long, v double, n long")
     # one scan: every partition emits exactly one intercept row (i = -1) per loss carrying its n
-    sums = parts.groupBy("l", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+    sums = (parts.groupBy("l", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.count("*").alias("p"))
+            .toArrow())  # columns, at most losses x (features + 1) rows
     start.unpersist()
-    total = {r["l"]: r["n"] for r in sums if r["i"] == -1}
+    if not sums.num_rows:  # no rows at all: nothing moves
+        return W0, b0, step
+    l, i, v, n, p = (sums.column(c).to_numpy() for c in ("l", "i", "v", "n", "p"))
+    own = i == -1
+    rows, tasks = int(n[own].max()), int(p[own].max())
     W, b = np.zeros((n_l, dim)), np.zeros(n_l)
-    for r in sums:
-        denom = total.get(r["l"], 1)
-        if r["i"] == -1:
-            b[r["l"]] = r["v"] / denom
-        else:
-            W[r["l"], r["i"]] = r["v"] / denom
     # partitions that saw no rows keep the start weights out of the average by construction
-    if not total:
-        return W0, b0, 0
-    return W, b, int(max(total.values()))
+    W[l[~own], i[~own]] = v[~own] / rows
+    b[l[own]] = v[own] / rows
+    return W, b, step + -(-rows // tasks)
 
 
 def evaluate(df: DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str] = fv.SGD_LOSSES,

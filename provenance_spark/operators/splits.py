@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenance_spark.operators.positions import boundary_keys, slice_label
+from provenance_spark.operators.positions import label_slices
 from provenance_spark.operators.sampling import balanced_quotas, stratified_sample
 
 SLICE_NAMES = ("train", "valid", "test")
@@ -40,10 +40,8 @@ def positional_split(df: DataFrame, order_by: Sequence[str], group_by: Sequence[
     ``cuts(n)`` gives the cut positions for a group of ``n`` rows; the labels stay one DataFrame
     (the union of the per-corpus slices) with a ``split`` column.
     """
-    bounds = boundary_keys(df, order_by, group_by, cuts)
-    label = slice_label(order_by, group_by, bounds)
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), label + 1)
-    return df.withColumn(split_col, name)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_slice") + 1)
+    return label_slices(df, order_by, group_by, cuts, "_slice").withColumn(split_col, name).drop("_slice")
 
 
 def prepare_datasets(corpus: DataFrame, train_size: int | None = None, eval_size: int | None = None,
@@ -51,8 +49,8 @@ def prepare_datasets(corpus: DataFrame, train_size: int | None = None, eval_size
     """Flagship (W3 over U2): a balanced, versioned sample of every split.
 
     Each split is sampled 4:1:1:2 over (human, gpt2, gpt3, gpt3.5). ``train_size``/``eval_size``
-    fix the sample size (multiples of 8; a short stratum raises); ``None`` takes the largest
-    balanced sample the split supports.
+    fix the sample size (multiples of 8); ``None`` takes the largest balanced sample the split
+    supports. A stratum that is missing or too short for one part raises in every split.
     """
     counts = corpus.groupBy("split", "version").agg(F.count(F.lit(1)).alias("n"))
     total = {}

@@ -11,7 +11,10 @@ from provenance_spark.operators.splits import (fraction_cuts, positional_split,
                                                search_frame, tail_cuts)
 from provenance_spark.plans.oracle import CORPUS_CTE, quotas_cte, sample_cte
 from provenance_spark.plans.registry import query
-from provenance_spark.sources.corpus import CORPUS_COLUMNS, corpus_from_conversations
+from provenance_spark.session import workspace_path
+from provenance_spark.sources.corpus import (CORPUS_COLUMNS, SPLITS, CsvCorpusConfig, corpus_from_conversations,
+                                             load_labelled_csv)
+from provenance_spark.sources.materialize import write_csv
 from provenance_spark.sources.tables import read_table
 
 
@@ -30,7 +33,7 @@ def q_corpus_load(spark, sf_dir):
 CAP_TRAIN, CAP_EVAL = 200, 40
 
 
-@query("corpus_cap", "S6 W1 S1c", f"""
+@query("corpus_cap", "S6 W1", f"""
 WITH {CORPUS_CTE},
 r AS (SELECT *, row_number() OVER (PARTITION BY split, AI ORDER BY id) - 1 AS pos FROM corpus)
 SELECT id, split, AI, version, text_length FROM r
@@ -43,7 +46,26 @@ def q_corpus_cap(spark, sf_dir):
     return capped
 
 
-@query("positional_split", "W1 U2 L1b", """
+CSV_CAP_TRAIN, CSV_CAP_EVAL = 100, 20
+
+
+@query("corpus_csv_load", "S1 S1b S1c S2 S5 S6 S8 U1", f"""
+WITH {CORPUS_CTE},
+r AS (SELECT *, row_number() OVER (PARTITION BY split, AI ORDER BY id) AS pos FROM corpus)
+SELECT split, AI, text FROM r
+WHERE pos <= CASE WHEN split = 'train' THEN {CSV_CAP_TRAIN // 2} ELSE {CSV_CAP_EVAL // 2} END""")
+def q_corpus_csv_load(spark, sf_dir):
+    """The corpus written as the per-split CSV files the original ships, then loaded back with caps."""
+    cfg = CsvCorpusConfig(workspace_path(spark, "corpus_csv"), train_cap=CSV_CAP_TRAIN, eval_cap=CSV_CAP_EVAL)
+    corpus = load_corpus(spark, sf_dir).select("id", "split", "AI", "text")
+    for split in SPLITS:
+        for path, ai in ((cfg.human_path(split), 0), (cfg.machine_path(split), 1)):
+            rows = corpus.where((F.col("split") == split) & (F.col("AI") == ai)).select("id", "text")
+            write_csv(rows.repartitionByRange("id").sortWithinPartitions("id"), path)
+    return load_labelled_csv(spark, cfg).select("split", "AI", "text")
+
+
+@query("positional_split", "W1", """
 WITH r AS (SELECT doc_id, source, n_chars,
                   row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
                   count(*) OVER (PARTITION BY source) AS n
@@ -59,7 +81,7 @@ def q_positional_split(spark, sf_dir):
 TAIL_VALID, TAIL_TEST = 5, 5
 
 
-@query("positional_split_tail", "W1 U2", f"""
+@query("positional_split_tail", "W1", f"""
 WITH r AS (SELECT doc_id, lang, n_chars,
                   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos,
                   count(*) OVER (PARTITION BY lang) AS n
@@ -73,7 +95,7 @@ def q_positional_split_tail(spark, sf_dir):
     return positional_split(docs, ["doc_id"], ["lang"], tail_cuts(TAIL_VALID, TAIL_TEST))
 
 
-SAMPLE_TRAIN_SIZE = 200
+SAMPLE_TRAIN_SIZE = 8
 
 
 @query("stratified_sample", "W3 P6 L1", lambda: f"""
@@ -97,7 +119,7 @@ WITH {CORPUS_CTE},
 SELECT id, split, version, AI, text, text_length FROM sample"""
 
 
-@query("prepare_datasets", "W1 U2 U3 W3 P6 S13", PREPARE_SQL)
+@query("prepare_datasets", "U3 W3 P6", PREPARE_SQL)
 def q_prepare_datasets(spark, sf_dir):
     return prepare_datasets(load_corpus(spark, sf_dir)).select(
         "id", "split", "version", "AI", "text", "text_length")

@@ -21,7 +21,7 @@ def sql_list(items) -> str:
 
 CORPUS_CTE = """corpus AS (
   SELECT conv_id * 1000 + turn AS id,
-         CASE WHEN conv_id % 10 < 8 THEN 'train' WHEN conv_id % 10 = 8 THEN 'valid' ELSE 'test' END AS split,
+         CASE WHEN conv_id % 10 < 6 THEN 'train' WHEN conv_id % 10 < 8 THEN 'valid' ELSE 'test' END AS split,
          CASE WHEN role = 'user' THEN 0 ELSE 1 END AS AI,
          CASE WHEN role = 'user' THEN 'human'
               WHEN substr(md5(CAST(conv_id * 1000 + turn AS VARCHAR)), 1, 1) IN ('0','1','2','3') THEN 'gpt2'
@@ -33,18 +33,19 @@ CORPUS_CTE = """corpus AS (
 
 
 def quotas_cte(name: str = "quotas", total: dict[str, int] | None = None) -> str:
-    """Per (split, version) quota: 4:1:1:2 parts; auto size = 8 x min(count // part) per split."""
+    """Per (split, version) quota: 4:1:1:2 parts; auto size = 8 x min(count // part) per split, 8 at least."""
     parts = " ".join(f"WHEN {sql_str(v)} THEN {p}" for v, p in fv.VERSION_PARTS)
+    versions = ", ".join(sql_str(v) for v, _ in fv.VERSION_PARTS)
     fixed = ""
     if total:
         fixed = "CASE " + " ".join(f"WHEN c.split = {sql_str(s)} THEN {t // fv.PARTS_TOTAL}"
                                    for s, t in total.items()) + " ELSE NULL END"
     unit = f"coalesce({fixed}, u.unit_auto)" if fixed else "u.unit_auto"
     return f"""counts AS (
-  SELECT split, version, count(*) AS n, CASE version {parts} END AS part FROM corpus GROUP BY split, version),
-units AS (
-  SELECT split, CASE WHEN count(*) < {len(fv.VERSION_PARTS)} THEN 0 ELSE min(CAST(floor(n / part) AS BIGINT)) END AS unit_auto
-  FROM counts GROUP BY split),
+  SELECT g.split, g.version, coalesce(c.n, 0) AS n, CASE g.version {parts} END AS part
+  FROM (SELECT split, unnest([{versions}]) AS version FROM (SELECT DISTINCT split FROM corpus)) g
+  LEFT JOIN (SELECT split, version, count(*) AS n FROM corpus GROUP BY split, version) c USING (split, version)),
+units AS (SELECT split, greatest(min(CAST(floor(n / part) AS BIGINT)), 1) AS unit_auto FROM counts GROUP BY split),
 {name} AS (
   SELECT c.split, c.version, c.n, CAST({unit} * c.part AS BIGINT) AS quota
   FROM counts c JOIN units u ON c.split = u.split)"""

@@ -26,7 +26,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = "16g"
+    conf["spark.driver.memory"] = f"{max(1, _memory_gib() // 2)}g"  # the rest is for Python workers
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -37,6 +37,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def _memory_gib() -> int:
+    return os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 30
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -68,7 +72,8 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests, the bench) a private temporary folder is set.
+    Only a local master (tests, the bench) gets a private temporary folder where nothing is
+    configured; a cluster's executors would not see one, so there the missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -77,8 +82,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="provenance-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc.getCheckpointDir()
 
 
@@ -92,6 +99,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def checked_broadcast(df, limit: int = 100_000):
+    """``df`` (a small aggregate) computed once, and broadcast if it has at most ``limit`` rows.
+
+    Beyond the limit the join it goes into stays a shuffle join.
+    """
+    from pyspark.sql import functions as F
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -16,18 +16,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from provenance_spark.functions.text import normalize_newlines, text_length
+from provenance_spark.sources.materialize import csv_reader
 
 SPLITS = ("train", "valid", "test")
 CORPUS_COLUMNS = ("id", "split", "AI", "version", "text", "text_length")
 
 
 def split_of(conv_id: Column) -> Column:
-    """``conv_id % 10``: 0-7 train, 8 valid, 9 test (a conversation never straddles splits)."""
+    """``conv_id % 10``: 0-5 train, 6-7 valid, 8-9 test (a conversation never straddles splits)."""
     bucket = F.pmod(conv_id, F.lit(10))
-    return F.when(bucket < 8, "train").when(bucket == 8, "valid").otherwise("test")
+    return F.when(bucket < 6, "train").when(bucket < 8, "valid").otherwise("test")
 
 
 def version_of(role: Column, row_id: Column) -> Column:
@@ -53,9 +53,6 @@ def corpus_from_conversations(conversations: DataFrame) -> DataFrame:
             .withColumn("text_length", text_length(F.col("text"))))
 
 
-TEXT_ONLY = T.StructType([T.StructField("text", T.StringType())])
-
-
 @dataclass(frozen=True)
 class CsvCorpusConfig:
     """Where the per-split corpus CSV files are and how much of them to read.
@@ -81,18 +78,28 @@ class CsvCorpusConfig:
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV scan keeping only ``text`` (quoted newlines allowed); null text is dropped."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .csv(path).select("text"))
-    return df.where(F.col("text").isNotNull())
+    """CSV scan keeping only ``text`` (quoted newlines allowed), of files with any columns around it."""
+    return csv_reader(spark).option("header", True).csv(path).select(F.col("text").cast("string"))
 
 
 def load_labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
     """One DataFrame for all splits with ``split``, ``AI``, file position ``pos``.
 
-    Row caps keep the first ``cap // 2`` rows of each file in file order (S6); file order is
-    recovered with an explicit per-file position (see :func:`file_positions`).
+    Row caps keep the first ``cap // 2`` rows of each file in file order (S6), rows with a null text
+    included; null texts are dropped after the cap, and :func:`null_texts` counts them. File order
+    is recovered with an explicit position (see :func:`file_positions`).
     """
+    return _labelled_csv(spark, cfg).where(F.col("text").isNotNull())
+
+
+def null_texts(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
+    """Rows per (split, AI) whose text is null: what :func:`load_labelled_csv` leaves out."""
+    return (_labelled_csv(spark, cfg).groupBy("split", "AI")
+            .agg(F.count(F.when(F.col("text").isNull(), 1)).alias("n_null")))
+
+
+def _labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
+    """Every row within the caps, file by file."""
     from provenance_spark.operators.positions import first_n_by_key
 
     parts = []
@@ -101,7 +108,7 @@ def load_labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
         for path, ai in ((cfg.human_path(split), 0), (cfg.machine_path(split), 1)):
             df = file_positions(read_text_csv(spark, path))
             if cap is not None:
-                df = first_n_by_key(df, ["pos"], cap // 2)
+                df = first_n_by_key(df, ["file", "pos"], cap // 2)
             parts.append(df.withColumn("AI", F.lit(ai)).withColumn("split", F.lit(split)))
     out = parts[0]
     for p in parts[1:]:
@@ -110,8 +117,9 @@ def load_labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
 
 
 def file_positions(df: DataFrame) -> DataFrame:
-    """Position of each row in file order: (input file, offset within the file's partitions)."""
-    return (df.withColumn("_file", F.input_file_name())
+    """``file`` and ``pos``: order by both is file order. A folder's part files count in order of
+    their names; quoted newlines keep a file in one task, which numbers its rows as it reads them."""
+    return (df.withColumn("file", F.input_file_name())
               .withColumn("pos", F.monotonically_increasing_id()))
 
 

@@ -7,7 +7,6 @@ Parquet committer writes last, so a half-written directory is rebuilt instead of
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from urllib.parse import urlparse
 
@@ -26,6 +25,13 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` (none if it doesn't exist)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in store.listStatus(p) if x.isDirectory()] if store.exists(p) else []
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     return _fs_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
@@ -43,22 +49,27 @@ def materialize(spark: SparkSession, root: str, key: str, build: Callable[[], Da
     return spark.read.parquet(path)
 
 
+#: What stands for null in written CSV, so that the empty text stays the empty text.
+CSV_NULL = "\\N"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header, no index, quotes doubled, newlines kept inside quoted fields."""
     (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
-       .csv(path))
+       .option("nullValue", CSV_NULL).option("emptyValue", "").csv(path))
+
+
+def csv_reader(spark: SparkSession):
+    """Options that read :func:`write_csv`'s files: quoted newlines, empty texts kept, nulls by their marker."""
+    return (spark.read.option("multiLine", True).option("escape", '"').option("nullValue", CSV_NULL)
+            .option("emptyValue", ""))
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """CSV with an explicit schema; ``multiLine`` keeps quoted newlines inside a field."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    return csv_reader(spark).schema(schema).option("header", True).csv(path)
 
 
 def local_path(path: str) -> str:
     parsed = urlparse(path)
     return parsed.path if parsed.scheme in ("", "file") else path
-
-
-def path_exists_locally(path: str) -> bool:
-    return os.path.exists(local_path(path))

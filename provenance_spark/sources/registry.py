@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provenance_spark.operators.heads import RidgeModel
 from provenance_spark.sources.materialize import cache_key, is_complete
 
+RIDGE_SCHEMA = "coef array<double>, intercept double, alpha double"
 SCORE_SCHEMA = T.StructType([
     T.StructField("head", T.StringType()),
     T.StructField("ckpt", T.StringType()),
@@ -25,6 +28,26 @@ SCORE_SCHEMA = T.StructType([
 ])
 
 
+def save_model(spark: SparkSession, model, path: str) -> None:
+    """An ML model as a ``PipelineModel``; a ridge model as one Parquet row."""
+    from pyspark.ml import PipelineModel
+    if isinstance(model, RidgeModel):
+        row = [([float(x) for x in model.coef], float(model.intercept), float(model.alpha))]
+        spark.createDataFrame(row, RIDGE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    else:
+        whole = model if isinstance(model, PipelineModel) else PipelineModel([model])
+        whole.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """What :func:`save_model` has stored."""
+    from pyspark.ml import PipelineModel
+    if is_complete(spark, path):
+        row = spark.read.schema(RIDGE_SCHEMA).parquet(path).first()
+        return RidgeModel(np.array(row["coef"]), row["intercept"], row["alpha"])
+    return PipelineModel.load(path)
+
+
 class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -49,15 +72,14 @@ class ModelRegistry:
         """Log the run; save ``model`` (an ML ``Model`` with ``write()``) iff it beats the best."""
         saved = test_score > self.best_score(head, ckpt, train_size)
         if saved:
-            model.write().overwrite().save(self.model_path(head, ckpt, train_size))
+            save_model(self.spark, model, self.model_path(head, ckpt, train_size))
         row = [(head, ckpt, int(train_size), float(test_score), saved, dt.datetime.now(dt.timezone.utc))]
         self.spark.createDataFrame(row, SCORE_SCHEMA).coalesce(1).write.mode("append").parquet(self.scores_path)
         return saved
 
     def load(self, head: str, ckpt: str, train_size: int):
-        from pyspark.ml import PipelineModel
-        return PipelineModel.load(self.model_path(head, ckpt, train_size))
+        return load_model(self.spark, self.model_path(head, ckpt, train_size))
 
     def has_model(self, head: str, ckpt: str, train_size: int) -> bool:
-        from provenance_spark.sources.materialize import _fs_exists
-        return _fs_exists(self.spark, self.model_path(head, ckpt, train_size) + "/metadata")
+        path = self.model_path(head, ckpt, train_size)
+        return is_complete(self.spark, path) or is_complete(self.spark, f"{path}/metadata")

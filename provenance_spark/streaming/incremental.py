@@ -2,24 +2,28 @@
 
 Each micro-batch continues the mixed SGD of ``operators.sgd`` from the weights stored after the
 previous batch. Features are hashed (F12), so no vocabulary has to be refitted as data arrives.
-Weights are written per ``batch_id``; a replayed batch finds its id already stored and is skipped,
-which makes the sink idempotent under retries.
+Each batch's weights and step count are a folder of their own; a replayed batch finds its folder
+complete and is skipped, which makes the sink idempotent under retries. A batch reads only the last
+folder before it, so its time doesn't grow with the number of batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenance_spark.functions import fixed_values as fv
 from provenance_spark.functions.text import with_ngram_terms
 from provenance_spark.operators import sgd
-from provenance_spark.sources.materialize import _fs_exists
+from provenance_spark.sources.materialize import is_complete, list_folders
 
-WEIGHT_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("l", T.LongType()),
-                              T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType())])
+#: One row for each loss: its non-zero weights, intercept and the number of steps made.
+WEIGHT_SCHEMA = T.StructType([T.StructField("l", T.LongType()), T.StructField("idx", T.ArrayType(T.LongType())),
+                              T.StructField("val", T.ArrayType(T.DoubleType())), T.StructField("b", T.DoubleType()),
+                              T.StructField("step", T.LongType())])
 
 
 def hashed_rows(df: DataFrame, text_col: str = "text", num_features: int = 1 << 18) -> DataFrame:
@@ -48,49 +52,39 @@ class IncrementalSGD:
         self.label_col = label_col
         self.text_col = text_col
 
-    def _state(self) -> DataFrame | None:
-        if not _fs_exists(self.spark, self.state_dir):
-            return None
-        return self.spark.read.schema(WEIGHT_SCHEMA).parquet(self.state_dir)
+    def _folder(self, batch_id: int) -> str:
+        return f"{self.state_dir}/batch-{batch_id}"
 
     def stored_batches(self) -> set[int]:
-        st = self._state()
-        if st is None:
-            return set()
-        return {r["batch_id"] for r in st.select("batch_id").distinct().collect()}
+        """Ids of the complete folders: a listing, no scan."""
+        return {int(name[6:]) for name in list_folders(self.spark, self.state_dir)
+                if name.startswith("batch-") and is_complete(self.spark, f"{self.state_dir}/{name}")}
 
-    def weights(self, before: int | None = None) -> tuple[np.ndarray, np.ndarray, int | None]:
-        """Weights after the latest stored batch (optionally the latest before ``before``)."""
+    def state(self, before: int | None = None) -> tuple[np.ndarray, np.ndarray, int, int | None]:
+        """Weights, intercepts, steps and id of the latest stored batch (optionally the latest before ``before``)."""
         W, b = np.zeros((len(self.losses), self.dim)), np.zeros(len(self.losses))
-        st = self._state()
-        if st is None:
-            return W, b, None
-        if before is not None:
-            st = st.where(F.col("batch_id") < before)
-        last = st.agg(F.max("batch_id")).first()[0]
-        if last is None:
-            return W, b, None
-        for r in st.where(F.col("batch_id") == last).collect():  # bounded by losses x features
-            if r["i"] == -1:
-                b[r["l"]] = r["v"]
-            else:
-                W[r["l"], r["i"]] = r["v"]
+        ids = [i for i in self.stored_batches() if before is None or i < before]
+        if not ids:
+            return W, b, 0, None
+        step = 0
+        for r in self.spark.read.schema(WEIGHT_SCHEMA).parquet(self._folder(max(ids))).toArrow().to_batches():
+            for l, idx, val, own, at in zip(*r.columns, strict=True):  # a row for each loss
+                W[l.as_py(), idx.values.to_numpy()] = val.values.to_numpy()
+                b[l.as_py()], step = own.as_py(), at.as_py()
+        return W, b, step, max(ids)
+
+    def weights(self, before: int | None = None) -> tuple[np.ndarray, np.ndarray, int | None]:
+        W, b, _, last = self.state(before)
         return W, b, last
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id in self.stored_batches():
             return  # replayed batch: already applied
-        W0, b0, _ = self.weights(before=batch_id)
+        W0, b0, step, _ = self.state(before=batch_id)
         rows = hashed_rows(batch, self.text_col, self.dim).select(
             "idx", "val", F.col(self.label_col).alias("y"))
-        W, b, n = sgd.mixed_sgd(rows, self.dim, self.losses, init=(W0, b0), compact=True)
-        out = []
-        for k in range(len(self.losses)):
-            nz = np.nonzero(W[k])[0]
-            out.extend((int(batch_id), k, int(i), float(W[k, i])) for i in nz)
-            out.append((int(batch_id), k, -1, float(b[k])))
-        self.spark.createDataFrame(out, WEIGHT_SCHEMA).write.mode("append").parquet(self.state_dir)
-
-
-def label_of(role: Column) -> Column:
-    return F.when(role == "user", 0).otherwise(1)
+        W, b, step = sgd.mixed_sgd(rows, self.dim, self.losses, init=(W0, b0), compact=True, step=step)
+        kept = [np.flatnonzero(w) for w in W]
+        table = pa.table({"l": range(len(W)), "idx": kept, "val": [w[k] for w, k in zip(W, kept, strict=True)],
+                          "b": b, "step": [step] * len(W)})
+        self.spark.createDataFrame(table, WEIGHT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(self._folder(batch_id))
