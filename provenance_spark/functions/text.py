@@ -140,9 +140,15 @@ def whitespace_split(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, spaces, " " * len(spaces)), " "), lambda w: w != "")
 
 
+def separate_marks(text: Column) -> Column:
+    """Non-ASCII quotation marks stand as tokens of their own (ASCII ones are gone after T1)."""
+    marks = "".join(fv.QUOTE_MARKS)
+    return F.when(text.rlike(f"[{marks}]"), F.regexp_replace(text, f"([{marks}])", " $1 ")).otherwise(text)
+
+
 def word_tokens(text: Column) -> Column:
-    """T4: word tokens of already cleaned text: contraction splits, then whitespace runs."""
-    return whitespace_split(split_contractions(text))
+    """T4: word tokens of already cleaned text: marks apart, contraction splits, then whitespace runs."""
+    return whitespace_split(split_contractions(separate_marks(text)))
 
 
 def remove_stopwords(tokens: Column, stopwords: Sequence[str] = fv.NLTK_ENGLISH_STOPWORDS) -> Column:
@@ -179,14 +185,14 @@ def lemmatize_tokens(tokens: Column, lemma_map: Mapping[str, str]) -> Column:
     if not lemma_map:
         return tokens
     if len(lemma_map) > MAX_LITERAL_LEMMAS:
-        raise ValueError("lemma table too large for an inline map; use operators.text_ops.lemmatize_join")
+        raise ValueError("lemma table too large for an inline map; use operators.features.lemmatize_join")
     keys = sorted(lemma_map)
     m = F.map_from_arrays(F.lit(keys), F.lit([lemma_map[k] for k in keys]))
     # hash-set test first; only known forms pay for the (linear) map lookup
     return F.transform(tokens, lambda t: F.when(t.isin(keys), F.try_element_at(m, t)).otherwise(t))
 
 
-def clean_text(text: Column, remove_stopword: bool = True, lemmatize: bool = True,
+def clean_text(text: Column, remove_stopword: bool = False, lemmatize: bool = False,
                lemma_map: Mapping[str, str] | None = None,
                stopwords: Sequence[str] = fv.NLTK_ENGLISH_STOPWORDS, already_basic: bool = False) -> Column:
     """T1-T3, then (when a flag is set) tokens, stop words, lemmas, joined by spaces; stripped.
@@ -206,7 +212,7 @@ def clean_text(text: Column, remove_stopword: bool = True, lemmatize: bool = Tru
 
 
 def with_clean_text(df: DataFrame, text_col: str = "text", out_col: str = "clean",
-                    remove_stopword: bool = True, lemmatize: bool = True,
+                    remove_stopword: bool = False, lemmatize: bool = False,
                     lemma_map: Mapping[str, str] | None = None,
                     stopwords: Sequence[str] = fv.NLTK_ENGLISH_STOPWORDS) -> DataFrame:
     """:func:`clean_text` as a DataFrame step, with T1-T3 in a column of their own first.

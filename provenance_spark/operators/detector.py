@@ -1,9 +1,9 @@
 """The detector end to end: features for the prepared corpus, and scoring texts.
 
-``hidden_features`` is the batch path of the original pipeline (encode -> frozen encoder ->
-one vector per text); ``tfidf_arrays`` gives sparse TF-IDF rows for the linear baselines.
-``DetectorModel`` scores whole DataFrames (batch or streaming): pre-tokens -> ids -> vector -> head
--> probability -> class, with every worker loading the encoder once.
+``hidden_features`` is the batch path of the original pipeline (pre-tokens -> encoder -> one vector
+per text); ``tfidf_arrays`` gives sparse TF-IDF rows for the linear baselines.
+``DetectorModel`` scores whole DataFrames (batch or streaming): pre-tokens -> vector -> head
+-> probability -> class.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from provenance_spark.functions.text import encoder_pre_tokens, normalize_newlin
 from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
 from provenance_spark.operators.heads import RidgeModel, check_head
+from provenance_spark.session import cut_lineage
 
-ENCODER_VOCAB = 2000
-MAX_LEN = 64
 DIM = 64
 
 
@@ -35,19 +34,16 @@ def sigmoid(x: Column, k: float = 1.0) -> Column:
     return 1.0 / (1.0 + F.exp(-k * x))
 
 
-def fit_encoder_vocabulary(train: DataFrame, text_col: str = "text", size: int = ENCODER_VOCAB) -> dict[str, int]:
-    toks = train.select(encoder_pre_tokens(F.col(text_col)).alias("tokens"))
-    rows = enc.word_vocabulary(toks, "tokens", size).collect()  # bounded by ``size``
-    return {r["word"]: int(r["id"]) for r in rows}
+def fit_encoder(train: DataFrame, text_col: str = "text", dim: int = DIM):
+    """Word vectors trained on the texts of the train split."""
+    toks = train.select(encoder_pre_tokens(normalize_newlines(F.col(text_col))).alias("_tokens"))
+    return enc.fit_word_vectors(cut_lineage(toks), "_tokens", dim)
 
 
-def hidden_features(df: DataFrame, vocab: dict[str, int], text_col: str = "text", max_len: int = MAX_LEN,
-                    dim: int = DIM, make_predict_fn=None) -> DataFrame:
-    """F7 + F8 over a whole table: ``hidden_state`` array<float> per row (no shuffle)."""
+def hidden_features(df: DataFrame, encoder, text_col: str = "text") -> DataFrame:
+    """F8 over a whole table and whole texts: ``hidden_state`` array<double> per row (no shuffle)."""
     toks = df.withColumn("_tokens", encoder_pre_tokens(normalize_newlines(F.col(text_col))))
-    encoded = enc.encode(toks, "_tokens", vocab, max_len).drop("_tokens")
-    fn = make_predict_fn or enc.hashed_bag_encoder(max(vocab.values(), default=fv.FIRST_WORD_ID) + 1, dim)
-    return enc.hidden_states(encoded, fn, max_len).drop("input_ids", "attention_mask")
+    return enc.mean_vectors(toks, encoder, "_tokens").drop("_tokens")
 
 
 def tfidf_arrays(df: DataFrame, id_col: str = "id", text_col: str = "text", keep=("split", "AI"),
@@ -55,7 +51,7 @@ def tfidf_arrays(df: DataFrame, id_col: str = "id", text_col: str = "text", keep
     """Sparse TF-IDF rows (``idx`` array<int>, ``val`` array<double>) with the vocabulary fitted on
     ``fit_split``. Rows are hash-partitioned by id once; counting, weighting, normalising and
     regrouping all reuse that partitioning."""
-    tf = ft.doc_term_counts(df.select(id_col, *keep, text_col), id_col, text_col, keep=tuple(keep))
+    tf = cut_lineage(ft.doc_term_counts(df.select(id_col, *keep, text_col), id_col, text_col, keep=tuple(keep)))
     fit_tf = tf.where(F.col("split") == fit_split).select(id_col, "term", "tf")
     n_docs = df.where(F.col("split") == fit_split).count()
     vocab = ft.fit_vocabulary(fit_tf, n_docs, min_df=min_df, max_features=max_features, id_col=id_col)
@@ -66,28 +62,26 @@ def tfidf_arrays(df: DataFrame, id_col: str = "id", text_col: str = "text", keep
     w = w.withColumn("_w", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col))))
     rows = (w.groupBy(id_col, *keep)
             .agg(F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("i"), "_w"))).alias("_e")))
-    out = rows.select(id_col, *keep, F.col("_e.i").alias("idx"), F.col("_e._w").alias("val"))
     # documents without any kept term keep an empty row
-    empty = (df.select(id_col, *keep).join(out.select(id_col), id_col, "left_anti")
-             .withColumn("idx", F.array().cast("array<int>")).withColumn("val", F.array().cast("array<double>")))
-    return out.unionByName(empty), dim
+    every = df.select(id_col, *keep).join(rows.drop(*keep), id_col, "left")
+    idx = F.coalesce(F.col("_e.i"), F.array().cast("array<int>"))
+    val = F.coalesce(F.col("_e._w"), F.array().cast("array<double>"))
+    return every.select(id_col, *keep, idx.alias("idx"), val.alias("val")), dim
 
 
 @dataclass
 class DetectorModel:
-    """G1: everything needed to score text - encoder vocabulary, encoder settings, head."""
-    vocab: dict[str, int]
+    """G1: everything needed to score text - word vectors and head."""
+    encoder: object
     head: str
     model: object
-    max_len: int = MAX_LEN
-    dim: int = DIM
     ridge_k: float = 2.0
 
     def __post_init__(self):
         check_head(self.head)
 
     def transform(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        feats = hidden_features(df, self.vocab, text_col, self.max_len, self.dim)
+        feats = hidden_features(df, self.encoder, text_col)
         if self.head == "ridge":
             assert isinstance(self.model, RidgeModel)
             proba = sigmoid(self.model.decision(F.col("hidden_state")), self.ridge_k)

@@ -2,12 +2,12 @@
 
 * :func:`encode` - pre-tokenise (JVM regex), then greedy longest-match word pieces against a
   user-supplied vocabulary in an Arrow-batched pandas UDF with a per-worker word cache; adds
-  start/end ids, truncates at ``max_len`` and pads to the fixed ``max_len`` (the attention mask is
-  ``input_ids != PAD``). Row-local: no shuffle.
+  start/end ids. Whole texts, unless a plugged-in encoder sets a maximum. Row-local: no shuffle.
+* :func:`encode_words` - the same for a whole-word vocabulary table of any size, as a join.
+* :func:`mean_vectors` - the default encoder: mean Word2Vec vector over all tokens, trained on Spark.
 * :func:`hidden_states` - ``predict_batch_udf`` with a pluggable ``make_predict_fn`` that is loaded
-  once per Python worker. Two encoders ship: :func:`hashed_bag_encoder` (deterministic random token
-  embeddings, mean-pooled; needs no model file) and :func:`onnx_encoder` (any exported encoder,
-  first-token vector of the last hidden layer).
+  once per Python worker; :func:`onnx_encoder` plugs in any exported encoder (first-token vector of
+  the last hidden layer).
 """
 
 from __future__ import annotations
@@ -16,20 +16,18 @@ from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Word2Vec, Word2VecModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenance_spark.functions import fixed_values as fv
-
-MAX_CHARS_PER_WORD = 100
-
+from provenance_spark.session import cut_lineage
 
 def wordpiece(word: str, vocab: Mapping[str, int], unk_id: int = fv.UNK_ID,
               prefix: str = fv.CONTINUATION_PREFIX) -> list[int]:
     """Greedy longest-match-first word pieces; a word with any unmatched remainder is one UNK."""
-    if len(word) > MAX_CHARS_PER_WORD:
-        return [unk_id]
     out, start = [], 0
     while start < len(word):
         end, piece = len(word), None
@@ -46,13 +44,13 @@ def wordpiece(word: str, vocab: Mapping[str, int], unk_id: int = fv.UNK_ID,
     return out
 
 
-def make_encoder_udf(vocab: Mapping[str, int], max_len: int):
-    """Pandas UDF: array<string> pre-tokens -> array<int> ids of fixed length ``max_len``."""
+def make_encoder_udf(vocab: Mapping[str, int], max_len: int | None):
+    """Pandas UDF: array<string> pre-tokens -> array<int> ids, of fixed length ``max_len`` if it is given."""
     vocab = dict(vocab)
+    cache: dict[str, list[int]] = {}  # a copy in each worker
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode_batch(tokens: pd.Series) -> pd.Series:
-        cache: dict[str, list[int]] = {}
         rows = []
         for toks in tokens:
             ids = [fv.CLS_ID]
@@ -62,50 +60,55 @@ def make_encoder_udf(vocab: Mapping[str, int], max_len: int):
                     pieces = wordpiece(t, vocab)
                     cache[t] = pieces
                 ids.extend(pieces)
-                if len(ids) >= max_len - 1:
+                if max_len and len(ids) >= max_len - 1:
                     break
-            ids = ids[: max_len - 1] + [fv.SEP_ID]
-            ids += [fv.PAD_ID] * (max_len - len(ids))
-            rows.append(ids)
+            ids = ids[: max_len - 1 if max_len else None] + [fv.SEP_ID]
+            rows.append(ids + [fv.PAD_ID] * ((max_len or 0) - len(ids)))
         return pd.Series(rows)
 
     return encode_batch
 
 
-def encode(df: DataFrame, tokens_col: str, vocab: Mapping[str, int], max_len: int = 64) -> DataFrame:
-    """``input_ids`` (fixed length) and ``attention_mask`` columns."""
+def encode(df: DataFrame, tokens_col: str, vocab: Mapping[str, int], max_len: int | None = None) -> DataFrame:
+    """``input_ids`` and ``attention_mask`` against a supplied word-piece vocabulary.
+
+    Whole texts by default; ``max_len`` cuts and pads to the maximum of a plugged-in encoder.
+    """
     ids = make_encoder_udf(vocab, max_len)(F.col(tokens_col))
     return (df.withColumn("input_ids", ids)
               .withColumn("attention_mask", F.transform("input_ids", lambda x: (x != fv.PAD_ID).cast("int"))))
 
 
-def word_vocabulary(tokens: DataFrame, tokens_col: str, size: int) -> DataFrame:
-    """A whole-word vocabulary from data: the ``size`` most frequent tokens (ties by token)."""
+def word_vocabulary(tokens: DataFrame, tokens_col: str, min_count: int = 1) -> DataFrame:
+    """A whole-word vocabulary from data: (word, id) by falling count, ties by word."""
     from provenance_spark.operators.positions import with_positions
     counts = tokens.select(F.explode(tokens_col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = with_positions(counts, ["n", "word"], descending=["n"])
-    return ranked.where(F.col("pos") < size).select("word", (F.col("pos") + fv.FIRST_WORD_ID).alias("id"))
+    kept = cut_lineage(counts.where(F.col("n") >= min_count))  # positioning samples its ranges: count once
+    ranked = with_positions(kept, ["n", "word"], descending=["n"])
+    return ranked.select("word", (F.col("pos") + fv.FIRST_WORD_ID).cast("int").alias("id"))
+
+
+def encode_words(df: DataFrame, vocab: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
+    """F7 with a whole-word vocabulary table of any size: (id, input_ids) of whole texts, unknown words UNK."""
+    from provenance_spark.operators.features import text_to_sequence
+    seq = text_to_sequence(df, vocab, id_col, tokens_col, oov_id=fv.UNK_ID)
+    return seq.select(id_col, F.concat(F.array(F.lit(fv.CLS_ID)), "seq", F.array(F.lit(fv.SEP_ID))).alias("input_ids"))
 
 
 # ---------------------------------------------------------------- F8 / F9
 
 
-def hashed_bag_encoder(vocab_size: int, dim: int = 64, seed: int = 0) -> Callable:
-    """``make_predict_fn`` of a frozen stand-in encoder: fixed random token vectors, mean-pooled
-    over the attention mask, unit norm. Deterministic in (vocab_size, dim, seed)."""
-    def make_predict_fn():
-        rng = np.random.default_rng(seed)
-        table = rng.standard_normal((vocab_size, dim)).astype(np.float32)
-        table[fv.PAD_ID] = 0.0
-
-        def predict(input_ids: np.ndarray) -> np.ndarray:
-            ids = np.clip(input_ids.astype(np.int64), 0, vocab_size - 1)
-            mask = (input_ids != fv.PAD_ID).astype(np.float32)
-            summed = (table[ids] * mask[..., None]).sum(axis=1)
-            norms = np.linalg.norm(summed, axis=1, keepdims=True)
-            return summed / np.maximum(norms, 1e-12)
-        return predict
-    return make_predict_fn
+def fit_word_vectors(df: DataFrame, tokens_col: str, dim: int = 64, min_count: int = 1, seed: int = 1) -> Word2VecModel:
+    """F8's in-house encoder: Word2Vec trained on the given texts."""
+    parts = max(1, min(8, df.rdd.getNumPartitions()))
+    return Word2Vec(vectorSize=dim, minCount=min_count, numPartitions=parts, seed=seed, maxIter=1, windowSize=5,
+                    inputCol=tokens_col, outputCol="_mean").fit(df.where(F.size(tokens_col) > 0))
+
+
+def mean_vectors(df: DataFrame, model: Word2VecModel, tokens_col: str, output_col: str = "hidden_state") -> DataFrame:
+    """F8: the mean of the word vectors of all a text's tokens (unknown words count as zero); JVM-side, no shuffle."""
+    out = model.setInputCol(tokens_col).setOutputCol("_mean").transform(df)
+    return out.withColumn(output_col, vector_to_array("_mean")).drop("_mean")
 
 
 def onnx_encoder(model_path: str) -> Callable:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from provenance_spark.functions.text import keras_words, ngram_terms, ngram_unigrams, with_bigrams
 from provenance_spark.operators.positions import boundary_key, rows_before, with_positions
-from provenance_spark.session import cut_lineage, shuffle_partitions
+from provenance_spark.session import checked_broadcast, cut_lineage, shuffle_partitions
 
 MAX_BROADCAST_VOCAB = 1 << 20
 
@@ -157,6 +157,21 @@ def text_to_sequence(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
     return grouped.select(id_col, F.col("_items._id").alias("seq"))  # field of each element, no lambda
 
 
+def lemmatize_join(docs: DataFrame, lemmas: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """T6 for a lemma table of any size: ``lemmas`` has (word, lemma), one row per form that changes.
+
+    Each distinct token is looked up once (a shuffle join beyond the broadcast bound), and the found
+    forms go back to the documents, which are hash-partitioned by id before their tokens are taken apart.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+    words = docs.repartition(n, id_col).select(id_col, F.posexplode_outer(tokens_col).alias("_pos", "word"))
+    used = words.select("word").distinct().join(lemmas.select("word", "lemma"), "word")
+    used = checked_broadcast(used, MAX_BROADCAST_VOCAB)
+    item = F.when(F.col("word").isNotNull(), F.struct("_pos", F.coalesce("lemma", "word").alias("_w")))
+    grouped = words.join(used, "word", "left").groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return grouped.select(id_col, F.col("_items._w").alias(tokens_col))
+
+
 def pad_sequence(seq, maxlen: int = 100, value: int = 0):
     """keep the last ``maxlen`` ids (truncating at the front), pad after with ``value``."""
     n = F.size(seq)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenance_spark.operators.positions import label_slices
-from provenance_spark.operators.sampling import balanced_quotas, stratified_sample
+from provenance_spark.operators.sampling import balanced_quotas, seeded_hash, stratified_sample
 
 SLICE_NAMES = ("train", "valid", "test")
 
@@ -44,6 +44,13 @@ def positional_split(df: DataFrame, order_by: Sequence[str], group_by: Sequence[
     return label_slices(df, order_by, group_by, cuts, "_slice").withColumn(split_col, name).drop("_slice")
 
 
+def shuffle_before_split(df: DataFrame, id_col: str, cuts: Callable[[int, tuple], list[int]], seed: int = 1,
+                         names: Sequence[str] = SLICE_NAMES, split_col: str = "split") -> DataFrame:
+    """Positional slices of one corpus in seeded random order (ties by id) instead of its own."""
+    keyed = df.withColumn("_h", seeded_hash(F.col(id_col), seed))
+    return positional_split(keyed, ["_h", id_col], (), cuts, names, split_col).drop("_h")
+
+
 def prepare_datasets(corpus: DataFrame, train_size: int | None = None, eval_size: int | None = None,
                      seed: int = 1) -> DataFrame:
     """Flagship (W3 over U2): a balanced, versioned sample of every split.

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from provenance_spark.operators.positions import first_n_by_key, row_at
 from provenance_spark.operators.sampling import balanced_quotas, seeded_pick, stratified_sample
-from provenance_spark.operators.splits import (fraction_cuts, positional_split, prepare_datasets,
-                                               search_frame, tail_cuts)
+from provenance_spark.operators.splits import (fraction_cuts, head_cuts, positional_split, prepare_datasets,
+                                               search_frame, shuffle_before_split, tail_cuts)
 from provenance_spark.plans.oracle import CORPUS_CTE, quotas_cte, sample_cte
 from provenance_spark.plans.registry import query
 from provenance_spark.session import workspace_path
 from provenance_spark.sources.corpus import (CORPUS_COLUMNS, SPLITS, CsvCorpusConfig, corpus_from_conversations,
-                                             load_labelled_csv)
+                                             external_corpus, load_labelled_csv, with_version)
 from provenance_spark.sources.materialize import write_csv
 from provenance_spark.sources.tables import read_table
 
@@ -95,6 +95,31 @@ def q_positional_split_tail(spark, sf_dir):
     return positional_split(docs, ["doc_id"], ["lang"], tail_cuts(TAIL_VALID, TAIL_TEST))
 
 
+MIX_HEAD, MIX_TAIL = (6, 2), (5, 5)
+
+
+@query("mixed_corpus_split", "U2 P2 P3 W1 L1 L1b S7", f"""
+WITH {CORPUS_CTE},
+base AS (SELECT id, split, AI, CASE WHEN AI = 1 THEN 'gpt2' ELSE 'human' END AS version, text, text_length
+         FROM corpus WHERE version IN ('human', 'gpt2')),
+three AS (SELECT *, row_number() OVER (ORDER BY md5('1:' || CAST(id AS VARCHAR)), id) - 1 AS pos FROM corpus WHERE version = 'gpt3'),
+half AS (SELECT *, row_number() OVER (ORDER BY md5('1:' || CAST(id AS VARCHAR)), id) - 1 AS pos, count(*) OVER () AS n
+         FROM corpus WHERE version = 'gpt3.5')
+SELECT * FROM base
+UNION ALL SELECT id, CASE WHEN pos < {MIX_HEAD[0]} THEN 'train' WHEN pos < {sum(MIX_HEAD)} THEN 'valid' ELSE 'test' END, 1, 'gpt3', text, text_length FROM three
+UNION ALL SELECT id, CASE WHEN pos < n - {sum(MIX_TAIL)} THEN 'train' WHEN pos < n - {MIX_TAIL[1]} THEN 'valid' ELSE 'test' END, 1, 'gpt3.5', text, text_length
+FROM half""")
+def q_mixed_corpus_split(spark, sf_dir):
+    """Three corpora, the extra two shuffled by seed and cut by position, in one table."""
+    corpus = load_corpus(spark, sf_dir)
+    base = with_version(corpus.where(F.col("version").isin("human", "gpt2")).drop("version"), "gpt2").select(*CORPUS_COLUMNS)
+    extra = [("gpt3", head_cuts(*MIX_HEAD)), ("gpt3.5", tail_cuts(*MIX_TAIL))]
+    for version, cuts in extra:
+        rows = external_corpus(corpus.where(F.col("version") == version), "text", version, keep=("id",))
+        base = base.unionByName(shuffle_before_split(rows, "id", cuts, seed=1).select(*CORPUS_COLUMNS))
+    return base
+
+
 SAMPLE_TRAIN_SIZE = 8
 
 

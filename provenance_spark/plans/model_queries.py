@@ -16,7 +16,9 @@ from provenance_spark.operators import heads, sgd
 from provenance_spark.operators.splits import prepare_datasets
 from provenance_spark.plans.corpus_queries import load_corpus
 from provenance_spark.plans.registry import query
-from provenance_spark.session import cut_lineage
+from provenance_spark.session import cut_lineage, ensure_checkpoint_dir
+from provenance_spark.sources.materialize import cache_key, is_complete
+from provenance_spark.sources.registry import ModelRegistry
 from provenance_spark.sources.tables import read_table
 
 
@@ -27,16 +29,16 @@ def prepared(spark, sf_dir):
 
 def hidden_prepared(spark, sf_dir):
     p = prepared(spark, sf_dir)
-    vocab = det.fit_encoder_vocabulary(p.where(F.col("split") == "train"))
-    h = det.hidden_features(p.select("id", "split", "version", "AI", "text"), vocab).drop("text")
-    return cut_lineage(heads.as_vectors(h, "hidden_state")), vocab
+    encoder = det.fit_encoder(p.where(F.col("split") == "train"))
+    h = det.hidden_features(p.select("id", "split", "version", "AI", "text"), encoder).drop("text")
+    return cut_lineage(heads.as_vectors(h, "hidden_state")), encoder
 
 
 def _splits(df):
     return [df.where(F.col("split") == s) for s in ("train", "valid", "test")]
 
 
-@query("head_logistic", "M1 M4 S11")
+@query("head_logistic", "M1 M4")
 def q_head_logistic(spark, sf_dir):
     h, _ = hidden_prepared(spark, sf_dir)
     return heads.logistic_head(*_splits(h)).to_df(spark)
@@ -66,7 +68,7 @@ def q_extra_heads(spark, sf_dir):
     return out.unionByName(heads.linear_booster_head(tr, va, te).to_df(spark))
 
 
-@query("tfidf_logistic", "M5 F1 F3 U4")
+@query("tfidf_logistic", "M5 F1 F3")
 def q_tfidf_logistic(spark, sf_dir):
     from provenance_spark.functions.text import with_ngram_terms
     p = prepared(spark, sf_dir)
@@ -82,13 +84,13 @@ def q_tfidf_logistic(spark, sf_dir):
     return heads.logistic_head(*_splits(vec), c_grid=fv.TFIDF_LR_C_GRID, penalize_intercept=True).to_df(spark)
 
 
-@query("sequence_logistic", "M7 T7 F4 F5 F6 G6")
+@query("sequence_logistic", "M7 T7 F4 F5 F6")
 def q_sequence_logistic(spark, sf_dir):
     from pyspark.ml.feature import CountVectorizerModel
 
     from provenance_spark.functions.text import keras_words, with_clean_text
     p = prepared(spark, sf_dir)
-    cleaned = with_clean_text(p.select("id", "split", "AI", "text"), "text", "text")
+    cleaned = with_clean_text(p.select("id", "split", "AI", "text"), "text", "text", remove_stopword=True, lemmatize=True)
     vocab = ft.fit_sequence_vocabulary(cleaned.where(F.col("split") == "train"), id_col="id", num_words=2000)
     seq = ft.text_to_sequence(cleaned.select("id", keras_words(F.col("text")).alias("words")), vocab, id_col="id")
     padded = seq.select("id", ft.pad_sequence(F.col("seq"), 100).alias("padded"))
@@ -180,19 +182,37 @@ def q_predict_label(spark, sf_dir):
 # ---------------------------------------------------------------- batch scoring
 
 
-def trained_detector(spark, sf_dir, head: str = "lr") -> det.DetectorModel:
-    h, vocab = hidden_prepared(spark, sf_dir)
+def trained_detector(spark, sf_dir, head: str = "lr", root: str | None = None) -> det.DetectorModel:
+    """The stored detector of these tables and this head if it is complete; else train, gate and store one.
+
+    A new model is stored only when its test score beats the best so far (S12). ``root`` is the
+    registry's folder, by default below the shared checkpoint folder.
+    """
+    from pyspark.ml.feature import Word2VecModel
+    det.check_head(head)
+    root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry"
+    registry = ModelRegistry(spark, root)
+    corpus = load_corpus(spark, sf_dir)
+    at = corpus.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "text").cast("decimal(38,0)")).alias("h")).first()
+    ckpt = cache_key("w2v", at["h"])  # which rows the model was trained on
+    encoder_path = f"{root}/encoders/{cache_key(ckpt, at['n'])}"
+    if registry.has_model(head, ckpt, at["n"]) and is_complete(spark, f"{encoder_path}/metadata"):
+        return det.DetectorModel(Word2VecModel.load(encoder_path), head, registry.load(head, ckpt, at["n"]))
+    h, encoder = hidden_prepared(spark, sf_dir)
     tr, va, te = _splits(h)
     if head == "ridge":
-        model = heads.ridge_head(h, "hidden_state").model
+        found = heads.ridge_head(h, "hidden_state")
     elif head == "nn":
-        model = heads.dense_head(tr, va, te).model
+        found = heads.dense_head(tr, va, te)
     else:
-        model = heads.logistic_head(tr, va, te).model
-    return det.DetectorModel(vocab, head, model)
+        found = heads.logistic_head(tr, va, te)
+    encoder.write().overwrite().save(encoder_path)
+    score = next(p.test_accuracy for p in found.points if p.chosen)
+    registry.record(head, ckpt, at["n"], score, found.model)
+    return det.DetectorModel(encoder, head, found.model)
 
 
-@query("score_batch", "G1 G2 G4 G7 P4 P10")
+@query("score_batch", "G1 G2 G4 P4 P10 S11 S12")
 def q_score_batch(spark, sf_dir):
     model = trained_detector(spark, sf_dir, "lr")
     texts = read_table(spark, sf_dir, "conversations").where(F.col("role") != "system")

@@ -84,7 +84,8 @@ def strip_sql(text: str) -> str:
 
 def word_tokens_sql(text: str) -> str:
     ws = space_class_body()
-    raw = f"regexp_extract_all({text}, {sql_str('([^' + ws + ']+)')}, 1)"
+    apart = f"regexp_replace({text}, '([«“‘„»”’])', ' \\1 ', 'g')"
+    raw = f"regexp_extract_all({apart}, {sql_str('([^' + ws + ']+)')}, 1)"
     cases = " ".join(f"WHEN lower(t) = {sql_str(w)} THEN [substr(t, 1, {len(left)}), substr(t, {len(left) + 1})]"
                      for w, left, _ in fv.TREEBANK_SPLIT_WORDS)
     return f"flatten(list_transform({raw}, lambda t: CASE {cases} ELSE [t] END))"

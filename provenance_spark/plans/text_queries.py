@@ -10,6 +10,7 @@ from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
 from provenance_spark.plans import oracle as o
 from provenance_spark.plans.registry import query
+from provenance_spark.session import cut_lineage
 from provenance_spark.sources.tables import read_table
 
 LEMMAS = tx.compose_lemma_map(fv.DEFAULT_LEMMAS)
@@ -57,7 +58,28 @@ def q_lemmatize(spark, sf_dir):
     return _tokens_out(d, tx.lemmatize_tokens(F.col("t"), LEMMAS))
 
 
-@query("clean_full", "T7 T8 T9", f"""
+@query("lemmatize_table", "T6", _tokens_sql(o.lemmatize_sql(o.word_tokens_sql(o.clean_basic_sql("text")), LEMMAS)))
+def q_lemmatize_table(spark, sf_dir):
+    """The same lemmas as a joined table."""
+    d = tx.with_word_tokens(docs(spark, sf_dir), "text", "t")
+    table = spark.createDataFrame(sorted(LEMMAS.items()), "word string, lemma string")
+    return _tokens_out(ft.lemmatize_join(d, table, tokens_col="t"), F.col("t"))
+
+
+@query("clean_default", "T8 T9", f"""
+SELECT doc_id, {o.strip_sql(o.clean_basic_sql('text'))} AS clean FROM documents""")
+def q_clean_default(spark, sf_dir):
+    return tx.with_clean_text(docs(spark, sf_dir), "text", "clean").select("doc_id", "clean")
+
+
+@query("clean_lemma_only", "T8", f"""
+SELECT doc_id, {o.strip_sql("array_to_string(" + o.lemmatize_sql(o.word_tokens_sql(o.clean_basic_sql('text')), LEMMAS) + ", ' ')")} AS clean
+FROM documents""")
+def q_clean_lemma_only(spark, sf_dir):
+    return tx.with_clean_text(docs(spark, sf_dir), "text", "clean", lemmatize=True, lemma_map=LEMMAS).select("doc_id", "clean")
+
+
+@query("clean_full", "T7 T8", f"""
 SELECT doc_id, {o.strip_sql("array_to_string(" + o.lemmatize_sql(o.remove_stopwords_sql(
     o.word_tokens_sql(o.clean_basic_sql('text'))), LEMMAS) + ", ' ')")} AS clean FROM documents""")
 def q_clean_full(spark, sf_dir):
@@ -88,8 +110,8 @@ def q_ngrams(spark, sf_dir):
     return ft.doc_term_counts(docs(spark, sf_dir))
 
 
-# F1 parameters of the registered queries (vectoriser defaults are min_df=100, 2**18 features)
-MIN_DF, MAX_FEATURES = 20, 2000
+# F1 parameters of the registered queries: the vectoriser's defaults
+MIN_DF, MAX_FEATURES = 100, 1 << 18
 
 VOCAB_CTE = f"""{TERMS_CTE},
 stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term HAVING count(*) >= {MIN_DF}),
@@ -175,41 +197,34 @@ def q_padded_sequences(spark, sf_dir):
 
 # ---------------------------------------------------------------- encoder
 
-ENC_VOCAB, ENC_MAXLEN = 500, 64
+#: Stands in for a supplied vocabulary: every word the documents hold this often or more.
+ENC_MIN_COUNT = 5
 
 
-def encoded_docs(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", tx.encoder_pre_tokens(F.col("text")).alias("tokens"))
-    vocab_df = enc.word_vocabulary(d, "tokens", ENC_VOCAB)
-    vocab = {r["word"]: int(r["id"]) for r in vocab_df.collect()}  # bounded by ENC_VOCAB
-    return enc.encode(d, "tokens", vocab, ENC_MAXLEN)
+def encoder_words(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.encoder_pre_tokens(F.col("text")).alias("tokens"))
 
 
 @query("encode_ids", "F7 F11 D2", f"""
 WITH toks AS (SELECT doc_id, {o.encoder_tokens_sql('text')} AS tokens FROM documents),
 occ AS (SELECT doc_id, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS pos FROM toks),
-counts AS (SELECT word, count(*) AS n FROM occ GROUP BY word),
-vocab AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 + {fv.FIRST_WORD_ID} AS id
-          FROM counts QUALIFY row_number() OVER (ORDER BY n DESC, word) <= {ENC_VOCAB}),
+counts AS (SELECT word, count(*) AS n FROM occ GROUP BY word HAVING count(*) >= {ENC_MIN_COUNT}),
+vocab AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 + {fv.FIRST_WORD_ID} AS id FROM counts),
 ids AS (SELECT t.doc_id, coalesce(s.ids, []) AS ids FROM toks t LEFT JOIN (
           SELECT o.doc_id, list(coalesce(v.id, {fv.UNK_ID}) ORDER BY o.pos) AS ids
           FROM occ o LEFT JOIN vocab v ON o.word = v.word GROUP BY o.doc_id) s ON t.doc_id = s.doc_id)
-SELECT doc_id,
-       array_to_string(list_resize(list_concat([{fv.CLS_ID}], list_slice(ids, 1, {ENC_MAXLEN - 2}), [{fv.SEP_ID}]),
-                                   {ENC_MAXLEN}, {fv.PAD_ID}), ' ') AS input_ids,
-       least(len(ids), {ENC_MAXLEN - 2}) + 2 AS n_tokens
+SELECT doc_id, array_to_string(list_concat([{fv.CLS_ID}], ids, [{fv.SEP_ID}]), ' ') AS input_ids, len(ids) + 2 AS n_tokens
 FROM ids""")
 def q_encode_ids(spark, sf_dir):
-    e = encoded_docs(spark, sf_dir)
-    return e.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
-                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_tokens"))
+    """Whole texts, no cut: the longest sequence is the longest text's."""
+    d = cut_lineage(encoder_words(spark, sf_dir))
+    e = enc.encode_words(d, enc.word_vocabulary(d, "tokens", min_count=ENC_MIN_COUNT), "doc_id", "tokens")
+    return e.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), F.size("input_ids").alias("n_tokens"))
 
 
-@query("hidden_state", "F8 F9 F10 D2")
+@query("hidden_state", "F8 D2")
 def q_hidden_state(spark, sf_dir):
-    e = encoded_docs(spark, sf_dir)
-    vocab_size = ENC_VOCAB + fv.FIRST_WORD_ID
-    h = enc.hidden_states(e, enc.hashed_bag_encoder(vocab_size, dim=64), ENC_MAXLEN, batch_size=50)
-    return h.select("doc_id", F.size("hidden_state").alias("dim"),
-                    F.round(F.sqrt(F.aggregate("hidden_state", F.lit(0.0),
-                                               lambda a, x: a + x.cast("double") * x.cast("double"))), 6).alias("norm"))
+    """Each document's mean word vector over all its tokens."""
+    d = cut_lineage(encoder_words(spark, sf_dir))
+    model = enc.fit_word_vectors(d, "tokens")
+    return enc.mean_vectors(d, model, "tokens").select("doc_id", "hidden_state")

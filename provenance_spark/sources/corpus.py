@@ -128,10 +128,10 @@ def with_version(df: DataFrame, machine_version: str = "gpt2") -> DataFrame:
     return df.withColumn("version", F.when(F.col("AI") == 1, F.lit(machine_version)).otherwise("human"))
 
 
-def external_corpus(df: DataFrame, text_col: str, version: str) -> DataFrame:
+def external_corpus(df: DataFrame, text_col: str, version: str, keep: tuple = ()) -> DataFrame:
     """Take an extra machine corpus, rename its text column, label it AI with a fixed version."""
     text = normalize_newlines(F.col(text_col))
-    return (df.select(text.alias("text"))
+    return (df.select(*keep, text.alias("text"))
               .withColumn("AI", F.lit(1))
               .withColumn("version", F.lit(version))
               .withColumn("text_length", text_length(F.col("text"))))
