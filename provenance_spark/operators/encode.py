@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenance_spark.functions import fixed_values as fv
-from provenance_spark.session import cut_lineage
+from provenance_spark.session import cut_lineage, shuffle_partitions
 
 def wordpiece(word: str, vocab: Mapping[str, int], unk_id: int = fv.UNK_ID,
               prefix: str = fv.CONTINUATION_PREFIX) -> list[int]:
@@ -79,6 +79,10 @@ def encode(df: DataFrame, tokens_col: str, vocab: Mapping[str, int], max_len: in
               .withColumn("attention_mask", F.transform("input_ids", lambda x: (x != fv.PAD_ID).cast("int"))))
 
 
+ROWS_PER_PARTITION = 2000
+PASSES = 4
+
+
 def word_vocabulary(tokens: DataFrame, tokens_col: str, min_count: int = 1) -> DataFrame:
     """A whole-word vocabulary from data: (word, id) by falling count, ties by word."""
     from provenance_spark.operators.positions import with_positions
@@ -99,10 +103,15 @@ def encode_words(df: DataFrame, vocab: DataFrame, id_col: str, tokens_col: str)
 
 
 def fit_word_vectors(df: DataFrame, tokens_col: str, dim: int = 64, min_count: int = 1, seed: int = 1) -> Word2VecModel:
-    """F8's in-house encoder: Word2Vec trained on the given texts."""
-    parts = max(1, min(8, df.rdd.getNumPartitions()))
-    return Word2Vec(vectorSize=dim, minCount=min_count, numPartitions=parts, seed=seed, maxIter=1, windowSize=5,
-                    inputCol=tokens_col, outputCol="_mean").fit(df.where(F.size(tokens_col) > 0))
+    """F8's in-house encoder: Word2Vec trained on the given texts.
+
+    Partitions train apart and are averaged after each pass, so there is one for every
+    ``ROWS_PER_PARTITION`` texts: few texts need the passes more than they need the parallelism.
+    """
+    rows = df.where(F.size(tokens_col) > 0)
+    parts = max(1, min(shuffle_partitions(df.sparkSession), rows.count() // ROWS_PER_PARTITION))
+    return Word2Vec(vectorSize=dim, minCount=min_count, numPartitions=parts, seed=seed, maxIter=PASSES, windowSize=5,
+                    inputCol=tokens_col, outputCol="_mean").fit(rows)
 
 
 def mean_vectors(df: DataFrame, model: Word2VecModel, tokens_col: str, output_col: str = "hidden_state") -> DataFrame:

@@ -22,6 +22,11 @@ from provenance_spark.sources.registry import ModelRegistry
 from provenance_spark.sources.tables import read_table
 
 
+DIM = 64
+W_FIXED = det.fixed_weights(DIM)
+B_FIXED = 0.05
+
+
 def prepared(spark, sf_dir):
     """The flagship prepared set, checkpointed because every head reads it several times."""
     return cut_lineage(prepare_datasets(load_corpus(spark, sf_dir)))
@@ -50,6 +55,29 @@ def q_head_ridge(spark, sf_dir):
     return heads.ridge_head(h, "hidden_state").to_df(spark)
 
 
+def _emb_split() -> str:
+    return "CASE WHEN vec_id % 5 < 3 THEN 'train' WHEN vec_id % 5 = 3 THEN 'valid' ELSE 'test' END"
+
+
+@query("ridge_statistics", "M2", lambda: f"""
+WITH z AS (SELECT {_emb_split()} AS split, list_concat([1.0, CASE WHEN label >= 5 THEN 1.0 ELSE -1.0 END],
+                  list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS z FROM embeddings),
+p AS (SELECT i, j FROM range({DIM + 2}) a(i), range({DIM + 2}) b(j) WHERE i <= 1 AND j >= i AND NOT (i = 1 AND j = 1) OR i > 1 AND j > 1)
+SELECT split, i, j, round(sum(z[i + 1] * z[j + 1]), 6) + 0.0 AS v FROM z, p GROUP BY split, i, j""")
+def q_ridge_statistics(spark, sf_dir):
+    """The moments ridge is solved from: of 1, the target and the features, for each split."""
+    emb = read_table(spark, sf_dir, "embeddings").select(
+        "embedding", (F.col("label") >= 5).cast("int").alias("AI"), F.expr(_emb_split()).alias("split"))
+    rows = []
+    for split, vec in heads.ridge_statistics(emb, "embedding").items():
+        n, sy, sx, xty, xtx = heads._unpack(vec)
+        rows += [(split, 0, 0, float(n)), (split, 0, 1, float(sy))]
+        rows += [(split, 0, d + 2, float(x)) for d, x in enumerate(sx)] + [(split, 1, d + 2, float(x)) for d, x in enumerate(xty)]
+        rows += [(split, d + 2, e + 2, float(xtx[d, e])) for d in range(len(sx)) for e in range(len(sx))]
+    out = spark.createDataFrame(rows, "split string, i long, j long, v double")
+    return out.withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
 @query("head_dense", "M3 M8 M4")
 def q_head_dense(spark, sf_dir):
     h, _ = hidden_prepared(spark, sf_dir)
@@ -117,10 +145,6 @@ def q_sgd_sweep(spark, sf_dir):
 
 # ---------------------------------------------------------------- oracle-checkable scoring
 
-DIM = 64
-W_FIXED = det.fixed_weights(DIM)
-B_FIXED = 0.05
-
 
 def _w_sql() -> str:
     return "[" + ", ".join(repr(x) for x in W_FIXED) + "]::DOUBLE[]"

@@ -40,7 +40,23 @@ def test_csv_round_trip_keeps_newlines_and_quotes(spark):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
     back = sorted((r[0], r[1]) for r in read_csv(spark, path, schema).collect())
     assert back[0] == rows[0] and back[1] == rows[1]
-    assert back[2][1] in ("", None)
+    assert back[2][1] == ""
+
+
+def test_labelled_csv_with_caps_quoted_newlines_and_empty_cells(spark):
+    from provenance_spark.sources.corpus import CsvCorpusConfig, load_labelled_csv, null_texts
+    cfg = CsvCorpusConfig(workspace_path(spark, "corpus"), train_cap=6, eval_cap=None)
+    texts = ["a\nb", "", 'say "x"', None, "last", "beyond"]
+    for split in ("train", "valid", "test"):
+        for path in (cfg.human_path(split), cfg.machine_path(split)):
+            rows = [(t, i, "p") for i, t in enumerate(texts if split == "train" else texts[2:])]
+            write_csv(spark.createDataFrame(rows, "text string, pos int, file string").coalesce(1), path)
+    got = load_labelled_csv(spark, cfg)
+    for ai in (0, 1):
+        assert sorted(r["text"] for r in got.where(f"split = 'train' and AI = {ai}").collect()) == sorted(texts[:3])
+        assert sorted(r["text"] for r in got.where(f"split = 'test' and AI = {ai}").collect()) == sorted(['say "x"', "last", "beyond"])
+    assert {(r["split"], r["AI"], r["n_null"]) for r in null_texts(spark, cfg).collect()} == {
+        (s, a, int(s != "train")) for s in ("train", "valid", "test") for a in (0, 1)}
 
 
 def test_registry_saves_only_strict_improvements(spark):

@@ -75,7 +75,7 @@ def test_unknown_head_is_rejected():
     with pytest.raises(ValueError):
         heads.check_head("svm")
     with pytest.raises(ValueError):
-        DetectorModel(vocab={}, head="forest", model=None)
+        DetectorModel(encoder=None, head="forest", model=None)
 
 
 def test_mixed_sgd_learns_separable_data(spark):
@@ -94,3 +94,52 @@ def test_mixed_sgd_learns_separable_data(spark):
         assert acc > max(0.8, majority), (loss, acc)
     W1, b1, _ = sgd.mixed_sgd(df.coalesce(1), d, fv.SGD_LOSSES)  # one partition = plain SGD
     assert W1.shape == W.shape
+
+
+def test_two_batches_equal_one_continued_pass(spark):
+    rng = np.random.default_rng(3)
+    rows = [([0, 1, 2], [float(x) for x in rng.normal(size=3)], int(rng.random() < 0.5)) for _ in range(200)]
+    schema = "idx array<int>, val array<double>, y int"
+    whole = sgd.mixed_sgd(spark.createDataFrame(rows, schema).coalesce(1), 3)
+    W, b, step = sgd.mixed_sgd(spark.createDataFrame(rows[:100], schema).coalesce(1), 3)
+    assert step == 100
+    W, b, step = sgd.mixed_sgd(spark.createDataFrame(rows[100:], schema).coalesce(1), 3, init=(W, b), step=step)
+    assert step == whole[2] == 200 and np.allclose(W, whole[0]) and np.allclose(b, whole[1])
+
+
+def test_logistic_gradient_is_zero_at_the_solution(emb):
+    from provenance_spark.operators.heads import as_vectors, logistic_head
+    v = as_vectors(emb, "embedding").cache()
+    parts = [v.where(F.col("split") == s) for s in ("train", "valid", "test")]
+    m = logistic_head(*parts, c_grid=(1.0,)).model
+    rows = parts[0].collect()
+    X, y = np.array([r["embedding"] for r in rows], float), np.array([r["AI"] for r in rows], float)
+    w, b = m.coefficients.toArray(), m.intercept
+    p = 1 / (1 + np.exp(-(X @ w + b)))
+    grad = X.T @ (p - y) / len(y) + w / len(y)  # C = 1
+    assert np.abs(grad).max() < 1e-4 and abs((p - y).mean()) < 1e-4
+
+
+def test_models_of_every_head_are_saved_and_loaded(spark, emb):
+    from provenance_spark.operators.heads import as_vectors, dense_head, logistic_head, ridge_head
+    from provenance_spark.session import workspace_path
+    from provenance_spark.sources.registry import ModelRegistry
+    v = as_vectors(emb, "embedding").cache()
+    parts = [v.where(F.col("split") == s) for s in ("train", "valid", "test")]
+    reg = ModelRegistry(spark, workspace_path(spark, "registry"))
+    found = {"lr": logistic_head(*parts, c_grid=(1.0,)), "nn": dense_head(*parts, hidden=(4,), iters=(5,)), "ridge": ridge_head(v, "embedding", alphas=(0.1,))}
+    for head, res in found.items():
+        assert not reg.has_model(head, "c", 1) and reg.record(head, "c", 1, 0.9, res.model) and reg.has_model(head, "c", 1)
+        back = reg.load(head, "c", 1)
+        if head == "ridge":
+            assert np.array_equal(back.coef, res.model.coef) and back.intercept == res.model.intercept
+        else:
+            a, b = ([r["probability"] for r in m.transform(parts[2]).orderBy("vec_id").collect()] for m in (res.model, back))
+            assert a == b
+
+
+def test_empty_split_is_a_clear_error(emb):
+    from provenance_spark.operators.heads import as_vectors, logistic_head
+    v = as_vectors(emb, "embedding")
+    with pytest.raises(ValueError, match="no rows to score"):
+        logistic_head(v, v.limit(0), v, c_grid=(1.0,))

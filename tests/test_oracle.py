@@ -7,11 +7,14 @@ import pytest
 from conftest import SF_MID, SF_SMALL, as_bag, duck
 
 import __spark_entry__ as entry
+from provenance_spark.operators.splits import prepare_datasets
+from provenance_spark.plans import REGISTRY
+from provenance_spark.plans.oracle import CORPUS_CTE, quotas_cte, sample_cte
+from provenance_spark.sources.corpus import corpus_from_conversations
+from provenance_spark.sources.tables import read_table
 
-SQL = entry.oracle_sql()
+SQL = {name: q.sql for name, q in REGISTRY.items() if q.sql}  # those of the llm subpackage have tests of their own
 QUERIES = entry.queries()
-# the 200-row train sample needs 100 human rows; sf0.001 has 35 (checked to raise below)
-AT_MID = {"stratified_sample"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +28,7 @@ def test_every_sql_entry_is_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_oracle(spark, cons, name):
-    sf = SF_MID if name in AT_MID else SF_SMALL
+    sf = SF_SMALL
     df = QUERIES[name](spark, sf)
     rows, cols = df.collect(), df.columns
     rel = cons[sf].execute(SQL[name])
@@ -37,13 +40,21 @@ def test_matches_oracle(spark, cons, name):
 
 
 def test_short_stratum_raises_in_both_engines(spark, cons):
+    corpus = corpus_from_conversations(read_table(spark, SF_SMALL, "conversations"))
     with pytest.raises(Exception, match="stratum too small"):
-        QUERIES["stratified_sample"](spark, SF_SMALL).collect()
+        prepare_datasets(corpus, train_size=200).collect()
+    sql = f"WITH {CORPUS_CTE}, {quotas_cte(total={'train': 200})}, {sample_cte()} SELECT * FROM sample"
     with pytest.raises(Exception, match="stratum too small"):
-        cons[SF_SMALL].execute(SQL["stratified_sample"]).fetchall()
+        cons[SF_SMALL].execute(sql).fetchall()
+
+
+def test_missing_stratum_raises_instead_of_dropping_its_split(spark):
+    corpus = corpus_from_conversations(read_table(spark, SF_SMALL, "conversations"))
+    with pytest.raises(Exception, match="stratum too small"):
+        prepare_datasets(corpus.where("split != 'valid' or version != 'gpt2'")).collect()
 
 
 def test_entry_runs(spark):
     df = entry.entry(spark)
-    assert df.count() >= 0
+    assert {r["split"] for r in df.select("split").distinct().collect()} == {"train", "valid", "test"}
     assert {"id", "split", "version", "AI", "text", "text_length"} <= set(df.columns)

@@ -43,17 +43,17 @@ def test_prepared_counts_are_exact_quotas(corpus):
 
 
 def test_sample_is_repeatable_and_partition_independent(corpus):
-    one = ids(prepare_datasets(corpus.repartition(1), train_size=320, eval_size=16))
-    many = ids(prepare_datasets(corpus.repartition(8, "text"), train_size=320, eval_size=16))
-    again = ids(prepare_datasets(corpus, train_size=320, eval_size=16))
+    one = ids(prepare_datasets(corpus.repartition(1), train_size=256, eval_size=16))
+    many = ids(prepare_datasets(corpus.repartition(8, "text"), train_size=256, eval_size=16))
+    again = ids(prepare_datasets(corpus, train_size=256, eval_size=16))
     assert one == many == again
-    assert len(one) == 320 + 2 * 16
+    assert len(one) == 256 + 2 * 16
     assert len(set(one)) == len(one)  # without replacement
 
 
 def test_seed_changes_the_sample(corpus):
-    a = ids(prepare_datasets(corpus, train_size=320, eval_size=16, seed=1))
-    b = ids(prepare_datasets(corpus, train_size=320, eval_size=16, seed=2))
+    a = ids(prepare_datasets(corpus, train_size=256, eval_size=16, seed=1))
+    b = ids(prepare_datasets(corpus, train_size=256, eval_size=16, seed=2))
     assert len(a) == len(b) and a != b
 
 
@@ -117,3 +117,18 @@ def test_seeded_pick_is_one_stable_row(corpus):
     a = seeded_pick(corpus, "id", seed=7).collect()
     b = seeded_pick(corpus.repartition(3), "id", seed=7).collect()
     assert len(a) == 1 and a[0]["id"] == b[0]["id"]
+
+
+def test_positional_split_with_many_groups_and_clashing_names(spark):
+    rows = spark.range(20_000).selectExpr("id", "id % 2000 AS g", "id AS pos", "id AS _cut2")
+    out = positional_split(rows, ["pos"], ["g"], fraction_cuts(8, 1))
+    got = {r["split"]: r["n"] for r in out.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert got == {"train": 16_000, "valid": 2_000, "test": 2_000}
+    assert first_n_by_key(rows, ["pos"], 3).count() == 3
+
+
+def test_positional_split_keeps_null_groups_and_short_ones(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a")], "id long, g string")
+    got = {r["id"]: r["split"] for r in positional_split(rows, ["id"], ["g"], tail_cuts(1, 1)).collect()}
+    assert got == {1: "valid", 2: "test", 3: "test"}
+    assert positional_split(rows.limit(0), ["id"], ["g"], tail_cuts(1, 1)).count() == 0

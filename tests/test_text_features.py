@@ -77,3 +77,38 @@ def test_ngrams_unigrams_then_bigrams(spark):
 def test_keras_words(spark):
     got = one(spark, tx.keras_words(F.col("text")), "Hello, world!  It's\tme")
     assert got == ["hello", "world", "it's", "me"]
+
+
+def test_quotation_marks_are_tokens_of_their_own(spark):
+    df = spark.createDataFrame([("“cannot” say «oui» it’s",)], "t string")
+    assert df.select(tx.word_tokens(F.col("t"))).first()[0] == ["“", "can", "not", "”", "say", "«", "oui", "»", "it", "’", "s"]
+
+
+def test_large_lemma_table_is_joined(spark):
+    lemmas = spark.range(200_000).selectExpr("concat('w', id) AS word", "concat('l', id) AS lemma")
+    d = spark.createDataFrame([(1, ["w5", "x", "w199999", "w5"]), (2, []), (3, None)], "doc_id long, tokens array<string>")
+    got = {r["doc_id"]: r["tokens"] for r in ft.lemmatize_join(d, lemmas).collect()}
+    assert got == {1: ["l5", "x", "l199999", "l5"], 2: [], 3: []}
+
+
+def test_word_pieces_of_whole_texts(spark):
+    from provenance_spark.functions import fixed_values as fv
+    from provenance_spark.operators import encode as enc
+    vocab = {"un": 7, "##able": 8, "##do": 9, "x": 10}
+    d = spark.createDataFrame([(["undoable", "zzz"] + ["x"] * 300,), ([],)], "tokens array<string>")
+    a, b = (r["input_ids"] for r in enc.encode(d, "tokens", vocab).collect())
+    assert a == [fv.CLS_ID, 7, 9, 8, fv.UNK_ID] + [10] * 300 + [fv.SEP_ID] and b == [fv.CLS_ID, fv.SEP_ID]
+
+
+def test_hidden_state_is_the_mean_over_all_tokens(spark):
+    import numpy as np
+
+    from provenance_spark.operators import encode as enc
+    words = ["alpha", "beta", "gamma", "delta"] * 40
+    d = spark.createDataFrame([(1, words), (2, words[:70] + ["delta"] * 200), (3, words[:70] + ["beta"] * 200)], "id long, tokens array<string>")
+    model = enc.fit_word_vectors(d, "tokens", dim=8)
+    vec = {r["word"]: r["vector"].toArray() for r in model.getVectors().collect()}
+    got = {r["id"]: np.array(r["hidden_state"]) for r in enc.mean_vectors(d, model, "tokens").collect()}
+    for r in d.collect():
+        assert np.allclose(got[r["id"]], np.mean([vec[w] for w in r["tokens"]], axis=0), atol=1e-6)
+    assert not np.allclose(got[2], got[3])  # tokens past position 64 count
