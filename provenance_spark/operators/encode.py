@@ -79,7 +79,7 @@ def encode(df: DataFrame, tokens_col: str, vocab: Mapping[str, int], max_len: in
               .withColumn("attention_mask", F.transform("input_ids", lambda x: (x != fv.PAD_ID).cast("int"))))
 
 
-ROWS_PER_PARTITION = 2000
+ROWS_PER_PARTITION = 1000
 PASSES = 4
 
 
