@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
+from provenance_spark.operators.chunks import chunks, sum_chunks
 
 LABEL = "AI"
 
@@ -186,7 +187,7 @@ class RidgeModel:
 
 
 def ridge_statistics(df: DataFrame, array_col: str, label: str = LABEL, split_col: str = "split") -> dict:
-    """One pass: per split n, Σy, Σx, Xᵀy, XᵀX with targets ±1; partial per partition, summed on Spark."""
+    """One pass: per split n, Σy, Σx, Xᵀy, XᵀX with targets ±1; a vector per partition, summed on Spark in chunks."""
     def partials(batches):
         acc: dict[str, list] = {}
         for pdf in batches:
@@ -195,15 +196,13 @@ def ridge_statistics(df: DataFrame, array_col: str, label: str = LABEL, split_co
                 y = np.where(g[label].to_numpy() == 1, 1.0, -1.0)
                 vec = np.concatenate([[len(y), y.sum()], x.sum(0), x.T @ y, (x.T @ x).ravel()])
                 acc[split] = vec if split not in acc else acc[split] + vec
-        for split, vec in acc.items():
-            yield pd.DataFrame({"split": split, "k": np.arange(len(vec)), "v": vec})
-
-    parts = df.select(split_col, array_col, label).mapInPandas(partials, "split string, k long, v double")
-    summed = parts.groupBy("split", "k").agg(F.sum("v").alias("v")).collect()
-    out: dict[str, np.ndarray] = {}
-    for r in summed:
-        out.setdefault(r["split"], {})[r["k"]] = r["v"]
-    return {s: np.array([kv[i] for i in range(len(kv))]) for s, kv in out.items()}
+        rows = [(split, c, piece) for split, vec in acc.items() for c, piece in chunks(vec)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "chunk", "v"])
+
+    parts = df.select(split_col, array_col, label).mapInPandas(partials, "key string, chunk long, v array<double>")
+    summed = sorted(sum_chunks(parts).collect(), key=lambda r: r["chunk"])  # d² / CHUNK rows a split
+    return {s: np.concatenate([r["v"] for r in summed if r["key"] == s]) for s in {r["key"] for r in summed}}
 
 
 def _unpack(vec: np.ndarray):

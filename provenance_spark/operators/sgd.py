@@ -3,8 +3,8 @@
 Each partition runs plain SGD for all five margin losses at once over its rows (sparse rows given
 as index/value arrays), starting from the same weights; the partition weights are averaged
 weighted by row count (parameter mixing, Zinkevich et al. 2010; McDonald et al. 2010). The average
-is a distributed sum (only non-zero weights travel) and the driver receives one vector per loss,
-bounded by the feature count. ``foreachBatch`` reuses :func:`sgd_epoch` to continue from stored
+is a distributed sum of array chunks (only chunks with non-zero weights travel) and the driver receives
+one vector per loss, bounded by the feature count. ``foreachBatch`` reuses :func:`sgd_epoch` to continue from stored
 weights (ST2).
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
+from provenance_spark.operators.chunks import CHUNK, chunks, sum_chunks
 
 ALPHA = 1e-4  # scale of the "optimal" learning-rate schedule (there is no penalty)
 
@@ -76,6 +77,32 @@ def margin_loss(loss: str, m: Column) -> Column:
     raise ValueError(loss)
 
 
+def margin_slope(loss: str, m: Column) -> Column:
+    """Derivative of :func:`margin_loss` by the margin; the kinks belong to the side that still learns."""
+    if loss == "hinge":
+        return F.when(m <= 1.0, -1.0).otherwise(0.0)
+    if loss == "perceptron":
+        return F.when(m <= 0.0, -1.0).otherwise(0.0)
+    if loss == "log_loss":
+        return -1.0 / (F.exp(m) + 1.0)
+    if loss == "modified_huber":
+        return F.when(m >= 1.0, 0.0).when(m >= -1.0, -2.0 * (1.0 - m)).otherwise(-4.0)
+    if loss == "squared_hinge":
+        return F.when(m < 1.0, -2.0 * (1.0 - m)).otherwise(0.0)
+    raise ValueError(loss)
+
+
+def loss_gradients(df: DataFrame, array_col: str, f: Column, y: Column, losses: Sequence[str] = fv.SGD_LOSSES) -> DataFrame:
+    """``(dim, one column a loss)``: mean gradient by every weight at scores ``f`` for labels ``y`` in {-1, 1}.
+
+    The last dim is the intercept's. Sums combine before they are shuffled, so a task sends one row a dim.
+    """
+    x = F.concat(F.transform(array_col, lambda e: e.cast("double")), F.array(F.lit(1.0)))
+    slopes = df.select(x.alias("x"), *[(margin_slope(loss, f * y) * y).alias(loss) for loss in losses])
+    each = slopes.select(*losses, F.posexplode("x").alias("dim", "v"))
+    return each.groupBy("dim").agg(*[F.avg(F.col(loss) * F.col("v")).alias(loss) for loss in losses])
+
+
 def _initial_t(losses: Sequence[str]) -> np.ndarray:
     """Offset of the "optimal" schedule eta_t = 1 / (alpha (t0 + t)), per loss.
 
@@ -106,13 +133,13 @@ def sgd_epoch(rows: pd.DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence
     for idx, val, y in zip(rows["idx"], rows["val"], rows["y"]):
         idx, val = compact_row(idx, val, compact)
         yy = 1.0 if y == 1 else -1.0
-        for k, loss in enumerate(losses):
-            eta = 1.0 / (ALPHA * (t0[k] + step))
-            p = float(W[k, idx] @ val) + b[k]
-            g = dloss(loss, p, yy)
-            if g != 0.0:
-                W[k, idx] -= eta * g * val
-                b[k] -= eta * g
+        p = W[:, idx] @ val + b  # all losses at once
+        g = np.array([dloss(loss, x, yy) for loss, x in zip(losses, p)])
+        moves = np.flatnonzero(g)
+        if len(moves):
+            by = g[moves] / (ALPHA * (t0[moves] + step))
+            W[np.ix_(moves, idx)] -= by[:, None] * val
+            b[moves] -= by
         step += 1
     return step
 
@@ -140,25 +167,23 @@ def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
             n += len(pdf)
         if n == 0:
             return
-        for k in range(n_l):
-            nz = np.nonzero(W[k])[0]
-            yield pd.DataFrame({"l": k, "i": np.concatenate([nz, [-1]]),
-                                "v": np.concatenate([W[k, nz], [b[k]]]) * n, "n": n})
-
-    parts = df.select("idx", "val", "y").mapInPandas(fit_partition, "l long, i long, v double, n long")
-    # one scan: every partition emits exactly one intercept row (i = -1) per loss carrying its n
-    sums = (parts.groupBy("l", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.count("*").alias("p"))
-            .toArrow())  # columns, at most losses x (features + 1) rows
+        rows = [(k, c, piece) for k in range(n_l) for c, piece in chunks(W[k] * n) if piece.any()]
+        rows += [(k, -1, np.array([b[k] * n, n, 1.0])) for k in range(n_l)]
+        yield pd.DataFrame(rows, columns=["key", "chunk", "v"])
+
+    parts = df.select("idx", "val", "y").mapInPandas(fit_partition, "key long, chunk long, v array<double>")
+    # every partition with rows sends one chunk -1 per loss: its intercept, its rows and a 1
+    sums = sum_chunks(parts).collect()  # at most losses x (features / CHUNK + 2) rows
     start.unpersist()
-    if not sums.num_rows:  # no rows at all: nothing moves
+    if not sums:  # no rows at all: nothing moves
         return W0, b0, step
-    l, i, v, n, p = (sums.column(c).to_numpy() for c in ("l", "i", "v", "n", "p"))
-    own = i == -1
-    rows, tasks = int(n[own].max()), int(p[own].max())
-    W, b = np.zeros((n_l, dim)), np.zeros(n_l)
+    ends = {r["key"]: r["v"] for r in sums if r["chunk"] < 0}
+    rows, tasks = int(ends[0][1]), int(ends[0][2])
+    W, b = np.zeros((n_l, dim)), np.array([ends[k][0] / rows for k in range(n_l)])
     # partitions that saw no rows keep the start weights out of the average by construction
-    W[l[~own], i[~own]] = v[~own] / rows
-    b[l[own]] = v[own] / rows
+    for r in sums:
+        if r["chunk"] >= 0:
+            W[r["key"], r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(r["v"])] = np.array(r["v"]) / rows
     return W, b, step + -(-rows // tasks)
 
 
@@ -177,7 +202,9 @@ def evaluate(df: DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str]
             for g, part in pdf.groupby(by):
                 y = np.where(part["y"].to_numpy() == 1, 1.0, -1.0)
                 rows = [compact_row(i, v, compact) for i, v in zip(part["idx"], part["val"])]
-                f = np.array([[float(Wm[k, i] @ v) for i, v in rows] for k in range(len(losses))]) + bm[:, None]
+                owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+                at, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
+                f = np.stack([np.bincount(owner, Wm[k, at] * val, len(rows)) for k in range(len(losses))]) + bm[:, None]
                 for k, loss in enumerate(losses):
                     m = f[k] * y
                     out.append((g, loss, int(((f[k] > 0).astype(int) == (y > 0)).sum()),
