@@ -89,6 +89,8 @@ LR_C_GRID = (2.0, 4.0, 8.0, 16.0, 32.0)
 TFIDF_LR_C_GRID = (8.0, 16.0, 32.0)
 RIDGE_ALPHA_GRID = (0.03, 0.035, 0.04, 0.045)
 SVC_C_GRID = (0.5, 1.0, 2.0)
+FOREST_TREES = (200, 400, 600, 800, 1000)
+FOREST_DEPTHS = (10, 20, 30)
 SGD_LOSSES = ("hinge", "log_loss", "modified_huber", "squared_hinge", "perceptron")
 
 # Quotation marks beyond ASCII that a word tokenizer sets apart (fixed values).

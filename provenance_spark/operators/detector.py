@@ -8,6 +8,7 @@ per text); ``tfidf_arrays`` gives sparse TF-IDF rows for the linear baselines.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
@@ -96,6 +97,28 @@ class DetectorModel:
                 .withColumnRenamed("_proba", "Probability"))
 
 
+def class_scores(padded: Column, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
+    """Scores of each class for a padded id sequence; ``weights[c][id]`` counts once for each place, padding for nothing."""
+    ids = F.filter(padded, lambda i: i != 0)
+
+    def total(w: Sequence[float], b: float) -> Column:
+        table = F.lit([float(x) for x in w])
+        return F.aggregate(ids, F.lit(float(b)), lambda acc, i: acc + F.element_at(table, i.cast("int") + 1))
+
+    return F.array(*[total(w, b) for w, b in zip(weights, bias)])
+
+
+def argmax(scores: Column) -> Column:
+    """Position of the largest score, the first of equals."""
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def sequence_predict(padded: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float], col: str = "padded") -> DataFrame:
+    """``padded`` with ``scores`` and ``class``; every row is scored where it is, nothing shuffles."""
+    scored = padded.withColumn("scores", class_scores(F.col(col), weights, bias))
+    return scored.withColumn("class", argmax(F.col("scores")))
+
+
 def fixed_weights(dim: int) -> list[float]:
     """Deterministic weights for oracle-checkable scoring of the ``embeddings`` table."""
     return [float(((i * 7) % 11 - 5) / 10.0) for i in range(dim)]

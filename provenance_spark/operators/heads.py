@@ -128,10 +128,13 @@ def svc_head(train, valid, test, c_grid=fv.SVC_C_GRID, features="features", labe
     return predefined_split_search("svc", svc, maps, [f"C={c:g}" for c in c_grid], train, valid, test, label)
 
 
-def forest_head(train, valid, test, n_candidates: int = 5, seed: int = 1, features="features",
-                label=LABEL) -> SearchResult:
-    """Random forest, random search over a seeded subset of a (trees x depth) grid."""
-    grid = [(t, d) for t in (20, 50, 100) for d in (3, 5, 8, 12)]
+def forest_head(train, valid, test, n_candidates: int = 5, seed: int = 1, features="features", label=LABEL,
+                trees: Sequence[int] = fv.FOREST_TREES, depths: Sequence[int] = fv.FOREST_DEPTHS) -> SearchResult:
+    """Random forest, random search over a seeded subset of a (trees x depth) grid.
+
+    Spark grows trees to depth 30 at most, which is where the published grid's deeper settings end.
+    """
+    grid = [(t, d) for t in trees for d in depths]
     picked = random.Random(seed).sample(grid, min(n_candidates, len(grid)))
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, seed=seed)
     maps = [{rf.numTrees: t, rf.maxDepth: d} for t, d in picked]

@@ -153,3 +153,8 @@ def first_n_by_key(df: DataFrame, order_by: Sequence[str], n: int | Callable[[tu
 def row_at(df: DataFrame, order_by: Sequence[str], k: int) -> DataFrame:
     """The row at 0-based position ``k`` in key order (empty if the table is shorter): a top-k per task."""
     return df.orderBy(*order_by).offset(k).limit(1)
+
+
+def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in key order: a top-k per task."""
+    return df.orderBy(*order_by).limit(n)

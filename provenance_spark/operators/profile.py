@@ -86,3 +86,11 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.
         F.max(F.when(x <= hi_lim, x)).alias("whisker_hi"),
         F.count(F.when((x < lo_lim) | (x > hi_lim), 1)).alias("n_outliers"),
         F.count(F.lit(1)).alias("n"))
+
+
+def boxplot_outliers(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5) -> DataFrame:
+    """The rows beyond ``whis`` x IQR of their group's quartiles, with the ``side`` they lie on."""
+    q = checked_broadcast(quartiles(df, value, by).select(*by, "q1", "q3"))
+    x, reach = F.col(value), whis * (F.col("q3") - F.col("q1"))
+    side = F.when(x < F.col("q1") - reach, "low").when(x > F.col("q3") + reach, "high")
+    return df.join(q, list(by)).withColumn("side", side).where(F.col("side").isNotNull()).drop("q1", "q3")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenance_spark.operators.positions import first_n_by_key, row_at
+from provenance_spark.operators.positions import first_n_by_key, preview, row_at
 from provenance_spark.operators.sampling import balanced_quotas, seeded_pick, stratified_sample
 from provenance_spark.operators.splits import (fraction_cuts, head_cuts, positional_split, prepare_datasets,
                                                search_frame, shuffle_before_split, tail_cuts)
@@ -170,7 +170,14 @@ def q_demo_text(spark, sf_dir):
 ROW_AT = 25
 
 
-@query("row_at", "P11 P12", f"""
+@query("row_at", "P11", f"""
 SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 1 OFFSET {ROW_AT}""")
 def q_row_at(spark, sf_dir):
     return row_at(read_table(spark, sf_dir, "benchmark"), ["item_id"], ROW_AT)
+
+
+@query("preview", "P12", f"""
+WITH {CORPUS_CTE}
+SELECT id, split, AI, version, text, text_length FROM corpus ORDER BY id LIMIT 5""")
+def q_preview(spark, sf_dir):
+    return preview(load_corpus(spark, sf_dir).select(*CORPUS_COLUMNS), ["id"], 5)

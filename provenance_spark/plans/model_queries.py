@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from provenance_spark.functions import fixed_values as fv
 from provenance_spark.operators import detector as det
 from provenance_spark.operators import features as ft
-from provenance_spark.operators import heads, sgd
+from provenance_spark.operators import heads, metrics, sgd
 from provenance_spark.operators.splits import prepare_datasets
 from provenance_spark.plans.corpus_queries import load_corpus
 from provenance_spark.plans.registry import query
@@ -22,6 +22,8 @@ from provenance_spark.sources.registry import ModelRegistry
 from provenance_spark.sources.tables import read_table
 
 
+#: The forests of ``extra_heads``; the operator's defaults are the published grid.
+FOREST_TREES, FOREST_DEPTHS = (20, 50, 100), (3, 5, 8, 12)
 DIM = 64
 W_FIXED = det.fixed_weights(DIM)
 B_FIXED = 0.05
@@ -92,7 +94,8 @@ def q_extra_heads(spark, sf_dir):
     h, _ = hidden_prepared(spark, sf_dir)
     tr, va, te = _splits(h)
     out = heads.svc_head(tr, va, te).to_df(spark)
-    out = out.unionByName(heads.forest_head(tr, va, te).to_df(spark))
+    forest = heads.forest_head(tr, va, te, trees=FOREST_TREES, depths=FOREST_DEPTHS)
+    out = out.unionByName(forest.to_df(spark))
     return out.unionByName(heads.linear_booster_head(tr, va, te).to_df(spark))
 
 
@@ -177,6 +180,28 @@ def q_margin_losses(spark, sf_dir):
                     *[F.round(sgd.margin_loss(l, F.col("m")), 6).alias(l) for l in fv.SGD_LOSSES])
 
 
+def _slope_sql() -> dict[str, str]:
+    return {"hinge": "CASE WHEN m <= 1.0 THEN -1.0 ELSE 0.0 END",
+            "log_loss": "-1.0 / (exp(m) + 1.0)",
+            "modified_huber": "CASE WHEN m >= 1.0 THEN 0.0 WHEN m >= -1.0 THEN -2.0 * (1.0 - m) ELSE -4.0 END",
+            "squared_hinge": "CASE WHEN m < 1.0 THEN -2.0 * (1.0 - m) ELSE 0.0 END",
+            "perceptron": "CASE WHEN m <= 0.0 THEN -1.0 ELSE 0.0 END"}
+
+
+@query("loss_gradients", "M1 M6 X1", lambda: f"""
+WITH s AS (SELECT list_concat(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), [1.0::DOUBLE]) AS x,
+                  CASE WHEN label >= 5 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, {_f_sql()} AS f FROM embeddings),
+g AS (SELECT generate_subscripts(x, 1) - 1 AS dim, unnest(x) AS v, y, f * y AS m FROM s)
+SELECT CAST(dim AS INTEGER) AS dim, {", ".join(f"round(avg(CAST({e} AS DOUBLE) * y * v), 6) + 0.0 AS {loss}" for loss, e in _slope_sql().items())}
+FROM g GROUP BY dim""")
+def q_loss_gradients(spark, sf_dir):
+    """Gradients of the five losses at fixed weights: one full-batch step of M1 (log loss) and M6."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    f = det.dot(F.col("embedding"), W_FIXED) + F.lit(B_FIXED)
+    g = sgd.loss_gradients(emb, "embedding", f, F.when(F.col("label") >= 5, 1.0).otherwise(-1.0))
+    return g.select("dim", *[(F.round(loss, 6) + F.lit(0.0)).alias(loss) for loss in fv.SGD_LOSSES])
+
+
 @query("ridge_probability", "G3 P10", lambda: f"""
 WITH s AS (SELECT vec_id, {_f_sql()} AS d FROM embeddings)
 SELECT vec_id, round(d, 6) AS decision,
@@ -242,3 +267,13 @@ def q_score_batch(spark, sf_dir):
     texts = read_table(spark, sf_dir, "conversations").where(F.col("role") != "system")
     texts = texts.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return model.transform(texts).select("id", F.round("Probability", 6).alias("Probability"), "Prediction")
+
+
+@query("head_by_version", "A12 G1 G4")
+def q_head_by_version(spark, sf_dir):
+    """The trained detector's accuracy on each generator's texts."""
+    model = trained_detector(spark, sf_dir, "lr")
+    rows = prepare_datasets(load_corpus(spark, sf_dir)).where(F.col("split") != "train")
+    scored = model.transform(rows.select("id", "split", "version", "AI", "text"))
+    pred = (F.col("Prediction") == fv.AI_CLASS).cast("int")
+    return metrics.accuracy(scored.withColumn("pred", pred), "AI", "pred", ["split", "version"])

@@ -108,6 +108,17 @@ def q_length_boxplot(spark, sf_dir):
     return profile.boxplot_stats(load_corpus(spark, sf_dir), "text_length", ["split", "AI"])
 
 
+@query("length_outliers", "A8", f"""
+WITH {DOC_LENGTH},
+q AS (SELECT lang, quantile_cont(text_length, 0.25) AS q1, quantile_cont(text_length, 0.75) AS q3 FROM docs GROUP BY lang),
+s AS (SELECT d.doc_id, d.lang, d.text_length, CASE WHEN d.text_length < q.q1 - 1.5 * (q.q3 - q.q1) THEN 'low'
+             WHEN d.text_length > q.q3 + 1.5 * (q.q3 - q.q1) THEN 'high' END AS side
+      FROM docs d JOIN q ON d.lang = q.lang)
+SELECT * FROM s WHERE side IS NOT NULL""")
+def q_length_outliers(spark, sf_dir):
+    return profile.boxplot_outliers(doc_lengths(spark, sf_dir), "text_length", ["lang"])
+
+
 # --- fixed values: rule "heads" used to exercise the metric operators on real rows ---
 LONG_TEXT = 300
 RULES_SQL = {

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
 from provenance_spark.functions import text as tx
+from provenance_spark.operators import detector as det
 from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
 from provenance_spark.plans import oracle as o
 from provenance_spark.plans.registry import query
 from provenance_spark.session import cut_lineage
 from provenance_spark.sources.tables import read_table
+from provenance_spark.streaming.incremental import hashed_rows
 
 LEMMAS = tx.compose_lemma_map(fv.DEFAULT_LEMMAS)
 
@@ -148,7 +150,10 @@ def q_tfidf_weights(spark, sf_dir):
 
 NUM_WORDS, MAXLEN = 2000, 100
 
-SEQ_VOCAB_CTE = f"""words AS (SELECT doc_id, {o.keras_words_sql('text')} AS words FROM documents),
+
+def seq_vocab_cte(table: str, text: str) -> str:
+    """Vocabulary and id sequences of the texts in ``table``."""
+    return f"""words AS (SELECT doc_id, {o.keras_words_sql(text)} AS words FROM {table}),
 occ AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM words),
 first_doc AS (SELECT word, count(*) AS n, min(doc_id) AS first_doc FROM occ GROUP BY word),
 first_pos AS (SELECT o.word, min(o.pos) AS first_pos FROM occ o JOIN first_doc f
@@ -156,11 +161,14 @@ first_pos AS (SELECT o.word, min(o.pos) AS first_pos FROM occ o JOIN first_doc f
 ranked AS (SELECT f.word, f.n, row_number() OVER (ORDER BY f.n DESC, f.first_doc, p.first_pos) + 1 AS id
            FROM first_doc f JOIN first_pos p ON f.word = p.word),
 vocab AS (SELECT word, n, id FROM ranked WHERE id < {NUM_WORDS}),
-seqs AS (SELECT d.doc_id, coalesce(s.seq, []) AS seq FROM documents d LEFT JOIN (
+seqs AS (SELECT d.doc_id, coalesce(s.seq, []) AS seq FROM {table} d LEFT JOIN (
            SELECT o.doc_id, list(coalesce(v.id, 1) ORDER BY o.pos) AS seq
            FROM occ o LEFT JOIN vocab v ON o.word = v.word GROUP BY o.doc_id) s ON d.doc_id = s.doc_id)"""
 
 
+SEQ_VOCAB_CTE = seq_vocab_cte("documents", "text")
+
+
 def sequence_vocabulary(spark, sf_dir):
     return ft.fit_sequence_vocabulary(docs(spark, sf_dir), num_words=NUM_WORDS)
 
@@ -195,6 +203,55 @@ def q_padded_sequences(spark, sf_dir):
     return s.select("doc_id", F.array_join(ft.pad_sequence(F.col("seq"), MAXLEN), " ").alias("padded"))
 
 
+CLASSES = 2
+
+
+def _sequence_weights() -> list[list[float]]:
+    """Fixed weights that SQL can state by the same rule: class, id -> -0.5 to 0.5."""
+    return [[((i * (13 + 24 * c)) % 101 - 50) / 100 for i in range(NUM_WORDS)] for c in range(CLASSES)]
+
+
+CLEAN_FULL_SQL = o.strip_sql("array_to_string(" + o.lemmatize_sql(o.remove_stopwords_sql(o.word_tokens_sql(o.clean_basic_sql("text"))), LEMMAS) + ", ' ')")
+
+
+def _score_sql(c: int) -> str:
+    return f"coalesce(list_sum(list_transform(ids, lambda i: ((i * {13 + 24 * c}) % 101 - 50) / 100.0::DOUBLE)), 0)"
+
+
+@query("sequence_scores", "G6 T7 F4 F5 F6", f"""
+WITH cleaned AS MATERIALIZED (SELECT doc_id, {CLEAN_FULL_SQL} AS clean FROM documents),
+{seq_vocab_cte("cleaned", "clean")},
+kept AS (SELECT doc_id, list_slice(seq, greatest(len(seq) - {MAXLEN - 1}, 1), len(seq)) AS ids FROM seqs)
+SELECT doc_id, round({_score_sql(0)}, 6) + 0.0 AS score_0, round({_score_sql(1)}, 6) + 0.0 AS score_1,
+       CAST(CASE WHEN round({_score_sql(1)}, 6) > round({_score_sql(0)}, 6) THEN 1 ELSE 0 END AS INTEGER) AS class FROM kept""")
+def q_sequence_scores(spark, sf_dir):
+    """Cleaned text to padded ids to class scores at fixed weights; the class is the first largest score."""
+    cleaned = tx.with_clean_text(docs(spark, sf_dir), "text", "text", remove_stopword=True, lemmatize=True, lemma_map=LEMMAS)
+    cleaned = cut_lineage(cleaned.select("doc_id", "text"))  # the vocabulary and the sequences read it
+    vocab = ft.fit_sequence_vocabulary(cleaned, num_words=NUM_WORDS)
+    seq = ft.text_to_sequence(cleaned.select("doc_id", tx.keras_words(F.col("text")).alias("words")), vocab)
+    padded = seq.select("doc_id", ft.pad_sequence(F.col("seq"), MAXLEN).alias("padded"))
+    scores = det.class_scores(F.col("padded"), _sequence_weights(), [0.0] * CLASSES)
+    rounded = padded.select("doc_id", F.transform(scores, lambda x: F.round(x, 6) + F.lit(0.0)).alias("scores"))
+    return rounded.select("doc_id", *[F.col("scores")[c].alias(f"score_{c}") for c in range(CLASSES)], det.argmax(F.col("scores")).alias("class"))
+
+
+HASH_BITS = 18
+
+
+@query("hashed_features", "F12", f"""
+WITH {TERMS_CTE}
+SELECT CAST('0x' || substr(md5(term), 1, 7) AS BIGINT) % {1 << HASH_BITS} AS bucket, CAST(sum(tf) AS BIGINT) AS n,
+       count(DISTINCT doc_id) AS n_docs FROM tf GROUP BY 1""")
+def q_hashed_features(spark, sf_dir):
+    """Occurrences and documents of every hash bucket; MD5 here, as DuckDB has no XXH64."""
+    digest = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 7), 16, 10).cast("long")
+    rows = hashed_rows(docs(spark, sf_dir), "text", 1 << HASH_BITS, hash_of=digest)
+    each = rows.select("doc_id", F.explode("idx").alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
+    return (each.groupBy(F.col("bucket").cast("long").alias("bucket"))
+            .agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")))
+
+
 # ---------------------------------------------------------------- encoder
 
 #: Stands in for a supplied vocabulary: every word the documents hold this often or more.

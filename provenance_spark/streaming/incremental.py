@@ -9,9 +9,11 @@ folder before it, so its time doesn't grow with the number of batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +28,17 @@ WEIGHT_SCHEMA = T.StructType([T.StructField("l", T.LongType()), T.StructField("i
                               T.StructField("step", T.LongType())])
 
 
-def hashed_rows(df: DataFrame, text_col: str = "text", num_features: int = 1 << 18) -> DataFrame:
-    """F12 as index/value arrays: one hashed bucket per 1-2-gram with value 1.0.
+def hashed_rows(df: DataFrame, text_col: str = "text", num_features: int = 1 << 18,
+                hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """F12 as index/value arrays: one hashed bucket per 1-2-gram with value 1.0. ``hash_of`` gives a
+    term's integer hash.
 
     Duplicate buckets are summed and each row is L2-normalised inside the SGD task
     (``compact=True``), which is linear per row; doing it with array lambdas would re-evaluate
     the sorted bucket list for every element.
     """
     staged = with_ngram_terms(df, text_col, "_terms")
-    idx = F.transform("_terms", lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("int"))
+    idx = F.transform("_terms", lambda t: F.pmod(hash_of(t), F.lit(num_features)).cast("int"))
     # every bucket starts at 1.0: an array of ones as long as idx, without a second lambda
     return (staged.withColumn("idx", idx).drop("_terms")
             .withColumn("val", F.array_repeat(F.lit(1.0), F.size("idx"))))

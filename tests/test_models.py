@@ -143,3 +143,61 @@ def test_empty_split_is_a_clear_error(emb):
     v = as_vectors(emb, "embedding")
     with pytest.raises(ValueError, match="no rows to score"):
         logistic_head(v, v.limit(0), v, c_grid=(1.0,))
+
+
+@pytest.mark.parametrize("loss", fv.SGD_LOSSES)
+def test_margin_slope_is_the_derivative_of_the_loss(spark, loss):
+    ms = [-3.0, -1.5, -0.5, 0.3, 0.9, 1.7]
+    df = spark.createDataFrame([(m,) for m in ms], "m double")
+    got = [r[0] for r in df.select(sgd.margin_slope(loss, F.col("m"))).collect()]
+    h = 1e-6
+    want = [(sgd.loss_value(loss, np.array([m + h])) - sgd.loss_value(loss, np.array([m - h])))[0] / (2 * h) for m in ms]
+    assert np.allclose(got, want, atol=1e-5)
+    assert np.allclose(got, [sgd.dloss(loss, m, 1.0) for m in ms])
+
+
+def test_sequence_predict_equals_the_fitted_model(spark):
+    """A logistic model over id counts: its class is the larger score, ties and empty sequences included."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
+    from provenance_spark.operators.detector import sequence_predict
+    rng = np.random.default_rng(5)
+    rows = [(n, [int(i) for i in rng.integers(1, 6, size=n % 7)] + [0] * (7 - n % 7), int(rng.random() < 0.5)) for n in range(80)]
+    df = spark.createDataFrame(rows, "id int, padded array<int>, AI int")
+    ids = df.withColumn("ids", F.transform(F.filter("padded", lambda x: x != 0), lambda x: x.cast("string")))
+    cv = CountVectorizerModel.from_vocabulary([str(i) for i in range(1, 6)], inputCol="ids", outputCol="features")
+    model = LogisticRegression(labelCol="AI", regParam=0.01).fit(cv.transform(ids))
+    want = {r["id"]: int(r["prediction"]) for r in model.transform(cv.transform(ids)).collect()}
+    weights = [[0.0] * 6, [0.0, *model.coefficients.toArray()]]
+    got = {r["id"]: r["class"] for r in sequence_predict(df, weights, [0.0, model.intercept]).collect()}
+    assert got == want
+    tie = sequence_predict(df.where("id = 0"), [[0.0] * 6, [0.0] * 6], [0.5, 0.5]).first()
+    assert tie["class"] == 0 and tie["scores"] == [0.5, 0.5]
+
+
+def test_chunked_sums_equal_plain_ones(spark):
+    from provenance_spark.operators.chunks import CHUNK, chunks, sum_chunks
+    vecs = [np.arange(CHUNK + 10, dtype=float) * k for k in (1, 2, 3)]
+    rows = [("a", c, [float(x) for x in v]) for vec in vecs for c, v in chunks(vec)] + [("b", 0, [1.0])]
+    got = {(r["key"], r["chunk"]): r["v"] for r in sum_chunks(spark.createDataFrame(rows, "key string, chunk long, v array<double>")).collect()}
+    assert np.allclose(np.concatenate([got["a", 0], got["a", 1]]), sum(vecs)) and got["b", 0] == [1.0] and len(got) == 3
+    assert sum_chunks(spark.createDataFrame([], "key string, chunk long, v array<double>")).isEmpty()
+
+
+def test_vectors_longer_than_a_chunk_train_alike_on_any_partitioning(spark):
+    rng = np.random.default_rng(9)
+    dim = 10_000
+    rows = [(sorted(int(i) for i in rng.choice(dim, 5, replace=False)), [float(x) for x in rng.normal(size=5)], int(rng.random() < 0.5)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "idx array<int>, val array<double>, y int")
+    W, b, step = sgd.mixed_sgd(df.coalesce(1), dim)
+    want, bias, losses = np.zeros((5, dim)), np.zeros(5), list(fv.SGD_LOSSES)
+    sgd.sgd_epoch(df.toPandas(), want, bias, losses, 0)
+    assert step == 60 and np.allclose(W, want) and np.allclose(b, bias) and W.any()
+    ev = {(r["split"], r["loss"]): r["accuracy"] for r in sgd.evaluate(df.withColumn("split", F.lit("train")), W, b).collect()}
+    X = np.zeros((60, dim))
+    for n, (i, v, _) in enumerate(rows):
+        X[n, i] = v
+    y = np.array([r[2] for r in rows])
+    for k, loss in enumerate(losses):
+        assert ev["train", loss] == pytest.approx((((X @ W[k] + b[k]) > 0).astype(int) == y).mean())
