@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
+from provenance_spark.functions.sample_lemmas import DEFAULT_LEMMAS
 
 
 def _ranges(codepoints: Iterable[int]) -> list[tuple[int, int]]:
@@ -207,7 +208,7 @@ def clean_text(text: Column, remove_stopword: bool = False, lemmatize: bool = Fa
         tokens = remove_stopwords(tokens, stopwords)
     if lemmatize:
         tokens = lemmatize_tokens(tokens, lemma_map if lemma_map is not None
-                                  else compose_lemma_map(fv.DEFAULT_LEMMAS))
+                                  else compose_lemma_map(DEFAULT_LEMMAS))
     return strip_spaces(F.array_join(tokens, " "))
 
 

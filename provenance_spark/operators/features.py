@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenance_spark.functions.text import keras_words, ngram_terms, ngram_unigrams, with_bigrams
+from provenance_spark.functions.text import keras_words, ngram_unigrams
 from provenance_spark.operators.positions import boundary_key, rows_before, with_positions
 from provenance_spark.session import checked_broadcast, cut_lineage, shuffle_partitions
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
 from provenance_spark.functions import text as tx
+from provenance_spark.functions.sample_lemmas import DEFAULT_LEMMAS
 from provenance_spark.operators import detector as det
 from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
@@ -15,7 +16,7 @@ from provenance_spark.session import cut_lineage
 from provenance_spark.sources.tables import read_table
 from provenance_spark.streaming.incremental import hashed_rows
 
-LEMMAS = tx.compose_lemma_map(fv.DEFAULT_LEMMAS)
+LEMMAS = tx.compose_lemma_map(DEFAULT_LEMMAS)
 
 
 def docs(spark, sf_dir):
