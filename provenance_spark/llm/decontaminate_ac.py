@@ -10,7 +10,6 @@ passes, each adding what it finds, so a worker's memory stays bounded whatever t
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -158,7 +157,3 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     """The rows of ``docs`` in which no benchmark window occurs, with their columns as they were."""
     to = fresh(docs, "found")
     return annotate(docs, benchmark, text_col, to=to).where(F.size(F.col(to)["items"]) == 0).select(*docs.columns)
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
