@@ -5,7 +5,7 @@ window) becomes a pattern, bounded by spaces. The automaton scans each normalise
 keeps byte offsets, so hits map back to spans of the original text.
 
 The automaton is broadcast in blocks of at most ``block`` windows: a larger benchmark is scanned in several
-passes, each adding what it finds, so a worker's memory stays bounded whatever the benchmark's size.
+passes with a checkpoint between, each adding what it finds, so a worker's memory stays bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenance_spark.llm.common import FOLD_WORDS, bound_batches, fresh
+from provenance_spark.session import cut_lineage
 
 WIDTH = 10
 #: Windows in one automaton: about 60 characters each, so a few million nodes at most.
@@ -108,6 +109,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     out = docs
     for n, patterns in enumerate(blocks(benchmark, item_col, item_text, width, block)):
         shared = spark.sparkContext.broadcast(patterns)
+        out = cut_lineage(out) if n else out  # a pass of its own: workers hold one automaton at a time
         schema = T.StructType([*docs.schema.fields, T.StructField(to, FOUND)])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, again=n > 0) -> Iterator[pa.RecordBatch]:
@@ -131,9 +133,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     return out
 
 
-def _joined(spans: list[tuple[int, int]], raw: bytes) -> list[tuple[int, int]]:
+def _joined(spans: list[tuple[int, int]], raw: bytes | None) -> list[tuple[int, int]]:
     """Spans of two passes: joined where only separators lie between, as neighbouring words are."""
-    text, out = raw.decode(), []
+    text, out = (raw or b"").decode(), []
     for a, b in sorted(spans):
         if out and (a <= out[-1][1] or not text[out[-1][1]:a].encode().translate(FOLD_WORDS).strip()):
             out[-1] = (out[-1][0], max(out[-1][1], b))
