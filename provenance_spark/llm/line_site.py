@@ -55,20 +55,24 @@ def annotate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     if fits(found, BROADCAST_LINES):
         sets = F.broadcast(sets)
-    joined = docs.join(sets, host == F.col(key), "left")
     lines = F.split(F.col(text_col), "\n")
+    # Hashes that the page shares with its host's set first: a hashed look-up, so that only lines among them are compared with the set.
+    own = fresh(docs, "own_lines")
+    shared = F.array_intersect(F.transform(lines, lambda x: _hash(_bare(x))[0]), F.col(bad)["a"])
+    joined = docs.join(sets, host == F.col(key), "left").withColumn(own, shared)
 
     def stays(line: Column) -> Column:
         a, b = _hash(_bare(line))
-        return ~F.array_contains(F.col(bad), F.struct(a.alias("a"), b.alias("b")))
+        return ~(F.array_contains(F.col(own), a) & F.array_contains(F.col(bad), F.struct(a.alias("a"), b.alias("b"))))
 
-    left = F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | stays(x)))
+    none = F.coalesce(F.size(F.col(own)) == 0, F.lit(True))
+    left = F.when(none, lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | stays(x)))
     full = F.coalesce(F.size(F.filter(lines, lambda x: _bare(x) != "")), F.lit(0))
     dropped = F.coalesce(F.size(lines) - F.size(left), F.lit(0))
     n = F.when(F.col(text_col).isNull(), 0)
     return joined.withColumn(to, F.struct(host.alias("host"), n.otherwise(full).cast("long").alias("n_lines"),
                                           n.otherwise(dropped).cast("long").alias("n_dropped"),
-                                          F.array_join(left, "\n").alias("text"))).drop(key, bad)
+                                          F.array_join(left, "\n").alias("text"))).drop(key, bad, own)
 
 
 def cleaned(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
