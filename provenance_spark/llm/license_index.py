@@ -120,7 +120,7 @@ def matches(docs: DataFrame, files: DataFrame, id_col: str, text_col: str) -> Da
     keys = near.select(F.col("id").alias("i"), F.col("key").alias("k"))
     picked = rows.join(F.broadcast(keys) if fits(keys, FILES) else keys, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
     texts = cut_lineage(picked.select("id", "key", words(F.col("text")).alias("w")))
-    placed = texts.select("id", "key", F.posexplode("w").alias("at", "word")).distinct().join(F.broadcast(index), "word")
+    placed = texts.select("id", "key", F.posexplode("w").alias("at", "word")).join(F.broadcast(index), "word").distinct()
     votes = (placed.withColumn("start", F.col("at") - F.col("place")).groupBy("id", "key", "template", "start", "n_anchors")
              .agg(F.count_distinct("word").alias("n")).where(F.col("n") >= need).select("id", "key", "template", "start"))
     joined = texts.dropDuplicates(["id", "key"]).join(votes.withColumnsRenamed({"id": "i", "key": "k"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
