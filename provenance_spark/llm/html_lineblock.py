@@ -6,8 +6,11 @@ A line's weight is its text length, or 0 where links make up most of it. Weights
 ``WINDOW`` lines. The text surges where a window's sum rises from nothing and dives where a window's sum
 falls to nothing again; what lies between two dives is kept when some window in it reaches ``SURGE``. If no
 window does, the stretch with the largest sum is kept. A stretch below ``SURGE`` that shares its container with a kept
-one stays too: it was cut off by something left out in between. Where a page marks its article (``article``
-or ``main``), lines outside weigh nothing and every stretch inside is kept.
+one stays too: it was cut off by something left out in between.
+
+Marks (``article`` or ``main``) decide close calls only. A stretch ends where a marked element begins or ends, and the
+heaviest marked element or unmarked stretch says on which side of the marks the page's article is. On that side, marked
+lines weigh ``MARKED`` times their length; on the other, a window must reach ``CLOSE`` times ``SURGE``.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +29,8 @@ from provenance_spark.llm.common import bound_batches
 
 WINDOW = 3
 SURGE = 80
+MARKED = 2
+CLOSE = 2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -41,7 +47,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
            "th": {"td", "th", "tr"}, "option": {"option"}}
 ARTICLE = frozenset({"article", "main"})
-CONTAINER = frozenset("div section td center".split())
+CONTAINER = frozenset("div section td center".split()) | ARTICLE
 NEVER = frozenset("head nav footer aside form button dialog menu audio video canvas map datalist fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 READERS = frozenset("comment comments commentlist disqus respond replies discussion".split())
@@ -57,7 +63,8 @@ CONTENT = frozenset("article content main post entry story body text".split())
 class Line:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    inside: bool = False
+    mark: int = 0
+    title: bool = False
     container: int = 0
 
     def text(self) -> str:
@@ -88,16 +95,20 @@ def lines(page: str) -> list[Line | None]:
     out: list[Line | None] = [Line()]
     stack: list[tuple[str, bool]] = []  # open elements and whether they leave their text out
     boxes = [0]  # numbers of the open containers
-    skipped = inside = links = at = made = 0
+    marks = [0]  # numbers of the open article and main elements
+    skipped = inside = links = titles = at = made = 0
 
     def pop(n: int) -> None:
-        nonlocal skipped, inside, links
+        nonlocal skipped, inside, links, titles
         for tag, out_of in stack[n:]:
             skipped -= out_of
             inside -= tag in ARTICLE
             links -= tag == "a"
+            titles -= tag == "h1"
             if tag in CONTAINER:
                 boxes.pop()
+            if tag in ARTICLE:
+                marks.pop()
         del stack[n:]
 
     def text(raw: str) -> None:
@@ -105,7 +116,8 @@ def lines(page: str) -> list[Line | None]:
             line = out[-1]
             line.parts.append(html.unescape(raw))
             line.linked += len(line.parts[-1].strip()) * bool(links)
-            line.inside = line.inside or (bool(inside) and not raw.isspace())
+            if not raw.isspace():
+                line.mark, line.title = marks[-1], bool(titles)
             line.container = boxes[-1]
 
     def cut() -> None:
@@ -149,9 +161,12 @@ def lines(page: str) -> list[Line | None]:
         skipped += out_of
         inside += tag in ARTICLE
         links += tag == "a"
+        titles += tag == "h1"
         if tag in CONTAINER:
             made += 1
             boxes.append(made)
+        if tag in ARTICLE:
+            marks.append(made)
     text(page[at:])
     return out
 
@@ -160,20 +175,21 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Main text: lines between surge and dive points, joined by newlines. Empty for a null or empty page."""
     texts: list[str] = []
     weights: list[int] = []
-    inside: list[bool] = []
+    marks: list[int] = []
+    titles: list[bool] = []
     boxes: list[int] = []
     for line in lines(page or ""):
         if line is None:
-            for x, gap in ((texts, ""), (weights, 0), (inside, False), (boxes, 0)):
+            for x, gap in ((texts, ""), (weights, 0), (marks, 0), (titles, False), (boxes, 0)):
                 x.extend([gap] * window)
         elif t := line.text():
             texts.append(t)
             weights.append(len(t) if line.linked <= len(t) / 2 else 0)
-            inside.append(line.inside)
+            marks.append(line.mark)
+            titles.append(line.title)
             boxes.append(line.container)
-    marked = any(i and t for i, t in zip(inside, texts, strict=True))
-    if marked:
-        weights = [len(t) if i else 0 for t, i in zip(texts, inside, strict=True)]
+    if not any(weights):  # nothing but links: what is marked counts
+        weights = [len(t) if m else 0 for t, m in zip(texts, marks, strict=True)]
     padded = [*weights, *[0] * window]
     sums = [sum(padded[i:i + window]) for i in range(len(weights))]
     stretches: list[list[int]] = []
@@ -189,12 +205,32 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
             s.pop(0)
         while not weights[s[-1]]:
             s.pop()
-    strong = [s for s in stretches if marked or max(sums[i] for i in s) >= surge]
-    if not strong and stretches:
-        strong = [max(stretches, key=lambda s: sum(weights[i] for i in s))]
-    home = {boxes[i] for s in strong for i in s if texts[i]} - {0}
-    strong = [s for s in stretches if s in strong or any(boxes[i] in home for i in s)]
-    return "\n".join(texts[i] for s in strong for i in s if texts[i] and (weights[i] or not marked))
+    # Parts of a stretch, each in one marked element or in none; links at a part's ends go as they do at a stretch's.
+    parts = [[i for i in run if i >= first] for s in stretches for _, g in groupby(s, key=lambda i: marks[i])
+             for run in [list(g)] for first in [next((i for i in run if weights[i]), len(texts))]]
+    parts = [s[:next(n for n in range(len(s), 0, -1) if weights[s[n - 1]])] for s in parts if s]
+    mass = [sum(weights[i] for i in s) for s in parts]
+    elements: dict[int, int] = {}
+    for s, m in zip(parts, mass, strict=True):
+        if marks[s[0]]:
+            elements[marks[s[0]]] = elements.get(marks[s[0]], 0) + m
+    heaviest = max(elements.values(), default=0)
+    side = heaviest > 0 and heaviest >= max((m for s, m in zip(parts, mass, strict=True) if not marks[s[0]]), default=0)
+
+    def surges(s: list[int]) -> bool:
+        peak = max(sum(weights[i] for i in s[n:n + window]) for n in range(len(s)))
+        marked = bool(marks[s[0]])
+        return peak * (MARKED if marked and side else 1) >= surge * (CLOSE if elements and marked != side else 1)
+
+    strong = [n for n, s in enumerate(parts) if surges(s)]
+    if not strong and parts:
+        strong = [max(range(len(parts)), key=lambda n: (bool(marks[parts[n][0]]) == side, mass[n]))]
+    home = {boxes[i] for n in strong for i in parts[n] if texts[i]} - {0}
+    kept = {n for n, s in enumerate(parts) if n in strong or any(boxes[i] in home for i in s)}
+    for n in range(len(parts) - 2, -1, -1):  # a title right before its text
+        if n + 1 in kept and parts[n][-1] + 1 == parts[n + 1][0] and all(titles[i] for i in parts[n]):
+            kept.add(n)
+    return "\n".join(texts[i] for n in sorted(kept) for i in parts[n] if texts[i])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

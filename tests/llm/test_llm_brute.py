@@ -241,6 +241,23 @@ def test_line_blocks_without_an_article_element():
     assert got[0] == "Head" and got[-1] == "End." and len(got) == 6
 
 
+def test_marks_do_not_replace_the_windows():
+    story = [f"Paragraph {i} of a story that stands in no marked element, with enough words in it to weigh something." for i in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    cards = "".join(f"<article class=card><h3><a href=/{i}>Another story {i}</a></h3><p>A teaser of some other story, which ends after a few words.</p></article>"
+                    for i in range(8))
+    extract = html_lineblock.extract
+    assert extract(f"<body><div id=story><h1>Head</h1>{body}</div><div>{cards}</div></body>").split("\n") == ["Head", *story]
+    assert extract(f"<body><div>{cards}</div><div id=story>{body}</div></body>").split("\n") == story
+    assert extract(f"<body><main><h1>Head</h1></main><div id=story>{body}</div></body>").split("\n") == ["Head", *story]
+    # Marks settle a close call: a note outside goes, the article's own short parts stay; a list of links is no text inside either.
+    note = "<div>A note outside the article that is long enough to surge, though not by far, when alone.</div>"
+    links = "".join(f"<li><a href=/{i}>Something else to read {i}</a></li>" for i in range(9))
+    page = f"<body>{note}<article>{body}<div class=ad>x</div><p>End.</p><ul>{links}</ul></article>{note}</body>"
+    assert extract(page).split("\n") == [*story, "End."]
+    assert extract("<article><a href=/><h1>All of it</h1><p>is a link</p></a></article>") == "All of it\nis a link"
+
+
 def test_html_awkward_rows(spark):
     rows = [(1, "u", None), (None, None, ""), (2, "u", "plain < text"), (2, "u", "plain < text"), (3, "u", "<p>" * 5000 + "deep" + "<a b='" * 2000), (4, "u", "<script>x")]
     frame = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
