@@ -1,8 +1,8 @@
 """License scans with a positional index of rare words.
 
 Each template's words are indexed by position. Document frequencies of all template words are counted over all files; each
-template's ``ANCHORS`` rarest words, those of the highest IDF, are its anchors. A file's anchors, the rarest ``TOP``
-first, are looked up, and every pair of a place in the file and a posting votes for the template starting at the
+template's ``ANCHORS`` rarest words, those of the highest IDF, are its anchors. All of a file's anchors are looked up, at
+most ``ANCHORS`` for each template, and every pair of a place in the file and a posting votes for the template starting at the
 difference. Where enough of a template's anchors agree on a start, its mandatory key phrases must stand in the words
 there; the share of template words in place is the score.
 
@@ -47,6 +47,7 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", ("under cc by nc",)),
 )
 ANCHORS = 5
+#: Anchor words a file in the SQL of ``sql.py``, which this module doesn't bound: files full of anchors of other templates keep theirs.
 TOP = 12
 #: Anchors of a template that must agree on a start (all, if it has fewer).
 VOTES = 3
@@ -106,14 +107,11 @@ def anchors(files: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, key, label, score)`` of every template found in a file, its best place only."""
     index = anchors(files)
-    rare = index.select("word", "idf").distinct()
-    top = Window.partitionBy("id", "key").orderBy(F.desc("idf"), "word")
-    own = (files.select("id", "key", F.explode("known").alias("word")).distinct().join(F.broadcast(rare), "word")
-           .withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= TOP))
     # A template needs this many of the file's words before its text is read again.
     need = F.least(F.col("n_anchors"), F.lit(VOTES))
     per = index.select("word", "template", need.alias("need")).distinct()
-    near = (own.join(F.broadcast(per), "word").groupBy("id", "key", "template", "need").agg(F.count("*").alias("n")).where("n >= need")
+    own = files.select("id", "key", F.explode("known").alias("word"))
+    near = (own.join(F.broadcast(per), "word").groupBy("id", "key", "template", "need").agg(F.count_distinct("word").alias("n")).where("n >= need")
             .select("id", "key").distinct())
     near = cut_lineage(near)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))

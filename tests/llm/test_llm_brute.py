@@ -385,6 +385,21 @@ def test_licence_texts_and_awkward_rows(spark):
     assert license_index.scan(docs(spark, rows)).count() == len(rows) and license_index.scan(docs(spark, [])).count() == 0
 
 
+def test_licence_in_a_file_full_of_other_anchors(spark):
+    # Two words each of the other templates stand in the long file alone, so all of them are rarer than the isc notice's anchors.
+    texts = {t: text.split() for t, (label, text, _) in enumerate(license_index.TEMPLATES) if label != "isc"}
+    isc = next(text for label, text, _ in license_index.TEMPLATES if label == "isc")
+    every = [w for _, text, _ in license_index.TEMPLATES for w in set(text.split())]
+    own = {t: sorted(w for w in set(ws) if every.count(w) == 1)[:2] for t, ws in texts.items()}
+    rare = sum(own.values(), [])
+    assert len(rare) > 12
+    rows = [(i, f"{isc} file {i}", "en", "s", 1) for i in range(30)]
+    rows += [(100 + 9 * n + t, " x ".join(w for w in ws if w not in own[t]), "en", "s", 1) for n in range(3) for t, ws in texts.items()]
+    rows += [(999, " ordinary words ".join([*rare, isc]), "en", "s", 1)]
+    got = {r["doc_id"]: r for r in license_index.scan(docs(spark, rows)).collect()}
+    assert got[0]["labels"] == got[999]["labels"] == "isc" and got[999]["score"] == pytest.approx(1)
+
+
 # ---- the pipeline
 
 
