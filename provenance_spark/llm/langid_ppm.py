@@ -7,8 +7,9 @@ are frozen before scoring, so a text's exact code length under a language is the
 byte and the ``ORDER`` bytes before it, and whole batches are scored with array look-ups.
 
 Counting is a distributed aggregation over the training texts. The trees are fitted on a bounded sample of
-labelled rows: about ``TRAIN_DOCS`` rows a language, picked by hash, whole texts, and at most ``MAX_NODES``
-of the commonest byte strings, so the broadcast model is bounded. Texts are lower-cased first.
+labelled rows: about ``TRAIN_DOCS`` rows a language, picked by hash, whole texts, and about ``MAX_NODES``
+byte strings, so the broadcast model is bounded. Each language has its own share of them: a language below an
+even share keeps all its strings, and one above it its commonest. Texts are lower-cased first.
 """
 
 from __future__ import annotations
@@ -175,6 +176,36 @@ class Model:
                 [float(s) if ok else 0.0 for s, ok in zip(score, letters, strict=True)])
 
 
+def shares(sizes: dict[str, int], nodes: int) -> dict[str, int]:
+    """Strings each language may keep: all of its own up to an even share; what small ones leave goes to the others."""
+    out, left = {}, nodes
+    for n, (lang, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(size, max(1, left // (len(sizes) - n)))
+        left -= out[lang]
+    return out
+
+
+def _prune(counts: DataFrame, nodes: int) -> tuple[list[str], DataFrame]:
+    """All languages of ``counts``, and its rows within each language's share: the commonest; of equally common strings that don't all fit, some by hash."""
+    classes: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("lang", "n").agg(F.count("*").alias("k")).collect():  # a row for each language and count
+        classes.setdefault(r["lang"], []).append((r["n"], r["k"]))
+    room = shares({lang: sum(k for _, k in rows) for lang, rows in classes.items()}, nodes)
+    cut = []
+    for lang, rows in classes.items():
+        left = room[lang]
+        for n, k in sorted(rows, reverse=True):
+            if k > left:
+                cut.append((lang, n, left / k))
+                break
+            left -= k
+    if not cut:
+        return sorted(classes), counts
+    edge, share = (F.create_map(*[F.lit(x) for row in cut for x in (row[0], row[i])])[F.col("lang")] for i in (1, 2))
+    some = F.pmod(F.xxhash64(F.lit(SEED), "w"), F.lit(_BUCKETS)) < share * _BUCKETS
+    return sorted(classes), counts.where(edge.isNull() | (F.col("n") > edge) | ((F.col("n") == edge) & some))
+
+
 def fit(docs: DataFrame, lang_col: str, text_col: str, key: Column, rows: int = TRAIN_DOCS,
         nodes: int = MAX_NODES) -> Model:
     """Trees of every language of ``docs``; rows with a null language or text teach nothing."""
@@ -183,18 +214,12 @@ def fit(docs: DataFrame, lang_col: str, text_col: str, key: Column, rows: int =
               .groupBy("lang", "w").agg(F.sum("n").alias("n")))
     counts = counts.persist()
     try:
-        sizes = sorted((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect())
-        least, total = 1, sum(k for _, k in sizes)
-        for n, k in sizes:  # leave out the rarest strings until the model fits
-            if total <= nodes:
-                break
-            least, total = n + 1, total - k
-        table = counts.where(F.col("n") >= least).toArrow()
+        langs, pruned = _prune(counts, nodes)
+        table = pruned.toArrow()
     finally:
         counts.unpersist()
     lang = np.array(table.column("lang").to_pylist(), object)
     w, n = table.column("w").to_numpy().astype(np.uint32), table.column("n").to_numpy()
-    langs = sorted(set(lang))
     return Model(langs, [(w[lang == x], n[lang == x]) for x in langs])
 
 

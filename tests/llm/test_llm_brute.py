@@ -187,6 +187,28 @@ def test_language_awkward_rows(spark):
     assert {(r["o"]["lang"], r["o"]["score"]) for r in langid_ppm.annotate(docs(spark), nothing, to="o").collect()} == {("und", 0.0)}
 
 
+def test_rare_language_beside_a_long_noisy_document(spark):
+    rng = random.Random(9)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60_000))
+    rare = ["yksi kaksi kolme neljä viisi kuusi", "hyvää huomenta kaikille ystäville"]
+    rows = [(0, noise, "en", "s", 1), *[(1 + i, f"the common words of a plain sentence {i}", "en", "s", 1) for i in range(40)],
+            *[(50 + i, t, "fi", "s", 1) for i, t in enumerate(rare)]]
+    model = langid_ppm.fit(docs(spark, rows), "lang", "text", F.col("doc_id"), nodes=3000)
+    alone = langid_ppm.fit(docs(spark, rows[41:]), "lang", "text", F.col("doc_id"))
+    probes = [t.encode() for t in ["kolme ystäville huomenta", "the plain words of a sentence", *rare]]
+    assert model.langs == ["en", "fi"] and len(model.known) < 3300
+    assert np.allclose(model.lengths(probes)[:, 1], alone.lengths(probes)[:, 0])  # the rare language's tree is whole
+    assert model.predict(probes, [True] * 4)[0] == ["fi", "en", "fi", "fi"]
+    # A tree of equally common strings is thinned, never lost.
+    tiny = langid_ppm.fit(docs(spark, [rows[0], *rows[41:]]), "lang", "text", F.col("doc_id"), nodes=60)
+    assert tiny.langs == ["en", "fi"] and all(len(levels[3][0]) for levels in tiny.trees)
+
+
+def test_shares_of_nodes():
+    assert langid_ppm.shares({"a": 5, "b": 1000, "c": 400}, 705) == {"a": 5, "c": 350, "b": 350}
+    assert langid_ppm.shares({"a": 5, "b": 10}, 100) == {"a": 5, "b": 10} and langid_ppm.shares({}, 10) == {}
+
+
 # ---- quality
 
 
