@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenance_spark.llm import (decontaminate_ac, html_lineblock, langid_ppm, license_index, line_site, mix_budget, quality_fm, simhash_cover,
-                                  topk_nra, warc_zdict)
+from provenance_spark.llm import (conversation_repair, decontaminate_ac, html_lineblock, langid_ppm, license_index, line_site, mix_budget,
+                                  quality_fm, quality_llr, search_taat, simhash_cover, topk_nra, warc_zdict)
 from provenance_spark.llm import sql as oracle
 from provenance_spark.llm.common import held_out, table
 from provenance_spark.session import ship_package, workspace_path
@@ -19,6 +19,7 @@ ORACLE: dict[str, str] = oracle.ORACLE
 
 PREDICT_AT = 0.3
 TOP_K = 20
+RANKED = 20
 QUERY_STEP = 20
 HOST = "source"
 TARGETS = mix_budget.Targets(domain=oracle.DOMAIN_WEIGHTS, language=oracle.LANGUAGE_WEIGHTS)
@@ -101,6 +102,25 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digest(conversation_repair.repaired(rows))
+
+
+@query
+def op12_search_taat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_taat.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), RANKED)
+
+
+@query
+def op13_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    weights = quality_llr.fit(docs, quality_llr.trusted_ids(table(spark, sf_dir, "labels"), good))
+    return quality_llr.annotate(docs, weights).select("doc_id", "rules.*")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
