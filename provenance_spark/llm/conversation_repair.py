@@ -109,7 +109,7 @@ def cheapest(rows: list[Row], entry: int, exits: dict[int, tuple[int, str]]) ->
             best = (cost, first + label + last)
 
     while heaps[0] and heaps[1] and (best is None or heaps[0][0][0] + heaps[1][0][0] <= best[0]):
-        side = 0 if heaps[0][0][0] <= heaps[1][0][0] else 1
+        side = 0 if (heaps[0][0][0], len(done[0])) <= (heaps[1][0][0], len(done[1])) else 1
         cost, _, i, state = heapq.heappop(heaps[side])
         node = (i, state)
         if node in done[side]:
