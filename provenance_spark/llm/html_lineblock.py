@@ -1,16 +1,20 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped: each block-level element's text becomes a line, and everything that is never article
-text (scripts, menus, forms, adverts, notices, comment sections and the like) leaves a gap of empty lines.
-A line's weight is its text length, or 0 where links make up most of it. Weights are summed over windows of
-``WINDOW`` lines. The text surges where a window's sum rises from nothing and dives where a window's sum
+Markup is stripped: each block-level element's text becomes a line; scripts, menus, footers, dialogs and the like, by
+their tag or role, leave a gap of empty lines. A line's weight is its text length, or 0 where links make up most of it. Weights are summed
+over windows of ``WINDOW`` lines. The text surges where a window's sum rises from nothing and dives where a window's sum
 falls to nothing again; what lies between two dives is kept when some window in it reaches ``SURGE``. If no
 window does, the stretch with the largest sum is kept. A stretch below ``SURGE`` that shares its container with a kept
 one stays too: it was cut off by something left out in between.
 
+Names are one vote only. An element whose class or id has a whole token such as ``sidebar``, ``site-footer`` or ``cookie-text``, and any form, is suspect;
+it goes where the text outside suspects outweighs it, and stays, name or not, where it holds most of the page's weight (``undecided``).
+Suspects for readers' comments go wherever the text outside them surges at all.
+
 Marks (``article`` or ``main``) decide close calls only. A stretch ends where a marked element begins or ends, and the
 heaviest marked element or unmarked stretch says on which side of the marks the page's article is. On that side, marked
-lines weigh ``MARKED`` times their length; on the other, a window must reach ``CLOSE`` times ``SURGE``.
+lines weigh ``MARKED`` times their length; on the other, a window must reach ``CLOSE`` times ``SURGE``. Of an ``article`` in which a stretch
+is kept, every line stays, links and short ones included.
 """
 
 from __future__ import annotations
@@ -48,15 +52,21 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "
            "th": {"td", "th", "tr"}, "option": {"option"}}
 ARTICLE = frozenset({"article", "main"})
 CONTAINER = frozenset("div section td center".split()) | ARTICLE
-NEVER = frozenset("head nav footer aside form button dialog menu audio video canvas map datalist fieldset".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-READERS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+NEVER = frozenset("head nav footer aside button dialog menu audio video canvas map datalist".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
+FORMS = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice notices notification alert newsletter subscribe subscription signup popup modal overlay nav navbar navigation "
     "menu menus breadcrumb breadcrumbs sidebar rail footer header masthead topbar toolbar related recommended recommendations "
     "share sharing social widget widgets pagination pager copyright legal disclaimer login search skip paywall".split())
-CONTENT = frozenset("article content main post entry story body text".split())
+#: What may stand before or after such a name within one token of a class or id, joined by - or _.
+BEFORE = frozenset("site page main top bottom left right primary secondary global blog post user reader".split())
+AFTER = frozenset("content text box wrapper wrap container inner bar area section block list links items panel banner thread form body button buttons icons".split())
+#: Times by which a suspect must outweigh the rest to stay where a marked element holds text outside it.
+OVERWHELM = 8
 
 
 @dataclass
@@ -66,42 +76,103 @@ class Line:
     mark: int = 0
     title: bool = False
     container: int = 0
+    suspect: int = 0
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
+    def weight(self) -> int:
+        n = len(self.text())
+        return n if self.linked <= n / 2 else 0
+
+
+@dataclass
+class Suspect:
+    """An element whose name or tag speaks against it: of readers or not, and the suspect around it (0: none)."""
+
+    readers: bool
+    around: int
+
 
-def aside(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is never part of an article: by its tag, role, or words of its class and id."""
+def named(token: str, names: frozenset[str]) -> bool:
+    """Whether a token of a class or id is one of ``names``, alone or with the usual words around it."""
+    words = re.split(r"[-_]+", token.lower())
+    if len(words) > 1 and words[0] in BEFORE:
+        words = words[1:]
+    return words[0] in names and all(w in AFTER or w in names for w in words[1:])
+
+
+def aside(tag: str, attrs: str, inside: bool) -> str:
+    """What speaks against an element: "never" is out at once, "readers" and "aside" make it suspect, "" is nothing."""
     if tag in NEVER:
-        return True
+        return "never"
     if tag in ("html", "body"):
-        return False
+        return ""
     found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs.strip() else {}
     if "hidden" in found or found.get("role", "").lower() in ROLES:
-        return True
-    words = {w.lower() for w in WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    if words & READERS:
-        return True
+        return "never"
+    if tag in HEADINGS or tag in INLINE:
+        return ""
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".split()
+    if any(named(t, READERS) for t in tokens):
+        return "readers"
     if tag in ARTICLE:
-        return False
+        return ""
     if tag == "header":
-        return not inside
-    return bool(words & ASIDE) and not words & CONTENT
+        return "" if inside else "never"
+    return "aside" if tag in FORMS or found.get("role", "").lower() == "form" or any(named(t, ASIDE) for t in tokens) else ""
+
+
+def undecided(found: list[Line | None], suspects: list[Suspect], surge: int) -> set[int]:
+    """The suspects that go. ``suspects`` counts from 1; those around come before those inside.
+
+    The heaviest are heard first, readers' last. One that isn't of readers stays if it outweighs all text accepted so far and has a surge's weight of its
+    own; one of readers stays only if neither marked text nor text of that weight was accepted. What stays is accepted, and the suspects in it are heard.
+    """
+    own, total, marked = [0] * (len(suspects) + 1), [0] * (len(suspects) + 1), [False] * (len(suspects) + 1)
+    for line in found:
+        if line is not None and line.parts:
+            w = line.weight()
+            own[line.suspect] += w
+            marked[line.suspect] |= bool(line.mark and line.text())
+            n = line.suspect
+            while n:
+                total[n] += w
+                n = suspects[n - 1].around
+    accepted, mark, gone = own[0], marked[0], set()
+    heard = [n for n, x in enumerate(suspects, 1) if not x.around]
+    while heard:
+        n = min(heard, key=lambda n: (suspects[n - 1].readers, -total[n], n))
+        heard.remove(n)
+        enough = total[n] >= CLOSE * surge and total[n] > accepted * (OVERWHELM if mark else 1)
+        if not mark and accepted < CLOSE * surge if suspects[n - 1].readers else enough:
+            accepted += own[n]
+            mark |= marked[n]
+            heard += [k for k, x in enumerate(suspects, 1) if x.around == n]
+        else:
+            gone.add(n)
+    for n, x in enumerate(suspects, 1):
+        if x.around in gone:
+            gone.add(n)
+    return gone
 
 
-def lines(page: str) -> list[Line | None]:
+def lines(page: str, surge: int = SURGE) -> list[Line | None]:
     """The page's lines in order; None stands for a gap that something left out makes."""
     out: list[Line | None] = [Line()]
-    stack: list[tuple[str, bool]] = []  # open elements and whether they leave their text out
+    stack: list[tuple[str, str]] = []  # open elements and what speaks against them
+    suspects: list[Suspect] = []
+    doubts = [0]  # numbers of the open suspects
     boxes = [0]  # numbers of the open containers
-    marks = [0]  # numbers of the open article and main elements
+    marks = [0]  # numbers of the open article and (below zero) main elements
     skipped = inside = links = titles = at = made = 0
 
     def pop(n: int) -> None:
         nonlocal skipped, inside, links, titles
-        for tag, out_of in stack[n:]:
-            skipped -= out_of
+        for tag, against in stack[n:]:
+            skipped -= against == "never"
+            if against in ("aside", "readers"):
+                doubts.pop()
             inside -= tag in ARTICLE
             links -= tag == "a"
             titles -= tag == "h1"
@@ -118,7 +189,7 @@ def lines(page: str) -> list[Line | None]:
             line.linked += len(line.parts[-1].strip()) * bool(links)
             if not raw.isspace():
                 line.mark, line.title = marks[-1], bool(titles)
-            line.container = boxes[-1]
+            line.container, line.suspect = boxes[-1], doubts[-1]
 
     def cut() -> None:
         if out[-1].parts:
@@ -153,12 +224,15 @@ def lines(page: str) -> list[Line | None]:
         attrs = m["attrs"] or m["attrs2"] or ""
         if attrs.rstrip().endswith("/") and tag not in ("a",):
             continue
-        out_of = aside(tag, attrs, bool(inside))
-        if out_of and not skipped:
+        against = aside(tag, attrs, bool(inside))
+        if against == "never" and not skipped:
             cut()
             out[-1:] = [None, Line()]
-        stack.append((tag, out_of))
-        skipped += out_of
+        stack.append((tag, against))
+        skipped += against == "never"
+        if against in ("aside", "readers"):
+            suspects.append(Suspect(against == "readers", doubts[-1]))
+            doubts.append(len(suspects))
         inside += tag in ARTICLE
         links += tag == "a"
         titles += tag == "h1"
@@ -166,9 +240,10 @@ def lines(page: str) -> list[Line | None]:
             made += 1
             boxes.append(made)
         if tag in ARTICLE:
-            marks.append(made)
+            marks.append(made if tag == "article" else -made)
     text(page[at:])
-    return out
+    gone = undecided(out, suspects, surge) if suspects else ()
+    return [None if line is not None and line.suspect in gone else line for line in out]
 
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -178,13 +253,13 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     marks: list[int] = []
     titles: list[bool] = []
     boxes: list[int] = []
-    for line in lines(page or ""):
+    for line in lines(page or "", surge):
         if line is None:
             for x, gap in ((texts, ""), (weights, 0), (marks, 0), (titles, False), (boxes, 0)):
                 x.extend([gap] * window)
         elif t := line.text():
             texts.append(t)
-            weights.append(len(t) if line.linked <= len(t) / 2 else 0)
+            weights.append(line.weight())
             marks.append(line.mark)
             titles.append(line.title)
             boxes.append(line.container)
@@ -230,7 +305,9 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     for n in range(len(parts) - 2, -1, -1):  # a title right before its text
         if n + 1 in kept and parts[n][-1] + 1 == parts[n + 1][0] and all(titles[i] for i in parts[n]):
             kept.add(n)
-    return "\n".join(texts[i] for n in sorted(kept) for i in parts[n] if texts[i])
+    articles = {marks[parts[n][0]] for n in strong if marks[parts[n][0]] > 0}
+    held = {i for n in kept for i in parts[n]} | {i for i, m in enumerate(marks) if m in articles}
+    return "\n".join(texts[i] for i in sorted(held) if texts[i])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

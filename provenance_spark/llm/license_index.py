@@ -47,8 +47,6 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", ("under cc by nc",)),
 )
 ANCHORS = 5
-#: Anchor words a file in the SQL of ``sql.py``, which this module doesn't bound: files full of anchors of other templates keep theirs.
-TOP = 12
 #: Anchors of a template that must agree on a start (all, if it has fewer).
 VOTES = 3
 #: Words beside a template's place in which its key phrases may stand: a few words may be put in or left out.

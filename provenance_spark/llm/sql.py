@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from provenance_spark.llm import line_site
-from provenance_spark.llm.license_index import ANCHORS, PHRASES, SLACK, TEMPLATES, TOP, VOTES
+from provenance_spark.llm.license_index import ANCHORS, PHRASES, SLACK, TEMPLATES, VOTES
 
 DOMAIN_WEIGHTS = {"d0": 3, "d1": 2, "d2": 1}
 LANGUAGE_WEIGHTS = {"en": 4, "de": 2, "fr": 2}
@@ -106,10 +106,9 @@ post AS (SELECT t, label, w[i] AS word, i - 1 AS place, len(w) AS size FROM (SEL
 df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS word FROM d) GROUP BY 1),
 ranked AS (SELECT post.*, coalesce(df, 0) AS df, dense_rank() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word) AS rank FROM post LEFT JOIN df USING (word)),
 anchor AS (SELECT *, max(rank) OVER (PARTITION BY t) AS n_anchors FROM ranked WHERE rank <= {ANCHORS}),
-own AS (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY df, word) AS n
-        FROM (SELECT DISTINCT k, word FROM (SELECT k, unnest(list_distinct(w)) AS word FROM d)) JOIN (SELECT DISTINCT word, df FROM anchor) USING (word)),
+own AS (SELECT k, word FROM (SELECT k, unnest(list_distinct(w)) AS word FROM d) SEMI JOIN anchor USING (word)),
 near AS (SELECT DISTINCT k FROM (SELECT k, t, n_anchors, count(*) AS c FROM own JOIN (SELECT DISTINCT word, t, n_anchors FROM anchor) USING (word)
-         WHERE n <= {TOP} GROUP BY 1, 2, 3) WHERE c >= least(n_anchors, {VOTES})),
+         GROUP BY 1, 2, 3) WHERE c >= least(n_anchors, {VOTES})),
 place_ AS (SELECT k, w[i] AS word, i - 1 AS here FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d SEMI JOIN near USING (k))),
 vote AS (SELECT k, t, start FROM (SELECT k, t, here - place AS start, n_anchors, count(DISTINCT word) AS c FROM place_ JOIN anchor USING (word) GROUP BY 1, 2, 3, 4)
          WHERE c >= least(n_anchors, {VOTES})),

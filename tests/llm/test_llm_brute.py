@@ -7,17 +7,18 @@ import struct
 import zlib
 from base64 import b32encode
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 import zstandard as zstd
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from conftest import SF_MID, SF_SMALL, as_bag
 from provenance_spark.llm import (decontaminate_ac, html_lineblock, langid_ppm, license_index, line_site, mix_budget, quality_fm, simhash_cover,
                                   topk_nra, warc_zdict)
 from provenance_spark.llm.components import connected_components
-from provenance_spark.llm.queries import QUERIES, TARGETS
+from provenance_spark.llm.queries import ORACLE, QUERIES, TARGETS
 from provenance_spark.session import workspace_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -272,14 +273,74 @@ def test_marks_do_not_replace_the_windows():
     assert extract(f"<body><div id=story><h1>Head</h1>{body}</div><div>{cards}</div></body>").split("\n") == ["Head", *story]
     assert extract(f"<body><div>{cards}</div><div id=story>{body}</div></body>").split("\n") == story
     assert extract(f"<body><main><h1>Head</h1></main><div id=story>{body}</div></body>").split("\n") == ["Head", *story]
-    # Marks settle a close call: a note outside goes, the article's own short parts stay; a list of links is no text inside either.
+    # Marks settle a close call: a note outside goes, the article's own short parts and lists of links stay.
     note = "<div>A note outside the article that is long enough to surge, though not by far, when alone.</div>"
     links = "".join(f"<li><a href=/{i}>Something else to read {i}</a></li>" for i in range(9))
     page = f"<body>{note}<article>{body}<div class=ad>x</div><p>End.</p><ul>{links}</ul></article>{note}</body>"
-    assert extract(page).split("\n") == [*story, "End."]
+    assert extract(page).split("\n") == [*story, "End.", *(f"Something else to read {i}" for i in range(9))]
     assert extract("<article><a href=/><h1>All of it</h1><p>is a link</p></a></article>") == "All of it\nis a link"
 
 
+STORY = "<h1>A title here</h1>" + "".join(
+    f"<p>Paragraph {i} with a good deal of text that goes on for a while, so that it surely is an article, {i} times.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="no-sidebar">', '<div class="page has-sidebar">', '<div class="with-sidebar">', '<div class="header-fixed">', '<div class="social-science">',
+    '<div class="widget-area">', '<div id="ad-free">', '<div class="comments-open">', '<article class="has-comments">', '<article class="discussion">',
+    '<form id="form1">', "<fieldset>", '<div class="sidebar">', '<div class="comments">', '<div class="site-header">'])
+def test_html_wrapper_names_lose_no_page(wrapper):
+    tag = wrapper[1:].split()[0].strip(">")
+    page = f"<body><ul><li><a href=x>home</a></li><li><a href=y>away</a></li></ul>{wrapper}{STORY}</{tag}><footer>foot</footer></body>"
+    assert html_lineblock.extract(page).split("\n") == html_lineblock.extract(f"<div>{STORY}</div>").split("\n")
+    assert len(html_lineblock.extract(page).split("\n")) == 5
+
+
+@pytest.mark.parametrize("part, texts", [
+    ('<section id="discussion"><p>Long discussion text that goes on for a good while here.</p></section>', ["Long discussion text that goes on for a good while here."]),
+    ('<section id="related-work"><h2>R</h2><p>Related work.</p></section>', ["R", "Related work."]), ('<h2 id="search">Search</h2>', ["Search"]),
+    ('<p class="notice-board">The board.</p>', ["The board."]), ("<ul><li><a href=1>Ref one</a></li><li><a href=2>Ref two</a></li></ul>", ["Ref one", "Ref two"]),
+    ("<p><a href=1>a</a></p><p><a href=1>b</a></p><p><a href=1>c</a></p><div>Short end.</div>", ["a", "b", "c", "Short end."]),
+    ('<div class="share">Tell your friends</div><p class="ad">Buy it now</p>', [])])
+def test_html_parts_of_an_article(part, texts):
+    assert html_lineblock.extract(f"<body><article>{STORY}{part}</article></body>").split("\n")[5:] == texts
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="footer-content">Some footer text which is fairly long, as footers are, with a lot of words in it to be seen as text.</div>',
+    '<div class="cookie-text">We use cookies to make this site better and to learn what you like, so please agree to all of them now.</div>',
+    f'<div id="comments">{STORY * 3}</div>', f'<section class="user-comments">{STORY * 9}</section>',
+    '<form><p>Write to us with your name, your address and all that you would like to tell the editors of this page, please.</p></form>'])
+def test_html_asides_go(part):
+    assert html_lineblock.extract(f"<body><div>{STORY}</div>{part}</body>").count("\n") == 4
+
+
+def test_html_windows_equal_brute_force():
+    """Surges and dives of unmarked pages recomputed from the definition, on pages of random line lengths."""
+    rng = random.Random(6)
+    for _ in range(300):
+        sizes = [rng.choice([0, 0, 0, 5, 20, 60, 120]) for _ in range(rng.randint(1, 25))]
+        page = "".join(f"<div><p>{'x' * n}{i:02d}</p></div>" if n else f"<div><a href=u>link {i:02d}</a></div>" for i, n in enumerate(sizes))
+        weight = [n + 2 if n else 0 for n in sizes]
+        runs, now = [], []
+        for i in range(len(weight)):  # a stretch ends where WINDOW lines weigh nothing
+            if weight[i]:
+                if now and i - now[-1] > html_lineblock.WINDOW:
+                    runs.append(now)
+                    now = []
+                now = [*range(now[0], i + 1)] if now else [i]
+        runs += [now] if now else []
+
+        def peak(run):
+            return max(sum(weight[i] for i in run[n:n + html_lineblock.WINDOW]) for n in range(len(run)))
+
+        kept = [r for r in runs if peak(r) >= html_lineblock.SURGE]
+        if runs and not kept:
+            kept = [max(runs, key=lambda r: sum(weight[i] for i in r))]
+        want = [f"{'x' * sizes[i]}{i:02d}" if sizes[i] else f"link {i:02d}" for r in kept for i in r]
+        assert html_lineblock.extract(page) == "\n".join(want), sizes
+
+
 def test_html_awkward_rows(spark):
     rows = [(1, "u", None), (None, None, ""), (2, "u", "plain < text"), (2, "u", "plain < text"), (3, "u", "<p>" * 5000 + "deep" + "<a b='" * 2000), (4, "u", "<script>x")]
     frame = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
@@ -418,8 +479,13 @@ def test_licence_in_a_file_full_of_other_anchors(spark):
     rows = [(i, f"{isc} file {i}", "en", "s", 1) for i in range(30)]
     rows += [(100 + 9 * n + t, " x ".join(w for w in ws if w not in own[t]), "en", "s", 1) for n in range(3) for t, ws in texts.items()]
     rows += [(999, " ordinary words ".join([*rare, isc]), "en", "s", 1)]
-    got = {r["doc_id"]: r for r in license_index.scan(docs(spark, rows)).collect()}
+    found = license_index.scan(docs(spark, rows))
+    got = {r["doc_id"]: r for r in found.collect()}
     assert got[0]["labels"] == got[999]["labels"] == "isc" and got[999]["score"] == pytest.approx(1)
+    con = duckdb.connect()
+    documents = docs(spark, rows).toPandas()  # noqa: F841  (DuckDB finds it by name)
+    sql = con.execute(f"SELECT * FROM ({ORACLE['op10_license_index']})").fetchall()
+    assert as_bag(found.columns, [tuple(r) for r in found.collect()]) == as_bag([c[0] for c in con.description], sql)
 
 
 # ---- the pipeline
