@@ -18,7 +18,10 @@ from provenance_spark.llm.common import fits, fresh
 from provenance_spark.session import cut_lineage
 
 RATIO = 0.05
+#: Pages that must hold a boilerplate line: this many, or all pages of a smaller host. On fewer than FEWEST pages a line that
+#: all share is no evidence: they may be near copies of one page.
 MIN_PAGES = 5
+FEWEST = 3
 #: Boilerplate lines of all hosts that may be broadcast; beyond, pages are joined by shuffling.
 BROADCAST_LINES = 200_000
 
@@ -32,15 +35,16 @@ def _bare(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(host, a, b)``: hashes of each host's boilerplate lines, on at least ``min_pages`` pages and above the ratio."""
+    """``(host, a, b)``: hashes of each host's boilerplate lines, above the ratio and on ``min_pages`` pages, or all of a smaller host's."""
     host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     p, q = _hash(text)
     lines = docs.select(host.alias("host"), p.alias("p"), q.alias("q"), F.explode(F.split(text, "\n")).alias("line"))
     a, b = _hash(_bare(F.col("line")))
     on = lines.where(_bare(F.col("line")) != "").select("host", "p", "q", a.alias("a"), b.alias("b")).distinct()
-    counts = on.groupBy("host", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counts = on.groupBy("host", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min(FEWEST, min_pages))
     totals = docs.select(host.alias("host"), p.alias("p"), q.alias("q")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(totals, "host").where(F.col("n") > F.col("pages") * ratio).select("host", "a", "b")
+    many = F.col("n") >= F.least(F.lit(min_pages), F.col("pages"))
+    return counts.join(totals, "host").where(many & (F.col("n") > F.col("pages") * ratio)).select("host", "a", "b")
 
 
 def annotate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, to: str = "kept") -> DataFrame:

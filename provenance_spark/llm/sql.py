@@ -91,7 +91,7 @@ l AS (SELECT k, host, coalesce(text, '') AS page, u.i, ls[u.i] AS line, trim(ls[
       FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
 t AS (SELECT host, count(DISTINCT coalesce(text, '')) AS pages FROM d GROUP BY 1),
 b AS (SELECT host, bare, 1 AS bad FROM (SELECT host, bare, count(DISTINCT page) AS n FROM l WHERE bare != '' GROUP BY 1, 2) JOIN t USING (host)
-      WHERE n >= {line_site.MIN_PAGES} AND n > pages * CAST({line_site.RATIO} AS DOUBLE)),
+      WHERE n >= {line_site.FEWEST} AND n >= least({line_site.MIN_PAGES}, pages) AND n > pages * CAST({line_site.RATIO} AS DOUBLE)),
 m AS (SELECT k, count(*) FILTER (bare != '') AS n_lines, count(bad) AS n_dropped,
              coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bad IS NULL), '') AS text FROM l LEFT JOIN b USING (host, bare) GROUP BY 1)
 SELECT doc_id, host, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, m.text FROM d LEFT JOIN m USING (k)"""

@@ -451,6 +451,9 @@ def test_line_dedup_awkward_rows(spark):
     assert cleaned.columns == frame.columns and cleaned.count() == len(rows)
     assert [r["text"] for r in cleaned.where("doc_id = 2 and source = 'src1'").collect()] == [None]
     assert line_site.cleaned(docs(spark, []), "source").count() == 0
+    small = docs(spark, [(10 * n + i, f"Menu\nown line {i} of {n}", "en", f"h{n}", 1) for n in (2, 3, 4) for i in range(n)])
+    texts = {r["doc_id"]: r["text"] for r in line_site.cleaned(small, "source").collect()}
+    assert texts[31] == "own line 1 of 3" and texts[43] == "own line 3 of 4" and texts[20] == "Menu\nown line 0 of 2"
     copies = docs(spark, [(i, "Same page\nof one text", "en", "h", 1) for i in range(50)])
     assert line_site.cleaned(copies, "source").select("text").distinct().count() == 1  # copies of a page aren't boilerplate
     assert line_site.cleaned(copies, "source").first()["text"] == "Same page\nof one text"
