@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenance_spark.operators.permute import place_sql, shuffle_table
 from provenance_spark.operators.positions import first_n_by_key, preview, row_at
 from provenance_spark.operators.sampling import balanced_quotas, seeded_pick, stratified_sample
 from provenance_spark.operators.splits import (fraction_cuts, head_cuts, positional_split, prepare_datasets,
@@ -56,13 +57,43 @@ SELECT split, AI, text FROM r
 WHERE pos <= CASE WHEN split = 'train' THEN {CSV_CAP_TRAIN // 2} ELSE {CSV_CAP_EVAL // 2} END""")
 def q_corpus_csv_load(spark, sf_dir):
     """The corpus written as the per-split CSV files the original ships, then loaded back with caps."""
-    cfg = CsvCorpusConfig(workspace_path(spark, "corpus_csv"), train_cap=CSV_CAP_TRAIN, eval_cap=CSV_CAP_EVAL)
+    cfg = write_corpus_csv(spark, sf_dir, CSV_CAP_TRAIN, CSV_CAP_EVAL)
+    return load_labelled_csv(spark, cfg).select("split", "AI", "text")
+
+
+SHUFFLE_SEED = 3
+
+
+@query("shuffled_corpus", "S1 S1c S5 L1 L2 U1", f"""
+WITH {CORPUS_CTE},
+t AS (SELECT split, AI, text, row_number() OVER (PARTITION BY split ORDER BY AI, id) - 1 AS pos,
+             count(*) OVER (PARTITION BY split) AS n FROM corpus),
+{place_sql(SHUFFLE_SEED, "split, AI, text", "t")}
+SELECT * FROM placed""")
+def q_shuffled_corpus(spark, sf_dir):
+    """All rows of the per-split CSV files, human before machine, each split shuffled whole by seed."""
+    cfg = write_corpus_csv(spark, sf_dir, None, None)
+    return load_labelled_csv(spark, cfg, shuffle=SHUFFLE_SEED).select("split", "AI", "text", "place")
+
+
+@query("shuffled_documents", "L1 L2", f"""
+WITH t AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+{place_sql(SHUFFLE_SEED, "doc_id, n_chars", "t")}
+SELECT * FROM placed""")
+def q_shuffled_documents(spark, sf_dir):
+    """The documents in seeded random order, cut into ranges of places."""
+    return shuffle_table(read_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"], SHUFFLE_SEED)
+
+
+def write_corpus_csv(spark: SparkSession, sf_dir: str, train_cap: int | None, eval_cap: int | None) -> CsvCorpusConfig:
+    """The corpus as per-split CSV files, a folder each, in the order of its ids."""
+    cfg = CsvCorpusConfig(workspace_path(spark, "corpus_csv"), train_cap=train_cap, eval_cap=eval_cap)
     corpus = load_corpus(spark, sf_dir).select("id", "split", "AI", "text")
     for split in SPLITS:
         for path, ai in ((cfg.human_path(split), 0), (cfg.machine_path(split), 1)):
             rows = corpus.where((F.col("split") == split) & (F.col("AI") == ai)).select("id", "text")
             write_csv(rows.repartitionByRange("id").sortWithinPartitions("id"), path)
-    return load_labelled_csv(spark, cfg).select("split", "AI", "text")
+    return cfg
 
 
 @query("positional_split", "W1", """
@@ -120,7 +151,7 @@ def q_mixed_corpus_split(spark, sf_dir):
     return base
 
 
-SAMPLE_TRAIN_SIZE = 8
+SAMPLE_TRAIN_SIZE = 200
 
 
 @query("stratified_sample", "W3 P6 L1", lambda: f"""

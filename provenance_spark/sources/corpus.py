@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenance_spark.functions.text import normalize_newlines, text_length
-from provenance_spark.sources.materialize import csv_reader
+from provenance_spark.operators.permute import permutation, with_place
+from provenance_spark.sources.materialize import CSV_NULL
+from provenance_spark.sources.split_csv import CsvScan, scan_csv
 
 SPLITS = ("train", "valid", "test")
 CORPUS_COLUMNS = ("id", "split", "AI", "version", "text", "text_length")
@@ -79,17 +81,20 @@ class CsvCorpusConfig:
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV scan keeping only ``text`` (quoted newlines allowed), of files with any columns around it."""
-    return csv_reader(spark).option("header", True).csv(path).select(F.col("text").cast("string"))
+    return scan_csv(spark, {"csv": path}, ["text"], null_value=CSV_NULL).select("text")
 
 
-def load_labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
-    """One DataFrame for all splits with ``split``, ``AI``, file position ``pos``.
+def load_labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig, shuffle: int | None = None) -> DataFrame:
+    """One DataFrame for all splits: ``text``, ``file``, ``pos``, ``AI``, ``split``.
 
     Row caps keep the first ``cap // 2`` rows of each file in file order (S6), rows with a null text
-    included; null texts are dropped after the cap, and :func:`null_texts` counts them. File order
-    is recovered with an explicit position (see :func:`file_positions`).
+    included; null texts are dropped after the cap, and :func:`null_texts` counts them. ``pos`` is the row's number in its
+    file, or in the files of its folder by name.
+
+    With ``shuffle`` (a seed) each split's rows, human before machine, are shuffled whole (S1c, L2): ``place`` says where a row
+    stands then. Null texts have a place before they are dropped.
     """
-    return _labelled_csv(spark, cfg).where(F.col("text").isNotNull())
+    return _labelled_csv(spark, cfg, shuffle).where(F.col("text").isNotNull())
 
 
 def null_texts(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
@@ -98,29 +103,24 @@ def null_texts(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
             .agg(F.count(F.when(F.col("text").isNull(), 1)).alias("n_null")))
 
 
-def _labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig) -> DataFrame:
-    """Every row within the caps, file by file."""
-    from provenance_spark.operators.positions import first_n_by_key
-
+def _labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig, shuffle: int | None = None) -> DataFrame:
+    """Every row within the caps, all files in one scan."""
+    paths = {f"{split} {ai}": path for split in SPLITS for path, ai in ((cfg.human_path(split), 0), (cfg.machine_path(split), 1))}
+    caps = {split: cfg.train_cap if split == "train" else cfg.eval_cap for split in SPLITS}
+    halves = {s: None if caps[s.split()[0]] is None else caps[s.split()[0]] // 2 for s in paths}
+    scan = CsvScan(spark, paths, null_value=CSV_NULL)
+    rows = scan.rows(["text"], halves)
+    label = F.split("source", " ")
+    out = rows.select("text", "file", "pos", label[1].cast("int").alias("AI"), label[0].alias("split"))
+    if shuffle is None:
+        return out
+    taken = {s: n if halves[s] is None else min(n, halves[s]) for s, n in scan.totals.items()}
     parts = []
     for split in SPLITS:
-        cap = cfg.train_cap if split == "train" else cfg.eval_cap
-        for path, ai in ((cfg.human_path(split), 0), (cfg.machine_path(split), 1)):
-            df = file_positions(read_text_csv(spark, path))
-            if cap is not None:
-                df = first_n_by_key(df, ["file", "pos"], cap // 2)
-            parts.append(df.withColumn("AI", F.lit(ai)).withColumn("split", F.lit(split)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def file_positions(df: DataFrame) -> DataFrame:
-    """``file`` and ``pos``: order by both is file order. A folder's part files count in order of
-    their names; quoted newlines keep a file in one task, which numbers its rows as it reads them."""
-    return (df.withColumn("file", F.input_file_name())
-              .withColumn("pos", F.monotonically_increasing_id()))
+        human, machine = taken[f"{split} 0"], taken[f"{split} 1"]
+        at = F.col("pos") + F.when(F.col("AI") == 1, human).otherwise(0)
+        parts.append(with_place(out.where(F.col("split") == split), at, permutation(human + machine, shuffle)))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def with_version(df: DataFrame, machine_version: str = "gpt2") -> DataFrame:

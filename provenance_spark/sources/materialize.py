@@ -11,6 +11,9 @@ from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provenance_spark.sources.split_csv import scan_csv
 
 
 def cache_key(*parts) -> str:
@@ -59,15 +62,13 @@ def write_csv(df: DataFrame, path: str) -> None:
        .option("nullValue", CSV_NULL).option("emptyValue", "").csv(path))
 
 
-def csv_reader(spark: SparkSession):
-    """Options that read :func:`write_csv`'s files: quoted newlines, empty texts kept, nulls by their marker."""
-    return (spark.read.option("multiLine", True).option("escape", '"').option("nullValue", CSV_NULL)
-            .option("emptyValue", ""))
-
-
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV with an explicit schema; ``multiLine`` keeps quoted newlines inside a field."""
-    return csv_reader(spark).schema(schema).option("header", True).csv(path)
+    """The columns of ``schema`` by name, from files with a header and any columns around them.
+
+    Quoted newlines don't bind a file to one task (:mod:`provenance_spark.sources.split_csv`). A value that isn't of its type is null.
+    """
+    rows = scan_csv(spark, {"csv": path}, schema.fieldNames(), null_value=CSV_NULL)
+    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def local_path(path: str) -> str:
