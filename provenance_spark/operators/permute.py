@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,21 +80,35 @@ def apply_once(p: Permutation, x: np.ndarray) -> np.ndarray:
     return left * p.b + right
 
 
-def with_place(df: DataFrame, pos: Column, p: Permutation, to: str = "place") -> DataFrame:
-    """``df`` with the place of each row after the shuffle; ``pos`` numbers the rows from 0 to n - 1."""
-    x, left, right = f"_{to}", f"_{to}_l", f"_{to}_r"
-    out = df.withColumn(x, pos.cast("long"))
-    for t in range(p.times):
-        out = out.withColumns({left: F.expr(f"`{x}` div {p.b}L"), right: F.pmod(F.col(x), F.lit(p.b))})
-        for r, (k1, k2, k3) in enumerate(p.keys):
-            this, other, size = (left, right, p.a) if r % 2 == 0 else (right, left, p.b)
+def with_place(df: DataFrame, pos: Column, p: Permutation | Mapping[object, Permutation], to: str = "place", by: Column | None = None) -> DataFrame:
+    """``df`` with the place of each row after the shuffle; ``pos`` numbers the rows from 0 to n - 1.
+
+    With several permutations of one seed, by the value of ``by``, each group is shuffled by its own.
+    """
+    groups = p if isinstance(p, Mapping) else {None: p}
+    every = list(groups.values())
+    if len({q.keys for q in every}) != 1:
+        raise ValueError("the groups' permutations have different seeds")
+
+    def size(name: str) -> Column:
+        if by is None:
+            return F.lit(getattr(every[0], name)).cast("long")
+        return F.create_map(*[x for g, q in groups.items() for x in (F.lit(g), F.lit(getattr(q, name)).cast("long"))])[by]
+
+    n, a, b = f"_{to}_n", f"_{to}_a", f"_{to}_b"
+    x, left, right, f = f"_{to}_x", f"_{to}_l", f"_{to}_r", f"_{to}_f"
+    out = df.withColumns({x: pos.cast("long"), n: size("n"), a: size("a"), b: size("b")})
+    for t in range(max(q.times for q in every)):
+        out = out.withColumns({left: F.expr(f"`{x}` div `{b}`"), right: F.pmod(F.col(x), F.col(b))})
+        for r, (k1, k2, k3) in enumerate(every[0].keys):
+            this, other, modulus = (left, right, a) if r % 2 == 0 else (right, left, b)
             half = F.col(other)
-            out = out.withColumn("_f", (F.pmod(half, F.lit(PRIME)) * F.lit(k1).cast("long") + k2) % PRIME)
-            out = out.withColumn("_f", (F.col("_f") * F.col("_f") + k3) % PRIME)
-            out = out.withColumn(this, (F.col(this) + (F.col("_f") * F.col("_f") + half) % PRIME) % size)
-        new = F.col(left) * p.b + F.col(right)
-        out = out.withColumn(x, new if t == 0 else F.when(F.col(x) >= p.n, new).otherwise(F.col(x)))
-    return out.withColumn(to, F.col(x)).drop(x, left, right, "_f")
+            out = out.withColumn(f, (half % PRIME * F.lit(k1).cast("long") + k2) % PRIME)
+            out = out.withColumn(f, (F.col(f) * F.col(f) + k3) % PRIME)
+            out = out.withColumn(this, (F.col(this) + (F.col(f) * F.col(f) + half) % PRIME) % F.col(modulus))
+        new = F.col(left) * F.col(b) + F.col(right)
+        out = out.withColumn(x, new if t == 0 else F.when(F.col(x) >= F.col(n), new).otherwise(F.col(x)))
+    return out.withColumn(to, F.col(x)).drop(x, n, a, b, left, right, f)
 
 
 def shuffled(df: DataFrame, place: str, n: int, partitions: int | None = None) -> DataFrame:

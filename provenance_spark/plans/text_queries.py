@@ -10,6 +10,7 @@ from provenance_spark.functions.sample_lemmas import DEFAULT_LEMMAS
 from provenance_spark.operators import detector as det
 from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
+from provenance_spark.operators import subword as sub
 from provenance_spark.plans import oracle as o
 from provenance_spark.plans.registry import query
 from provenance_spark.session import cut_lineage
@@ -280,6 +281,36 @@ def q_encode_ids(spark, sf_dir):
     return e.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), F.size("input_ids").alias("n_tokens"))
 
 
+#: Word pieces of the stand-in vocabulary: up to this many characters, found this often at least.
+PIECE_CHARS, PIECE_COUNT = 4, 20
+
+
+@query("subword_ids", "F7 S14 D2", f"""
+WITH RECURSIVE toks AS (SELECT doc_id, {o.encoder_tokens_sql('text')} AS tokens FROM documents),
+occ AS (SELECT doc_id, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS pos FROM toks),
+counts AS (SELECT word, count(*) AS n FROM occ GROUP BY word),
+spans AS (SELECT word, n, place, k, substr(word, CAST(place + 1 AS INT), CAST(k AS INT)) AS piece, place > 0 AS continues
+          FROM (SELECT word, n, unnest(range(0, length(word))) AS place FROM counts), range(1, {PIECE_CHARS} + 1) t(k) WHERE place + k <= length(word)),
+vocab AS (SELECT piece, continues, CAST(row_number() OVER (ORDER BY continues, piece) - 1 + {fv.FIRST_WORD_ID} AS INT) AS id
+          FROM (SELECT piece, continues FROM spans GROUP BY ALL HAVING sum(n) >= {PIECE_COUNT})),
+step AS (SELECT word, place, max(k) AS k, arg_max(id, k) AS id FROM spans JOIN vocab USING (piece, continues) GROUP BY ALL),
+cut AS (SELECT word, CAST(0 AS BIGINT) AS place, CAST([] AS INT[]) AS ids FROM counts
+        UNION ALL SELECT cut.word, cut.place + step.k, list_append(ids, id) FROM cut JOIN step ON step.word = cut.word AND step.place = cut.place),
+full_ AS (SELECT word, ids FROM cut WHERE place = length(word)),
+ids AS (SELECT t.doc_id, coalesce(s.ids, []) AS ids FROM toks t LEFT JOIN (
+          SELECT o.doc_id, flatten(list(coalesce(f.ids, [{fv.UNK_ID}]) ORDER BY o.pos)) AS ids
+          FROM occ o LEFT JOIN full_ f ON o.word = f.word GROUP BY o.doc_id) s ON t.doc_id = s.doc_id)
+SELECT doc_id, array_to_string(list_concat([{fv.CLS_ID}], ids, [{fv.SEP_ID}]), ' ') AS input_ids, CAST(len(ids) + 2 AS BIGINT) AS n_mask
+FROM ids""")
+def q_subword_ids(spark, sf_dir):
+    """Whole texts as word pieces with their attention mask, here of a vocabulary made by rule."""
+    d = cut_lineage(encoder_words(spark, sf_dir))
+    counts = d.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    e = sub.encode_subwords(d, sub.frequent_pieces(counts, PIECE_CHARS, PIECE_COUNT), "doc_id", "tokens")
+    mask = F.size(F.filter("attention_mask", lambda x: x == 1)).cast("long")
+    return e.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), mask.alias("n_mask"))
+
+
 @query("hidden_state", "F8 D2")
 def q_hidden_state(spark, sf_dir):
     """Each document's mean word vector over all its tokens."""

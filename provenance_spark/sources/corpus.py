@@ -115,12 +115,9 @@ def _labelled_csv(spark: SparkSession, cfg: CsvCorpusConfig, shuffle: int | None
     if shuffle is None:
         return out
     taken = {s: n if halves[s] is None else min(n, halves[s]) for s, n in scan.totals.items()}
-    parts = []
-    for split in SPLITS:
-        human, machine = taken[f"{split} 0"], taken[f"{split} 1"]
-        at = F.col("pos") + F.when(F.col("AI") == 1, human).otherwise(0)
-        parts.append(with_place(out.where(F.col("split") == split), at, permutation(human + machine, shuffle)))
-    return parts[0].union(parts[1]).union(parts[2])
+    human = F.create_map(*[x for s in SPLITS for x in (F.lit(s), F.lit(taken[f"{s} 0"]).cast("long"))])[F.col("split")]
+    at = F.col("pos") + F.when(F.col("AI") == 1, human).otherwise(0)
+    return with_place(out, at, {s: permutation(taken[f"{s} 0"] + taken[f"{s} 1"], shuffle) for s in SPLITS}, by=F.col("split"))
 
 
 def with_version(df: DataFrame, machine_version: str = "gpt2") -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,15 +83,21 @@ def _row_text(lines: Sequence[bytes]) -> bytes:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[bytes]]]:
-    """(key columns, lines) of each chunk; a chunk's lines are neighbours and in the file's order."""
-    from itertools import groupby
+    """(key columns, lines) of each chunk; a chunk's lines are neighbours and in the file's order. ``file`` and ``block`` are the keys 1 and 2."""
+    from itertools import chain, groupby
 
-    def rows() -> Iterator[tuple]:
+    def runs() -> Iterator[tuple[tuple, list[bytes]]]:
         for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+            if not b.num_rows:
+                continue
+            block, file = b.column(2).to_numpy(), b.column(1).dictionary_encode().indices.to_numpy()
+            starts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(file) != 0)) + 1), b.num_rows]
+            values = b.column(keys).to_pylist()
+            for i, j in zip(starts, starts[1:], strict=False):
+                yield tuple(b.column(k)[int(i)].as_py() for k in range(keys)), values[i:j]
 
-    for key, group in groupby(rows(), key=lambda r: r[:keys]):
-        yield key, (r[keys] for r in group)
+    for key, group in groupby(runs(), key=lambda r: r[0]):
+        yield key, chain.from_iterable(r[1] for r in group)
 
 
 def _lines(spark: SparkSession, sources: Mapping[str, str]) -> DataFrame:
@@ -240,6 +247,9 @@ def _parsed(scan: CsvScan, columns: Sequence[str], first_rows: int | Mapping[str
     schema = "source string, file string, pos long, f array<string>"
     whole = found.select(*names, "value").mapInArrow(parse, schema)
 
+    if scan.plan.where("inside OR begins").isEmpty():  # no row crosses a chunk's end
+        return whole.where(cap.isNull() | (F.col("pos") < cap)).select("source", "file", "pos", *kept)
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for (source, file, block, home, head, begins, last, pos), values in _chunks(batches, 8):
