@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
 from provenance_spark.functions.text import encoder_pre_tokens, normalize_newlines
-from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
+from provenance_spark.operators import word_vectors as wv
 from provenance_spark.operators.heads import RidgeModel, check_head
 from provenance_spark.session import cut_lineage
 
@@ -38,13 +38,13 @@ def sigmoid(x: Column, k: float = 1.0) -> Column:
 def fit_encoder(train: DataFrame, text_col: str = "text", dim: int = DIM):
     """Word vectors trained on the texts of the train split."""
     toks = train.select(encoder_pre_tokens(normalize_newlines(F.col(text_col))).alias("_tokens"))
-    return enc.fit_word_vectors(cut_lineage(toks), "_tokens", dim)
+    return wv.fit_word_vectors(cut_lineage(toks), "_tokens", dim)
 
 
 def hidden_features(df: DataFrame, encoder, text_col: str = "text") -> DataFrame:
     """F8 over a whole table and whole texts: ``hidden_state`` array<double> per row (no shuffle)."""
     toks = df.withColumn("_tokens", encoder_pre_tokens(normalize_newlines(F.col(text_col))))
-    return enc.mean_vectors(toks, encoder, "_tokens").drop("_tokens")
+    return wv.mean_vectors(toks, encoder, "_tokens").drop("_tokens")
 
 
 def tfidf_arrays(df: DataFrame, id_col: str = "id", text_col: str = "text", keep=("split", "AI"),

@@ -1,53 +1,34 @@
-"""Encoding text for a frozen encoder (F7-F11) and extracting one vector per text.
+"""Encoding text for a frozen encoder.
 
-* :func:`encode` - pre-tokenise (JVM regex), then greedy longest-match word pieces against a
-  user-supplied vocabulary in an Arrow-batched pandas UDF with a per-worker word cache; adds
+* :func:`encode` - greedy longest-match word pieces against a small user-supplied vocabulary where the tokens are, in Arrow batches; adds
   start/end ids. Whole texts, unless a plugged-in encoder sets a maximum. Row-local: no shuffle.
-* :func:`encode_words` - the same for a whole-word vocabulary table of any size, as a join.
-* :func:`mean_vectors` - the default encoder: mean Word2Vec vector over all tokens, trained on Spark.
-* :func:`hidden_states` - ``predict_batch_udf`` with a pluggable ``make_predict_fn`` that is loaded
-  once per Python worker; :func:`onnx_encoder` plugs in any exported encoder (first-token vector of
-  the last hidden layer).
+* :func:`encode_words` - the same for a whole-word vocabulary table of any size, as a join. Word pieces over distinct
+  words are in :mod:`provenance_spark.operators.subword`, vectors of texts (F8) in :mod:`provenance_spark.operators.word_vectors`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
-import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenance_spark.functions import fixed_values as fv
-from provenance_spark.session import cut_lineage, shuffle_partitions
-
-def wordpiece(word: str, vocab: Mapping[str, int], unk_id: int = fv.UNK_ID,
-              prefix: str = fv.CONTINUATION_PREFIX) -> list[int]:
-    """Greedy longest-match-first word pieces; a word with any unmatched remainder is one UNK."""
-    out, start = [], 0
-    while start < len(word):
-        end, piece = len(word), None
-        while start < end:
-            cand = word[start:end] if start == 0 else prefix + word[start:end]
-            if cand in vocab:
-                piece = vocab[cand]
-                break
-            end -= 1
-        if piece is None:
-            return [unk_id]
-        out.append(piece)
-        start = end
-    return out
+from provenance_spark.operators.subword import Segmenter
+from provenance_spark.session import cut_lineage
+
+#: Words whose pieces a worker remembers.
+CACHED_WORDS = 200_000
 
 
 def make_encoder_udf(vocab: Mapping[str, int], max_len: int | None):
     """Pandas UDF: array<string> pre-tokens -> array<int> ids, of fixed length ``max_len`` if it is given."""
-    vocab = dict(vocab)
+    n = len(fv.CONTINUATION_PREFIX)
+    pieces = [(p[n:], True, i) if p.startswith(fv.CONTINUATION_PREFIX) else (p, False, i) for p, i in vocab.items()]
     cache: dict[str, list[int]] = {}  # a copy in each worker
+    made: list[Segmenter] = []
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode_batch(tokens: pd.Series) -> pd.Series:
@@ -55,11 +36,14 @@ def make_encoder_udf(vocab: Mapping[str, int], max_len: int | None):
         for toks in tokens:
             ids = [fv.CLS_ID]
             for t in toks if toks is not None else ():
-                pieces = cache.get(t)
-                if pieces is None:
-                    pieces = wordpiece(t, vocab)
-                    cache[t] = pieces
-                ids.extend(pieces)
+                found = cache.get(t)
+                if found is None:
+                    if not made:
+                        made.append(Segmenter(pieces))
+                    if len(cache) >= CACHED_WORDS:
+                        cache.clear()
+                    found = cache[t] = made[0](t)
+                ids.extend(found)
                 if max_len and len(ids) >= max_len - 1:
                     break
             ids = ids[: max_len - 1 if max_len else None] + [fv.SEP_ID]
@@ -79,10 +63,6 @@ def encode(df: DataFrame, tokens_col: str, vocab: Mapping[str, int], max_len: in
               .withColumn("attention_mask", F.transform("input_ids", lambda x: (x != fv.PAD_ID).cast("int"))))
 
 
-ROWS_PER_PARTITION = 1000
-PASSES = 4
-
-
 def word_vocabulary(tokens: DataFrame, tokens_col: str, min_count: int = 1) -> DataFrame:
     """A whole-word vocabulary from data: (word, id) by falling count, ties by word."""
     from provenance_spark.operators.positions import with_positions
@@ -97,50 +77,3 @@ def encode_words(df: DataFrame, vocab: DataFrame, id_col: str, tokens_col: str)
     from provenance_spark.operators.features import text_to_sequence
     seq = text_to_sequence(df, vocab, id_col, tokens_col, oov_id=fv.UNK_ID)
     return seq.select(id_col, F.concat(F.array(F.lit(fv.CLS_ID)), "seq", F.array(F.lit(fv.SEP_ID))).alias("input_ids"))
-
-
-# ---------------------------------------------------------------- F8 / F9
-
-
-def fit_word_vectors(df: DataFrame, tokens_col: str, dim: int = 64, min_count: int = 1, seed: int = 1) -> Word2VecModel:
-    """F8's in-house encoder: Word2Vec trained on the given texts.
-
-    Partitions train apart and are averaged after each pass, so there is one for every
-    ``ROWS_PER_PARTITION`` texts: few texts need the passes more than they need the parallelism.
-    """
-    rows = df.where(F.size(tokens_col) > 0)
-    parts = max(1, min(shuffle_partitions(df.sparkSession), rows.count() // ROWS_PER_PARTITION))
-    return Word2Vec(vectorSize=dim, minCount=min_count, numPartitions=parts, seed=seed, maxIter=PASSES, windowSize=5,
-                    inputCol=tokens_col, outputCol="_mean").fit(rows)
-
-
-def mean_vectors(df: DataFrame, model: Word2VecModel, tokens_col: str, output_col: str = "hidden_state") -> DataFrame:
-    """F8: the mean of the word vectors of all a text's tokens (unknown words count as zero); JVM-side, no shuffle."""
-    out = model.setInputCol(tokens_col).setOutputCol("_mean").transform(df)
-    return out.withColumn(output_col, vector_to_array("_mean")).drop("_mean")
-
-
-def onnx_encoder(model_path: str) -> Callable:
-    """``make_predict_fn`` for an exported encoder: first-token vector of the last hidden layer."""
-    def make_predict_fn():
-        import onnxruntime as ort
-        session = ort.InferenceSession(model_path, providers=["CPUExecutionProvider"])
-        names = [i.name for i in session.get_inputs()]
-
-        def predict(input_ids: np.ndarray, attention_mask: np.ndarray) -> np.ndarray:
-            feeds = {"input_ids": input_ids.astype(np.int64), "attention_mask": attention_mask.astype(np.int64)}
-            out = session.run(None, {k: v for k, v in feeds.items() if k in names})[0]
-            return out[:, 0, :].astype(np.float32)
-        return predict
-    return make_predict_fn
-
-
-def hidden_states(df: DataFrame, make_predict_fn: Callable, max_len: int, batch_size: int = 50,
-                  with_mask: bool = False, output_col: str = "hidden_state") -> DataFrame:
-    """F8: one vector per row from a frozen encoder, ``batch_size`` rows per call."""
-    from pyspark.ml.functions import predict_batch_udf
-    shapes = [[max_len], [max_len]] if with_mask else [[max_len]]
-    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
-                            batch_size=batch_size, input_tensor_shapes=shapes)
-    cols: list[Column] = [F.col("input_ids")] + ([F.col("attention_mask")] if with_mask else [])
-    return df.withColumn(output_col, udf(*cols))

@@ -14,10 +14,11 @@ from provenance_spark.operators import detector as det
 from provenance_spark.operators import features as ft
 from provenance_spark.operators import heads, metrics, sgd
 from provenance_spark.operators.splits import prepare_datasets
+from provenance_spark.operators.word_vectors import WordVectors
 from provenance_spark.plans.corpus_queries import load_corpus
 from provenance_spark.plans.registry import query
 from provenance_spark.session import cut_lineage, ensure_checkpoint_dir
-from provenance_spark.sources.materialize import cache_key, is_complete
+from provenance_spark.sources.materialize import cache_key, is_complete, materialize
 from provenance_spark.sources.registry import ModelRegistry
 from provenance_spark.sources.tables import read_table
 
@@ -29,16 +30,47 @@ W_FIXED = det.fixed_weights(DIM)
 B_FIXED = 0.05
 
 
+def stages(spark) -> str:
+    """The folder of stages that are made once for the same rows and read by all heads."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages"
+
+
+def corpus_key(corpus) -> tuple[int, str]:
+    """Number and digest of a corpus' rows: the key of what is made from it."""
+    at = corpus.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "split", "version", "text").cast("decimal(38,0)")).alias("h")).first()
+    return at["n"], cache_key(at["h"], at["n"])
+
+
 def prepared(spark, sf_dir):
-    """The flagship prepared set, checkpointed because every head reads it several times."""
-    return cut_lineage(prepare_datasets(load_corpus(spark, sf_dir)))
+    """The flagship prepared set, written once for its corpus."""
+    corpus = load_corpus(spark, sf_dir)
+    return materialize(spark, stages(spark), cache_key("prepared", corpus_key(corpus)[1]), lambda: prepare_datasets(corpus))
 
 
 def hidden_prepared(spark, sf_dir):
+    """The prepared set with its vectors, and the word vectors trained on its train split, both made once."""
+    key = corpus_key(load_corpus(spark, sf_dir))[1]
     p = prepared(spark, sf_dir)
-    encoder = det.fit_encoder(p.where(F.col("split") == "train"))
-    h = det.hidden_features(p.select("id", "split", "version", "AI", "text"), encoder).drop("text")
-    return cut_lineage(heads.as_vectors(h, "hidden_state")), encoder
+    path = f"{stages(spark)}/{cache_key('vectors', key)}"
+    if not is_complete(spark, path):
+        det.fit_encoder(p.where(F.col("split") == "train")).save(spark, path)
+    encoder = WordVectors.load(spark, path)
+
+    def build():
+        return heads.as_vectors(det.hidden_features(p.select("id", "split", "version", "AI", "text"), encoder).drop("text"), "hidden_state")
+
+    return materialize(spark, stages(spark), cache_key("hidden", key), build), encoder
+
+
+def tfidf_prepared(spark, sf_dir):
+    """The prepared set as sparse TF-IDF rows (``y`` the class) and their width, made once."""
+    key = corpus_key(load_corpus(spark, sf_dir))[1]
+    path = f"{stages(spark)}/{cache_key('tfidf', key)}"
+    if not is_complete(spark, f"{path}/width"):
+        rows, dim = det.tfidf_arrays(prepared(spark, sf_dir).select("id", "split", "AI", "text"))
+        rows.withColumnRenamed("AI", "y").write.mode("overwrite").parquet(f"{path}/rows")
+        spark.range(1).select(F.lit(dim).alias("dim")).write.mode("overwrite").parquet(f"{path}/width")
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/width").first()["dim"]
 
 
 def _splits(df):
@@ -133,9 +165,7 @@ def q_sequence_logistic(spark, sf_dir):
 
 @query("sgd_sweep", "M6 X1 A10 D3")
 def q_sgd_sweep(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    rows, dim = det.tfidf_arrays(p.select("id", "split", "AI", "text"))
-    rows = cut_lineage(rows.withColumnRenamed("AI", "y"))
+    rows, dim = tfidf_prepared(spark, sf_dir)
     train = rows.where(F.col("split") == "train").orderBy(F.md5(F.concat(F.lit("1:"), F.col("id").cast("string"))))
     W, b, _ = sgd.mixed_sgd(train, dim)
     ev = sgd.evaluate(rows, W, b)
@@ -237,17 +267,13 @@ def trained_detector(spark, sf_dir, head: str = "lr", root: str | None = None) -
     A new model is stored only when its test score beats the best so far (S12). ``root`` is the
     registry's folder, by default below the shared checkpoint folder.
     """
-    from pyspark.ml.feature import Word2VecModel
     det.check_head(head)
     root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry"
     registry = ModelRegistry(spark, root)
-    corpus = load_corpus(spark, sf_dir)
-    at = corpus.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "text").cast("decimal(38,0)")).alias("h")).first()
-    ckpt = cache_key("w2v", at["h"])  # which rows the model was trained on
-    encoder_path = f"{root}/encoders/{cache_key(ckpt, at['n'])}"
-    if registry.has_model(head, ckpt, at["n"]) and is_complete(spark, f"{encoder_path}/metadata"):
-        return det.DetectorModel(Word2VecModel.load(encoder_path), head, registry.load(head, ckpt, at["n"]))
+    n, ckpt = corpus_key(load_corpus(spark, sf_dir))  # which rows the model was trained on
     h, encoder = hidden_prepared(spark, sf_dir)
+    if registry.has_model(head, ckpt, n):
+        return det.DetectorModel(encoder, head, registry.load(head, ckpt, n))
     tr, va, te = _splits(h)
     if head == "ridge":
         found = heads.ridge_head(h, "hidden_state")
@@ -255,9 +281,8 @@ def trained_detector(spark, sf_dir, head: str = "lr", root: str | None = None) -
         found = heads.dense_head(tr, va, te)
     else:
         found = heads.logistic_head(tr, va, te)
-    encoder.write().overwrite().save(encoder_path)
     score = next(p.test_accuracy for p in found.points if p.chosen)
-    registry.record(head, ckpt, at["n"], score, found.model)
+    registry.record(head, ckpt, n, score, found.model)
     return det.DetectorModel(encoder, head, found.model)
 
 

@@ -11,6 +11,7 @@ from provenance_spark.operators import detector as det
 from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
 from provenance_spark.operators import subword as sub
+from provenance_spark.operators import word_vectors as wv
 from provenance_spark.plans import oracle as o
 from provenance_spark.plans.registry import query
 from provenance_spark.session import cut_lineage
@@ -315,5 +316,5 @@ def q_subword_ids(spark, sf_dir):
 def q_hidden_state(spark, sf_dir):
     """Each document's mean word vector over all its tokens."""
     d = cut_lineage(encoder_words(spark, sf_dir))
-    model = enc.fit_word_vectors(d, "tokens")
-    return enc.mean_vectors(d, model, "tokens").select("doc_id", "hidden_state")
+    model = wv.fit_word_vectors(d, "tokens")
+    return wv.mean_vectors(d, model, "tokens").select("doc_id", "hidden_state")

@@ -103,12 +103,54 @@ def test_word_pieces_of_whole_texts(spark):
 def test_hidden_state_is_the_mean_over_all_tokens(spark):
     import numpy as np
 
-    from provenance_spark.operators import encode as enc
+    from provenance_spark.operators import word_vectors as wv
     words = ["alpha", "beta", "gamma", "delta"] * 40
-    d = spark.createDataFrame([(1, words), (2, words[:70] + ["delta"] * 200), (3, words[:70] + ["beta"] * 200)], "id long, tokens array<string>")
-    model = enc.fit_word_vectors(d, "tokens", dim=8)
-    vec = {r["word"]: r["vector"].toArray() for r in model.getVectors().collect()}
-    got = {r["id"]: np.array(r["hidden_state"]) for r in enc.mean_vectors(d, model, "tokens").collect()}
-    for r in d.collect():
-        assert np.allclose(got[r["id"]], np.mean([vec[w] for w in r["tokens"]], axis=0), atol=1e-6)
-    assert not np.allclose(got[2], got[3])  # tokens past position 64 count
+    rows = [(1, words), (2, words[:70] + ["delta"] * 200), (3, words[:70] + ["beta"] * 200), (4, []), (5, None)]
+    d = spark.createDataFrame(rows, "id long, tokens array<string>")
+    model = wv.fit_word_vectors(d, "tokens", dim=8)
+    ids = {r["t"]: r["b"][0] for r in spark.createDataFrame([(w,) for w in words[:4]], "t string").withColumn(
+        "b", wv.bucket_ids(F.array("t"), wv.BUCKETS)).collect()}
+    got = {r["id"]: np.array(r["hidden_state"]) for r in wv.mean_vectors(d, model, "tokens").collect()}
+    for i, tokens in rows[:3]:
+        assert np.allclose(got[i], np.mean([model.table[ids[w]] for w in tokens], axis=0), atol=1e-9)
+    assert not np.allclose(got[2], got[3]) and not got[4].any() and not got[5].any()  # tokens past position 64 count
+
+
+def test_word_vectors_equal_the_exact_factorisation(spark):
+    import numpy as np
+
+    from provenance_spark.operators import word_vectors as wv
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [[words[(s + int(k)) % 60] for k in rng.integers(0, 6, 30)] for s in rng.integers(0, 60, 80)]
+    d = spark.createDataFrame([(t,) for t in texts] + [([],), (None,), (["w1"],)], "tokens array<string>")
+    buckets, contexts, dim = 256, 32, 8
+    ids = [r["b"] for r in d.select(wv.bucket_ids(F.col("tokens"), buckets).alias("b")).collect() if r["b"]]
+    counts = np.zeros((buckets, contexts))
+    for t in ids:
+        for i, a in enumerate(t):
+            for b in t[max(0, i - wv.WINDOW):i] + t[i + 1:i + 1 + wv.WINDOW]:
+                counts[a, b % contexts] += 1
+    column = counts.sum(0) ** wv.SMOOTH
+    column = np.where(column > 0, column / column.sum(), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.where(counts > 0, np.maximum(np.log(counts / counts.sum(1, keepdims=True) / column / wv.SHIFT), 0), 0)
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    k = dim - dim // wv.OWN
+    one = wv.fit_word_vectors(d.coalesce(1), "tokens", dim=dim, buckets=buckets, contexts=contexts).table
+    many = wv.fit_word_vectors(d.repartition(7), "tokens", dim=dim, buckets=buckets, contexts=contexts).table
+    assert np.allclose(one, many, atol=1e-8)
+    exact = (u[:, :k] * s[:k]) @ u[:, :k].T
+    assert np.abs(one[:, :k] @ one[:, :k].T - exact).max() < 0.02 * np.abs(exact).max()
+
+
+def test_word_vectors_of_an_empty_table(spark):
+    from provenance_spark.operators import word_vectors as wv
+    from provenance_spark.session import workspace_path
+    d = spark.createDataFrame([], "id long, tokens array<string>")
+    model = wv.fit_word_vectors(d, "tokens", dim=8, buckets=512)
+    assert wv.mean_vectors(d, model, "tokens").count() == 0 and not model.table[:, :6].any()
+    path = workspace_path(spark, "vectors")
+    model.save(spark, path)
+    assert (wv.WordVectors.load(spark, path).table == model.table).all()
+
