@@ -14,9 +14,9 @@ one task; a group may hold a third of all rows. Instead:
    the in-partition index.
 
 Slices by position then become key filters: the keys at the slice boundaries (one row per group)
-are looked up in the narrow positioned table, joined back by group (broadcast after a size check)
-and compared, so wide rows (texts) are never shuffled for positioning and the plan does not grow
-with the number of groups.
+are joined back by group (broadcast after a size check) and compared, so wide rows (texts) are never
+shuffled for positioning and the plan does not grow with the number of groups. A single numeric key needs
+no positions for that: its boundaries are exact order statistics, found by counting.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from provenance_spark.operators.selection import NUMERIC, select_ranks
 from provenance_spark.session import checked_broadcast, cut_lineage, ensure_checkpoint_dir, shuffle_partitions
 
 #: Names of the positioning columns of narrow key tables.
@@ -77,7 +77,8 @@ def with_positions(df: DataFrame, order_by: Sequence[str], group_by: Sequence[st
     return joined.select(*out)
 
 
-CutFn = Callable[[int, tuple], Sequence[int]]
+#: From a group's number of rows (a column) to its cut positions, as many for every group.
+CutFn = Callable[[Column], Sequence[Column | int]]
 
 
 def boundary_key(df: DataFrame, order_by: Sequence[str], cut: int, descending: Sequence[str] = ()) -> tuple | None:
@@ -106,48 +107,52 @@ def label_slices(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str]
                  label: str, descending: Sequence[str] = ()) -> DataFrame:
     """``df`` with the index of each row's positional slice: slice ``i`` is ``[cut[i-1], cut[i])``.
 
-    ``cut_fn(n, group)`` gives the cut positions of a group of ``n`` rows, as many for every group.
-    The driver sees one row per group (its size); the keys at the cuts never leave Spark.
+    ``cut_fn(n)`` gives the cut positions of a group of ``n`` rows, as many for every group; sizes, cuts and the keys found there stay in
+    Spark. A single numeric key is looked up by exact selection (:func:`select_ranks`), other keys in the sorted positions.
     """
-    keys = [*group_by, *order_by]
-    narrow = cut_lineage(with_positions(df.select(*keys), order_by, group_by, pos_col=POS, size_col=SIZE, descending=descending))
-    sizes = narrow.groupBy(*group_by).agg(F.max(SIZE).alias(SIZE)).collect()
-    wanted = [(*(r[g] for g in group_by), i, max(int(c), 0)) for r in sizes if r[SIZE]
-              for i, c in enumerate(cut_fn(r[SIZE], tuple(r[g] for g in group_by)))]
-    if not wanted:
-        return df.withColumn(label, F.lit(0))
-    n_cuts = 1 + max(w[-2] for w in wanted)
-    fields = [df.schema[g] for g in group_by]
-    schema = T.StructType([*[T.StructField(f"_g_{f.name}", f.dataType) for f in fields],
-                           T.StructField("_cut", T.IntegerType()), T.StructField("_at", T.LongType())])
-    cuts = checked_broadcast(df.sparkSession.createDataFrame(wanted, schema))
-    same = [narrow[g].eqNullSafe(cuts[f"_g_{g}"]) for g in group_by]
-    at = cuts.join(narrow, [*same, narrow[POS] == cuts["_at"]], "left") if same else cuts.join(narrow, narrow[POS] == cuts["_at"], "left")
-    found = at.groupBy(*[f"_g_{g}" for g in group_by]).agg(*[
-        F.max(F.when(F.col("_cut") == i, F.struct(*order_by))).alias(f"_k{i}") for i in range(n_cuts)])
-    found = found.select(*[f"_g_{g}" for g in group_by], *[F.col(f"_k{i}")[k].alias(f"_k{i}_{k}") for i in range(n_cuts) for k in order_by])
-    found = checked_broadcast(found)
-    if group_by:
-        cond = None
-        for g in group_by:
-            one = df[g].eqNullSafe(found[f"_g_{g}"])
-            cond = one if cond is None else cond & one
-        joined = df.join(found, cond)
+    n_cuts = len(cut_fn(F.col(SIZE)))
+    sizes = df.groupBy(*group_by).agg(F.count("*").alias(SIZE), F.count(order_by[0]).alias("_keyed"))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.greatest(F.lit(0), (F.lit(c) if isinstance(c, int) else c)).cast("long").alias("rank"))
+                             for i, c in enumerate(cut_fn(F.col(SIZE)))]))
+    targets = cut_lineage(sizes.select(*group_by, SIZE, "_keyed", at.alias("_w")).select(*group_by, SIZE, "_keyed", "_w.t", "_w.rank"))
+    selected = len(order_by) == 1 and not descending and dict(df.dtypes)[order_by[0]] in NUMERIC
+    if selected:
+        nulls = F.col(SIZE) - F.col("_keyed")  # null keys come first
+        found = select_ranks(df, order_by[0], group_by, targets.withColumn("rank", F.col("rank") - nulls)).withColumn("_key", F.struct(order_by[0]))
     else:
-        joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(found.withColumn("_one", F.lit(1))), "_one")
+        keys = [*group_by, *order_by]
+        narrow = with_positions(df.select(*keys), order_by, group_by, pos_col=POS, descending=descending)
+        wanted = checked_broadcast(targets.select(*[F.col(g).alias(f"_g_{g}") for g in group_by], "t", "rank"))
+        same = narrow[POS] == wanted["rank"]
+        for g in group_by:
+            same = same & narrow[g].eqNullSafe(wanted[f"_g_{g}"])
+        found = narrow.join(wanted, same).withColumn("_key", F.struct(*order_by))
+    marks = [F.col(g).alias(f"_g_{g}") for g in group_by]
+    cuts = found.groupBy(*marks).agg(*[F.max(F.when(F.col("t") == i, F.col("_key"))).alias(f"_k{i}") for i in range(n_cuts)])
+    ends = targets.groupBy(*marks).agg(*[F.max(F.when(F.col("t") == i, F.when(F.col("rank") >= F.col(SIZE), 1).when(
+        F.col("rank") < F.col(SIZE) - F.col("_keyed"), -1).otherwise(0))).alias(f"_e{i}") for i in range(n_cuts)])
+    cond = F.lit(True)
+    for g in group_by:
+        cond = cond & ends[f"_g_{g}"].eqNullSafe(cuts[f"_g_{g}"])
+    held = ends.join(cuts, cond, "left").select(*[ends[f"_g_{g}"] for g in group_by], *[c for i in range(n_cuts) for c in (f"_e{i}", f"_k{i}")])
+    held = checked_broadcast(held)
+    match = F.lit(True)
+    for g in group_by:
+        match = match & df[g].eqNullSafe(held[f"_g_{g}"])
+    joined = df.join(held, match)
     out = None
     for i in range(n_cuts):
-        key = [F.col(f"_k{i}_{k}") for k in order_by]
-        cond = key[-1].isNull() | _before(order_by, key, descending)  # no key: the cut is past the group's end
-        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
-    return joined.select(*[df[c] for c in df.columns] if group_by else df.columns, out.otherwise(F.lit(n_cuts)).alias(label))
+        before = _before(order_by, [F.col(f"_k{i}")[k] for k in order_by], descending)
+        if selected:  # a cut among the null keys: they can't be told apart, and stay together after it
+            before = F.when(F.col(f"_e{i}") == -1, F.lit(False)).otherwise(df[order_by[0]].isNull() | before)
+        inside = (F.col(f"_e{i}") == 1) | F.coalesce(before, F.lit(False))
+        out = F.when(inside, F.lit(i)) if out is None else out.when(inside, F.lit(i))
+    return joined.select(*[df[c] for c in df.columns], out.otherwise(F.lit(n_cuts)).alias(label))
 
 
-def first_n_by_key(df: DataFrame, order_by: Sequence[str], n: int | Callable[[tuple], int],
-                   group_by: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows of each group in key order, exactly (``n`` may depend on the group)."""
-    cuts = (lambda size, g: [n]) if isinstance(n, int) else (lambda size, g: [n(g)])
-    return label_slices(df, order_by, group_by, cuts, "_slice").where(F.col("_slice") == 0).drop("_slice")
+def first_n_by_key(df: DataFrame, order_by: Sequence[str], n: int | Column, group_by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows of each group in key order, exactly (``n`` may be an expression over the group's columns)."""
+    return label_slices(df, order_by, group_by, lambda size: [n], "_slice").where(F.col("_slice") == 0).drop("_slice")
 
 
 def row_at(df: DataFrame, order_by: Sequence[str], k: int) -> DataFrame:

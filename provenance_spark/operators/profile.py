@@ -1,7 +1,7 @@
 """Profiling (A1-A8): value counts, class balance, column profile, quartiles, bands, histogram, box plot.
 
-All are partial/final hash aggregates. Quartiles use Spark's exact ``percentile``, whose buffer is a
-map value -> count, so memory follows the number of distinct lengths, not the number of rows.
+All are partial/final hash aggregates. Quartiles are exact order statistics (:mod:`provenance_spark.operators.selection`), or come from a
+sketch where that is asked for.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenance_spark.operators.selection import percentiles
 from provenance_spark.session import checked_broadcast
 
 
@@ -37,12 +38,18 @@ def column_profile(df: DataFrame) -> DataFrame:
                           F.col("_rows").alias("n_rows"))
 
 
-def quartiles(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """A3: exact 25/50/75 percentiles with linear interpolation (numpy's default)."""
-    p = F.percentile(F.col(value), F.lit([0.25, 0.5, 0.75]))
-    return (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), p.alias("_q"))
-            .select(*by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3")))
+def quartiles(df: DataFrame, value: str, by: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """A3: exact 25/50/75 percentiles with linear interpolation (numpy's default).
+
+    With ``accuracy`` they come from a mergeable sketch instead, in one pass: values whose rank is off by at most
+    1 / accuracy of the group's rows, without interpolation.
+    """
+    if accuracy is not None:
+        q = F.percentile_approx(F.col(value), [0.25, 0.5, 0.75], accuracy)
+        return (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
+                .select(*by, "n", *[F.col("_q")[i].cast("double").alias(c) for i, c in enumerate(("q1", "median", "q3"))]))
+    q = percentiles(df, value, by, (0.25, 0.5, 0.75))
+    return q.select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
 
 
 def length_band(value: Column, q1: Column, q3: Column) -> Column:

@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenance_spark.operators.positions import label_slices
+from provenance_spark.operators.positions import CutFn, label_slices
 from provenance_spark.operators.sampling import balanced_quotas, seeded_hash, stratified_sample
 
 SLICE_NAMES = ("train", "valid", "test")
 
 
-def fraction_cuts(train_tenths: int = 8, valid_tenths: int = 1) -> Callable[[int], list[int]]:
-    """Cut positions for the first ``train_tenths``/10 rows and the next ``valid_tenths``/10."""
-    def cuts(n: int, group: tuple = ()) -> list[int]:
-        a = -(-train_tenths * n // 10)
-        b = -(-(train_tenths + valid_tenths) * n // 10)
-        return [a, b]
-    return cuts
+def fraction_cuts(train_tenths: int = 8, valid_tenths: int = 1) -> CutFn:
+    """Cut positions for the first ``train_tenths``/10 rows and the next ``valid_tenths``/10, rounded up."""
+    def tenths(n, k: int):
+        return -(-k * n // 10) if isinstance(n, int) else F.call_function("div", n * k + 9, F.lit(10).cast("long"))
+    return lambda n: [tenths(n, train_tenths), tenths(n, train_tenths + valid_tenths)]
 
 
-def head_cuts(train_rows: int, valid_rows: int) -> Callable[[int], list[int]]:
+def head_cuts(train_rows: int, valid_rows: int) -> CutFn:
     """``iloc[:a]``, ``iloc[a:a+b]``, rest - slices counted from the start."""
-    return lambda n, group=(): [train_rows, train_rows + valid_rows]
+    return lambda n: [train_rows, train_rows + valid_rows]
 
 
-def tail_cuts(valid_rows: int, test_rows: int) -> Callable[[int], list[int]]:
+def tail_cuts(valid_rows: int, test_rows: int) -> CutFn:
     """``iloc[:-(v+t)]``, ``iloc[-(v+t):-t]``, ``iloc[-t:]`` - slices counted from the end."""
-    return lambda n, group=(): [n - valid_rows - test_rows, n - test_rows]
+    return lambda n: [n - valid_rows - test_rows, n - test_rows]
 
 
 def positional_split(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str],
-                     cuts: Callable[[int, tuple], list[int]], names: Sequence[str] = SLICE_NAMES,
+                     cuts: CutFn, names: Sequence[str] = SLICE_NAMES,
                      split_col: str = "split") -> DataFrame:
     """W1 + U2: label every row of each corpus with the positional slice it falls in.
 
@@ -44,7 +42,7 @@ def positional_split(df: DataFrame, order_by: Sequence[str], group_by: Sequence[
     return label_slices(df, order_by, group_by, cuts, "_slice").withColumn(split_col, name).drop("_slice")
 
 
-def shuffle_before_split(df: DataFrame, id_col: str, cuts: Callable[[int, tuple], list[int]], seed: int = 1,
+def shuffle_before_split(df: DataFrame, id_col: str, cuts: CutFn, seed: int = 1,
                          names: Sequence[str] = SLICE_NAMES, split_col: str = "split") -> DataFrame:
     """Positional slices of one corpus in seeded random order (ties by id) instead of its own."""
     keyed = df.withColumn("_h", seeded_hash(F.col(id_col), seed))

@@ -41,10 +41,8 @@ SELECT id, split, AI, version, text_length FROM r
 WHERE pos < CASE WHEN split = 'train' THEN {CAP_TRAIN // 2} ELSE {CAP_EVAL // 2} END""")
 def q_corpus_cap(spark, sf_dir):
     corpus = load_corpus(spark, sf_dir).select("id", "split", "AI", "version", "text_length")
-    per_class = {"train": CAP_TRAIN // 2}
-    capped = first_n_by_key(corpus, ["id"], lambda g: per_class.get(g[0], CAP_EVAL // 2),
-                            group_by=["split", "AI"])
-    return capped
+    cap = F.when(F.col("split") == "train", CAP_TRAIN // 2).otherwise(CAP_EVAL // 2)
+    return first_n_by_key(corpus, ["id"], cap, group_by=["split", "AI"])
 
 
 CSV_CAP_TRAIN, CSV_CAP_EVAL = 100, 20
