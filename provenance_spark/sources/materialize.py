@@ -35,6 +35,14 @@ def list_folders(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in store.listStatus(p) if x.isDirectory()] if store.exists(p) else []
 
 
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files below ``path`` that aren't hidden (none if it doesn't exist)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(p) if x.isFile()] if store.exists(p) else []
+    return [n for n in names if not n.startswith((".", "_"))]
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     return _fs_exists(spark, path.rstrip("/") + "/_SUCCESS")
 

@@ -75,3 +75,56 @@ def test_registry_saves_only_strict_improvements(spark):
     assert reg.best_score("lr", "ckpt/a", 100) == pytest.approx(0.8)
     assert reg.has_model("lr", "ckpt/a", 100)
     assert reg.load("lr", "ckpt/a", 100).transform(df).count() == 1
+
+
+@pytest.fixture
+def one_stage(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.createDataFrame([(1.0,)], "x double")
+    return df, lambda name: Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol=name)]).fit(df)
+
+
+def test_a_failed_save_keeps_the_best_model(spark, one_stage, monkeypatch):
+    from provenance_spark.sources import registry as reg
+    df, make = one_stage
+    r = reg.ModelRegistry(spark, workspace_path(spark, "registry"))
+    assert r.record("lr", "c", 1, 0.5, make("a"))
+    whole = reg.save_model
+
+    def fail(spark_, model, path):
+        whole(spark_, model, path)
+        raise OSError("the writer died")
+
+    monkeypatch.setattr(reg, "save_model", fail)
+    with pytest.raises(OSError, match="died"):
+        r.record("lr", "c", 1, 0.9, make("b"))
+    assert r.best_score("lr", "c", 1) == 0.5 and "a" in r.load("lr", "c", 1).transform(df).columns
+    monkeypatch.setattr(reg, "save_model", whole)
+    monkeypatch.setattr(reg, "put_if_absent", lambda *a: (_ for _ in ()).throw(OSError("died before the commit")))
+    with pytest.raises(OSError, match="before"):
+        r.record("lr", "c", 1, 0.9, make("b"))
+    assert r.best_score("lr", "c", 1) == 0.5
+    monkeypatch.undo()
+    assert r.record("lr", "c", 1, 0.6, make("c")) and "c" in r.load("lr", "c", 1).transform(df).columns
+    with pytest.raises(KeyError):
+        r.load("ridge", "c", 1)
+
+
+def test_racing_writers_leave_the_best(spark, one_stage):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from provenance_spark.sources.registry import ModelRegistry, put_if_absent
+    df, make = one_stage
+    root = workspace_path(spark, "registry")
+    scores = [0.3, 0.9, 0.5, 0.7, 0.8, 0.2]
+    models = [make(f"m{int(10 * s)}") for s in scores]
+    with ThreadPoolExecutor(len(scores)) as pool:
+        saved = list(pool.map(lambda x: ModelRegistry(spark, root).record("lr", "c", 1, *x), zip(scores, models, strict=True)))
+        once = list(pool.map(lambda i: put_if_absent(spark, f"{root}/one", str(i)), range(8)))
+    r = ModelRegistry(spark, root)
+    found = r.commits("lr", "c", 1)
+    assert saved[1] and sum(once) == 1 and len(found) == sum(saved)
+    assert [x["number"] for x in found] == list(range(len(found))) and [x["score"] for x in found] == sorted(x["score"] for x in found)
+    assert r.best_score("lr", "c", 1) == 0.9 and "m9" in r.load("lr", "c", 1).transform(df).columns
+    assert spark.read.parquet(r.scores_path).count() == len(scores)
