@@ -1,6 +1,6 @@
 """Out-of-core linear models (M6, X1, D3): one SGD pass per partition, then parameter mixing.
 
-Each partition runs plain SGD for all five margin losses at once over its rows (sparse rows given
+Each partition runs plain SGD, its weights touched in blocks of rows, for all five margin losses at once (sparse rows given
 as index/value arrays), starting from the same weights; the partition weights are averaged
 weighted by row count (parameter mixing, Zinkevich et al. 2010; McDonald et al. 2010). The average
 is a distributed sum of array chunks (only chunks with non-zero weights travel) and the driver receives
@@ -10,6 +10,7 @@ weights (ST2).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,6 +24,10 @@ from provenance_spark.operators.chunks import CHUNK, chunks, sum_chunks
 ALPHA = 1e-4  # scale of the "optimal" learning-rate schedule (there is no penalty)
 
 
+#: Rows whose weights are read and written at once. The steps are those of one row after another, whatever the block.
+BLOCK = 32
+
+
 def dloss(loss: str, p: float, y: float) -> float:
     """Derivative of the loss with respect to the prediction ``p`` for label ``y`` in {-1, 1}."""
     z = p * y
@@ -31,17 +36,9 @@ def dloss(loss: str, p: float, y: float) -> float:
     if loss == "perceptron":
         return -y if z <= 0.0 else 0.0
     if loss == "log_loss":
-        if z > 18.0:
-            return -y * np.exp(-z)
-        if z < -18.0:
-            return -y
-        return -y / (np.exp(z) + 1.0)
+        return -y / (math.exp(min(z, 500.0)) + 1.0)
     if loss == "modified_huber":
-        if z >= 1.0:
-            return 0.0
-        if z >= -1.0:
-            return -2.0 * (1.0 - z) * y
-        return -4.0 * y
+        return 0.0 if z >= 1.0 else -2.0 * (1.0 - z) * y if z >= -1.0 else -4.0 * y
     if loss == "squared_hinge":
         return -2.0 * (1.0 - z) * y if z < 1.0 else 0.0
     raise ValueError(loss)
@@ -114,39 +111,63 @@ def _initial_t(losses: Sequence[str]) -> np.ndarray:
     return 1.0 / (eta0 * ALPHA)
 
 
-def compact_row(idx, val, compact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index/value arrays of one row; with ``compact`` duplicate indices are summed and the row is
-    scaled to unit L2 norm (hashed features)."""
-    idx = np.asarray(idx, dtype=np.int64)
-    val = np.asarray(val, dtype=np.float64)
-    if compact and len(idx):
-        idx, inv = np.unique(idx, return_inverse=True)
-        val = np.bincount(inv, weights=val)
-        val = val / np.linalg.norm(val)
-    return idx, val
+class Rows:
+    """Sparse rows one after another: places and values of their entries, and the row of each.
+
+    With ``compact`` entries of the same place are summed and each row is scaled to unit length (hashed features).
+    """
+
+    def __init__(self, idx: Sequence, val: Sequence, compact: bool):
+        self.n = len(idx)
+        sizes = np.fromiter(map(len, idx), np.int64, self.n)
+        self.of = np.repeat(np.arange(self.n), sizes)
+        self.at = np.concatenate([np.asarray(i, np.int64) for i in idx]) if self.n else np.zeros(0, np.int64)
+        self.val = np.concatenate([np.asarray(v, np.float64) for v in val]) if self.n else np.zeros(0)
+        if compact and len(self.at):
+            width = int(self.at.max()) + 1
+            key, inverse = np.unique(self.of * width + self.at, return_inverse=True)
+            self.of, self.at, self.val = key // width, key % width, np.bincount(inverse, self.val)
+            self.val = self.val / np.sqrt(np.bincount(self.of, self.val ** 2, self.n))[self.of]
+        self.start = np.searchsorted(self.of, np.arange(self.n + 1))
+
+    def predict(self, W: np.ndarray, b: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Predictions of all weight vectors for the rows from ``first`` to ``last``."""
+        s = slice(self.start[first], self.start[last])
+        of = self.of[s] - first
+        return np.stack([np.bincount(of, w, last - first) for w in W[:, self.at[s]] * self.val[s]]) + b[:, None]
 
 
 def sgd_epoch(rows: pd.DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str], step: int,
-              compact: bool = False) -> int:
-    """One pass over ``rows`` (columns idx, val, y) updating each loss's (w, b) in place."""
-    t0 = _initial_t(losses)
-    for idx, val, y in zip(rows["idx"], rows["val"], rows["y"]):
-        idx, val = compact_row(idx, val, compact)
-        yy = 1.0 if y == 1 else -1.0
-        p = W[:, idx] @ val + b  # all losses at once
-        g = np.array([dloss(loss, x, yy) for loss, x in zip(losses, p)])
-        moves = np.flatnonzero(g)
-        if len(moves):
-            by = g[moves] / (ALPHA * (t0[moves] + step))
-            W[np.ix_(moves, idx)] -= by[:, None] * val
-            b[moves] -= by
-        step += 1
+              compact: bool = False, block: int = BLOCK) -> int:
+    """One pass over ``rows`` (columns idx, val, y) updating each loss's (w, b) in place, row after row.
+
+    Weights are read and written for ``block`` rows at a time. Within a block a row's prediction is what the weights before it give, less
+    the steps of the rows before times their inner products with this one. So the result is that of single rows, while the sparse weights are touched once a block.
+    """
+    t0 = _initial_t(losses).tolist()
+    held = Rows(rows["idx"].tolist(), rows["val"].tolist(), compact)
+    y = np.where(rows["y"].to_numpy() == 1, 1.0, -1.0).tolist()
+    for first in range(0, held.n, block):
+        last = min(first + block, held.n)
+        s = slice(held.start[first], held.start[last])
+        touched, inverse = np.unique(held.at[s], return_inverse=True)
+        dense = np.zeros((last - first, len(touched)))
+        np.add.at(dense, (held.of[s] - first, inverse), held.val[s])
+        p = W[:, touched] @ dense.T + b[:, None]
+        shared = dense @ dense.T + 1.0  # the intercept is an entry of 1 in every row
+        by = np.zeros((len(losses), last - first))
+        for j in range(last - first):
+            now = (p[:, j] - by[:, :j] @ shared[:j, j]).tolist()
+            by[:, j] = [dloss(loss, q, y[first + j]) / (ALPHA * (t + step)) for loss, q, t in zip(losses, now, t0, strict=True)]
+            step += 1
+        W[:, touched] -= by @ dense
+        b -= by.sum(1)
     return step
 
 
 def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
-              init: tuple[np.ndarray, np.ndarray] | None = None,
-              compact: bool = False, step: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+               init: tuple[np.ndarray, np.ndarray] | None = None,
+              compact: bool = False, step: int = 0, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, int]:
     """Fit all losses in one scan of ``df`` (idx array<int>, val array<double>, y int).
 
     ``step`` is the number of steps already made, so the learning rate goes on where the pass before
@@ -163,7 +184,7 @@ def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
         W, b = start.value[0].copy(), start.value[1].copy()
         n, t = 0, step
         for pdf in batches:
-            t = sgd_epoch(pdf, W, b, losses, t, compact)
+            t = sgd_epoch(pdf, W, b, losses, t, compact, block)
             n += len(pdf)
         if n == 0:
             return
@@ -201,10 +222,7 @@ def evaluate(df: DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str]
             out = []
             for g, part in pdf.groupby(by):
                 y = np.where(part["y"].to_numpy() == 1, 1.0, -1.0)
-                rows = [compact_row(i, v, compact) for i, v in zip(part["idx"], part["val"])]
-                owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-                at, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
-                f = np.stack([np.bincount(owner, Wm[k, at] * val, len(rows)) for k in range(len(losses))]) + bm[:, None]
+                f = Rows(part["idx"].tolist(), part["val"].tolist(), compact).predict(Wm, bm, 0, len(part))
                 for k, loss in enumerate(losses):
                     m = f[k] * y
                     out.append((g, loss, int(((f[k] > 0).astype(int) == (y > 0)).sum()),

@@ -96,6 +96,28 @@ def test_mixed_sgd_learns_separable_data(spark):
     assert W1.shape == W.shape
 
 
+def test_blocks_equal_single_rows():
+    # Few rows and small steps: the steep losses of long passes double rounding errors with every row, in any order of summation.
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    losses, dim = list(fv.SGD_LOSSES), 300
+    rows = pd.DataFrame([(rng.choice(dim, n := int(rng.integers(0, 12))), 0.3 * rng.normal(size=n), int(rng.random() < 0.5)) for _ in range(60)], columns=["idx", "val", "y"])
+    for compact in (False, True):
+        want, bias = np.zeros((5, dim)), np.zeros(5)
+        t0, t = sgd._initial_t(losses), 0
+        for idx, val, y in zip(rows["idx"], rows["val"], rows["y"], strict=True):  # plainly, row after row
+            val = val / np.linalg.norm(val) if compact and len(val) else val
+            g = [sgd.dloss(loss, float(w[idx] @ val + c), 1.0 if y else -1.0) / (sgd.ALPHA * (u + t)) for loss, w, c, u in zip(losses, want, bias, t0, strict=True)]
+            for k in range(5):
+                want[k, idx] -= g[k] * val
+                bias[k] -= g[k]
+            t += 1
+        for block in (1, 7, 32, 1000):
+            W, b = np.zeros((5, dim)), np.zeros(5)
+            assert sgd.sgd_epoch(rows, W, b, losses, 0, compact, block) == 60
+            assert np.allclose(W, want, rtol=1e-6, atol=1e-6) and np.allclose(b, bias, rtol=1e-6, atol=1e-6)
+
+
 def test_two_batches_equal_one_continued_pass(spark):
     rng = np.random.default_rng(3)
     rows = [([0, 1, 2], [float(x) for x in rng.normal(size=3)], int(rng.random() < 0.5)) for _ in range(200)]
