@@ -101,7 +101,7 @@ def test_blocks_equal_single_rows():
     import pandas as pd
     rng = np.random.default_rng(5)
     losses, dim = list(fv.SGD_LOSSES), 300
-    rows = pd.DataFrame([(rng.choice(dim, n := int(rng.integers(0, 12))), 0.3 * rng.normal(size=n), int(rng.random() < 0.5)) for _ in range(60)], columns=["idx", "val", "y"])
+    rows = pd.DataFrame([(rng.choice(dim, n := int(rng.integers(0, 12)), replace=False), 0.3 * rng.normal(size=n), int(rng.random() < 0.5)) for _ in range(60)], columns=["idx", "val", "y"])
     for compact in (False, True):
         want, bias = np.zeros((5, dim)), np.zeros(5)
         t0, t = sgd._initial_t(losses), 0
