@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenance_spark.session import checked_broadcast, cut_lineage
+from provenance_spark.session import cut_lineage
 
 BUCKETS = 1024
 #: Rows of an interval that are ranked as they are.
@@ -28,23 +28,31 @@ def _same(by: Sequence[str], state: DataFrame, rows: DataFrame) -> Column:
     return cond
 
 
-def select_ranks(df: DataFrame, value: str, by: Sequence[str], targets: DataFrame, few: int = FEW, buckets: int = BUCKETS) -> DataFrame:
+def _held(small: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A checkpointed table of targets, broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(small) if small.count() <= limit else small
+
+
+def select_ranks(df: DataFrame, value: str, by: Sequence[str], targets: DataFrame, few: int = FEW, buckets: int = BUCKETS,
+                 staged: bool = False) -> DataFrame:
     """``targets`` (the columns ``by``, ``t``, and ``rank`` from 0) with ``value`` at that rank of the group's values in rising order.
 
     Null values don't count, null groups do. Ranks outside a group have no row. NaN stands above all numbers and counts as infinity.
+    The two columns are read several times, so they are checkpointed first unless ``df`` is ``staged`` already.
     """
     keys = [f"_g_{g}" for g in by]
     x = F.col(value)
     if dict(df.dtypes)[value] in ("float", "double"):
         x = F.when(F.isnan(x), F.lit(float("inf"))).otherwise(x)
-    rows = cut_lineage(df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull()))
+    rows = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
+    rows = rows if staged else cut_lineage(rows)
     bounds = rows.groupBy(*[F.col(g).alias(f"_g_{g}") for g in by]).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
     named = targets.select(*by, "t", F.col("rank").cast("long").alias("rank"))
     state = named.join(bounds, _same(by, bounds, named)).where((F.col("rank") >= 0) & (F.col("rank") < F.col("_n")))
     state = cut_lineage(state.select(*keys, "t", "rank", "_lo", "_hi", "_n", F.lit(0).cast("long").alias("_below")))
     open_ = (F.col("_n") > few) & (F.col("_lo") < F.col("_hi"))
     while not state.where(open_).isEmpty():
-        held = checked_broadcast(state.where(open_))
+        held = _held(state.where(open_))
         inside = rows.join(held, _same(by, held, rows) & F.col("_x").between(F.col("_lo"), F.col("_hi")))
         lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
         # halves keep the width finite; a part is never empty at both ends, so every round leaves fewer rows
@@ -59,7 +67,7 @@ def select_ranks(df: DataFrame, value: str, by: Sequence[str], targets: DataFram
         state = cut_lineage(found.unionByName(state.where(~open_)))
     named = [F.col(f"_g_{g}").alias(g) for g in by]
     one = state.where("_lo = _hi").select(*named, "t", "rank", F.col("_lo").alias(value))
-    held = checked_broadcast(state.where("_lo < _hi"))
+    held = _held(state.where("_lo < _hi"))
     inside = rows.join(held, _same(by, held, rows) & F.col("_x").between(F.col("_lo"), F.col("_hi")))
     place = F.row_number().over(Window.partitionBy(*keys, "t").orderBy("_x"))
     few_ = inside.withColumn("_at", place).where(F.col("_at") == F.col("rank") - F.col("_below") + 1)
@@ -68,11 +76,12 @@ def select_ranks(df: DataFrame, value: str, by: Sequence[str], targets: DataFram
 
 def percentiles(df: DataFrame, value: str, by: Sequence[str], shares: Sequence[float], few: int = FEW) -> DataFrame:
     """(by, n, q0, q1, ...): rows and exact percentiles of each group, with linear interpolation between neighbours (numpy's default)."""
-    sizes = cut_lineage(df.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("_m")))
+    rows = cut_lineage(df.select(*by, value))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("_m"))
     at = [F.lit(p) * (F.col("_m") - 1) for p in shares]
     wanted = F.explode(F.array(*[F.struct(F.lit(2 * i + j).alias("t"), F.floor(a + j).cast("long").alias("rank")) for i, a in enumerate(at) for j in (0, 1)]))
     targets = sizes.select(*by, wanted.alias("_w")).select(*by, "_w.t", "_w.rank")
-    found = select_ranks(df, value, by, targets, few)
+    found = select_ranks(rows, value, by, targets, few, staged=True)
     keys = [F.col(g).alias(f"_g_{g}") for g in by]
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("t") == t, F.col(value))).cast("double").alias(f"_v{t}") for t in range(2 * len(shares))])
     joined = sizes.join(wide, _same(by, wide, sizes), "left")
