@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from provenance_spark.functions import fixed_values as fv
 from provenance_spark.operators import detector as det
 from provenance_spark.operators import features as ft
-from provenance_spark.operators import heads, metrics, sgd
+from provenance_spark.operators import heads, metrics, sgd, word_vectors
 from provenance_spark.operators.splits import prepare_datasets
-from provenance_spark.operators.word_vectors import WordVectors
 from provenance_spark.plans.corpus_queries import load_corpus
 from provenance_spark.plans.registry import query
 from provenance_spark.session import cut_lineage, ensure_checkpoint_dir
@@ -41,6 +40,11 @@ def corpus_key(corpus) -> tuple[int, str]:
     return at["n"], cache_key(at["h"], at["n"])
 
 
+def encoder_key(key: str) -> str:
+    """The key of what word vectors give: the corpus and the vectors' parameters."""
+    return cache_key(key, det.DIM, word_vectors.BUCKETS, word_vectors.CONTEXTS, word_vectors.WINDOW, word_vectors.OWN)
+
+
 def prepared(spark, sf_dir):
     """The flagship prepared set, written once for its corpus."""
     corpus = load_corpus(spark, sf_dir)
@@ -49,12 +53,12 @@ def prepared(spark, sf_dir):
 
 def hidden_prepared(spark, sf_dir):
     """The prepared set with its vectors, and the word vectors trained on its train split, both made once."""
-    key = corpus_key(load_corpus(spark, sf_dir))[1]
+    key = encoder_key(corpus_key(load_corpus(spark, sf_dir))[1])
     p = prepared(spark, sf_dir)
     path = f"{stages(spark)}/{cache_key('vectors', key)}"
     if not is_complete(spark, path):
         det.fit_encoder(p.where(F.col("split") == "train")).save(spark, path)
-    encoder = WordVectors.load(spark, path)
+    encoder = word_vectors.WordVectors.load(spark, path)
 
     def build():
         return heads.as_vectors(det.hidden_features(p.select("id", "split", "version", "AI", "text"), encoder).drop("text"), "hidden_state")
@@ -271,6 +275,7 @@ def trained_detector(spark, sf_dir, head: str = "lr", root: str | None = None) -
     root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry"
     registry = ModelRegistry(spark, root)
     n, ckpt = corpus_key(load_corpus(spark, sf_dir))  # which rows the model was trained on
+    ckpt = encoder_key(ckpt)
     h, encoder = hidden_prepared(spark, sf_dir)
     if registry.has_model(head, ckpt, n):
         return det.DetectorModel(encoder, head, registry.load(head, ckpt, n))
