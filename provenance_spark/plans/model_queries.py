@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from provenance_spark.functions import fixed_values as fv
 from provenance_spark.operators import detector as det
 from provenance_spark.operators import features as ft
-from provenance_spark.operators import heads, metrics, sgd, word_vectors
+from provenance_spark.operators import dense, heads, metrics, sgd, word_vectors
 from provenance_spark.operators.splits import prepare_datasets
 from provenance_spark.plans.corpus_queries import load_corpus
 from provenance_spark.plans.registry import query
@@ -120,8 +120,8 @@ def q_ridge_statistics(spark, sf_dir):
 def q_head_dense(spark, sf_dir):
     h, _ = hidden_prepared(spark, sf_dir)
     tr, va, te = _splits(h)
-    a = heads.dense_head(tr, va, te, hidden=(64, 64), head="nn").to_df(spark)
-    b = heads.dense_head(tr, va, te, hidden=(8, 8), iters=(10, 20), head="nn_small").to_df(spark)
+    a = dense.adam_head(tr, va, te, hidden=(64, 64), head="nn").to_df(spark)
+    b = dense.adam_head(tr, va, te, hidden=(8, 8), dropout=0.0, patience=2, epochs=10, head="nn_small").to_df(spark)
     return a.unionByName(b)
 
 
@@ -283,7 +283,7 @@ def trained_detector(spark, sf_dir, head: str = "lr", root: str | None = None) -
     if head == "ridge":
         found = heads.ridge_head(h, "hidden_state")
     elif head == "nn":
-        found = heads.dense_head(tr, va, te)
+        found = dense.adam_head(tr, va, te)
     else:
         found = heads.logistic_head(tr, va, te)
     score = next(p.test_accuracy for p in found.points if p.chosen)

@@ -24,10 +24,13 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
+from provenance_spark.operators.dense import DenseModel
 from provenance_spark.operators.heads import RidgeModel
 from provenance_spark.sources.materialize import cache_key, is_complete, list_files, local_path
 
 COMMIT_SCHEMA = "number long, score double, folder string"
+#: What stands in a folder besides ML pipelines; the columns tell which model it is.
+DENSE_SCHEMA = "layers array<int>, theta array<double>, history array<double>"
 RIDGE_SCHEMA = "coef array<double>, intercept double, alpha double"
 SCORE_SCHEMA = T.StructType([
     T.StructField("head", T.StringType()),
@@ -40,11 +43,14 @@ SCORE_SCHEMA = T.StructType([
 
 
 def save_model(spark: SparkSession, model, path: str) -> None:
-    """An ML model as a ``PipelineModel``; a ridge model as one Parquet row."""
+    """An ML model as a ``PipelineModel``; a ridge model or a dense network as one Parquet row."""
     from pyspark.ml import PipelineModel
     if isinstance(model, RidgeModel):
         row = [([float(x) for x in model.coef], float(model.intercept), float(model.alpha))]
         spark.createDataFrame(row, RIDGE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    elif isinstance(model, DenseModel):
+        row = [([int(n) for n in model.layers], [float(x) for x in model.theta], [float(x) for x in model.history])]
+        spark.createDataFrame(row, DENSE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
     else:
         whole = model if isinstance(model, PipelineModel) else PipelineModel([model])
         whole.write().overwrite().save(path)
@@ -54,7 +60,9 @@ def load_model(spark: SparkSession, path: str):
     """What :func:`save_model` has stored."""
     from pyspark.ml import PipelineModel
     if is_complete(spark, path):
-        row = spark.read.schema(RIDGE_SCHEMA).parquet(path).first()
+        row = spark.read.parquet(path).first()
+        if "theta" in row.asDict():
+            return DenseModel(tuple(row["layers"]), np.array(row["theta"]), list(row["history"]))
         return RidgeModel(np.array(row["coef"]), row["intercept"], row["alpha"])
     return PipelineModel.load(path)
 
