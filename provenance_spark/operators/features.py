@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenance_spark.functions.text import keras_words, ngram_unigrams
+from provenance_spark.operators.heavy_hitters import frequent_terms
 from provenance_spark.operators.positions import boundary_key, rows_before, with_positions
 from provenance_spark.session import checked_broadcast, cut_lineage, shuffle_partitions
 
@@ -64,8 +65,14 @@ def doc_term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def fit_vocabulary(tf: DataFrame, n_docs: int, min_df: int = 1, max_features: int | None = None,
-                   id_col: str = "doc_id") -> DataFrame:
-    """(term, df, cf, term_id, idf) for the kept terms."""
+                   id_col: str = "doc_id", capacity: int | None = None) -> DataFrame:
+    """(term, df, cf, term_id, idf) for the kept terms.
+
+    With ``capacity``, summaries of that many terms a task find the candidates first and only these are counted
+    (``operators.heavy_hitters``): a second pass over ``tf`` for a shuffle that doesn't grow with the distinct terms.
+    """
+    if capacity is not None:
+        tf = frequent_terms(tf, min_df, max_features, capacity)
     stats = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
              .where(F.col("df") >= min_df))
     # one row per kept term; the exact top-k and the term ids below each run jobs over it, which

@@ -140,6 +140,22 @@ def q_tfidf_vocabulary(spark, sf_dir):
     return vocab.select("term", "df", "cf", "term_id", F.round("idf", 6).alias("idf"))
 
 
+#: Terms kept, far fewer than the distinct ones.
+FREQUENT_TERMS = 1 << 12
+
+
+@query("frequent_vocabulary", "F3 L4", f"""
+WITH {TERMS_CTE},
+stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term HAVING count(*) >= {MIN_DF}),
+top AS (SELECT * FROM stats ORDER BY cf DESC, term LIMIT {FREQUENT_TERMS})
+SELECT term, df, cf, row_number() OVER (ORDER BY term) - 1 AS term_id FROM top""")
+def q_frequent_vocabulary(spark, sf_dir):
+    """The vocabulary from bounded summaries and an exact recount of their candidates."""
+    tf = ft.doc_term_counts(docs(spark, sf_dir))
+    vocab = ft.fit_vocabulary(tf, 1, min_df=MIN_DF, max_features=FREQUENT_TERMS, capacity=heavy_hitters.CAPACITY)
+    return vocab.select("term", "df", "cf", "term_id")
+
+
 @query("tfidf_weights", "F1", f"""
 WITH {VOCAB_CTE},
 w AS (SELECT tf.doc_id, v.term_id, tf.tf * v.idf AS w FROM tf JOIN vocab v ON tf.term = v.term)
