@@ -86,10 +86,8 @@ def choose(head: str, models: list, labels: Sequence[str], valid: DataFrame, tes
 FITS_AT_ONCE = 4
 
 
-def predefined_split_search(head: str, estimator, param_maps: list, labels: Sequence[str],
-                            train: DataFrame, valid: DataFrame, test: DataFrame,
-                            label: str = LABEL) -> SearchResult:
-    """M4: fit every grid point on train (``fitMultiple``), pick the first best by valid accuracy."""
+def fit_grid(estimator, param_maps: list, train: DataFrame) -> list:
+    """A model for each grid point."""
     train = train.persist()
     try:
         models: list = [None] * len(param_maps)
@@ -99,7 +97,14 @@ def predefined_split_search(head: str, estimator, param_maps: list, labels: Sequ
                 models[i] = m
     finally:
         train.unpersist()
-    return choose(head, models, labels, valid, test, label)
+    return models
+
+
+def predefined_split_search(head: str, estimator, param_maps: list, labels: Sequence[str],
+                            train: DataFrame, valid: DataFrame, test: DataFrame,
+                            label: str = LABEL) -> SearchResult:
+    """M4: fit every grid point on train (``fitMultiple``), pick the first best by valid accuracy."""
+    return choose(head, fit_grid(estimator, param_maps, train), labels, valid, test, label)
 
 
 def logistic_head(train, valid, test, c_grid=fv.LR_C_GRID, features="features", label=LABEL,
@@ -120,12 +125,15 @@ def logistic_head(train, valid, test, c_grid=fv.LR_C_GRID, features="features",
     return predefined_split_search("lr", lr, maps, [f"C={c:g}" for c in c_grid], train, valid, test, label)
 
 
-def svc_head(train, valid, test, c_grid=fv.SVC_C_GRID, features="features", label=LABEL) -> SearchResult:
-    """M9: linear SVM over a C grid."""
+def svc_head(train, valid, test, c_grid=fv.SVC_C_GRID, features="features", label=LABEL, max_iter: int = 5000) -> SearchResult:
+    """M9: linear SVM over a C grid; the points name the iterations to convergence, and it is an error if ``max_iter`` don't reach it."""
     n = train.count()
-    svc = LinearSVC(featuresCol=features, labelCol=label, standardization=False, maxIter=200)
-    maps = [{svc.regParam: 1.0 / (c * n)} for c in c_grid]
-    return predefined_split_search("svc", svc, maps, [f"C={c:g}" for c in c_grid], train, valid, test, label)
+    svc = LinearSVC(featuresCol=features, labelCol=label, standardization=False, maxIter=max_iter)
+    models = fit_grid(svc, [{svc.regParam: 1.0 / (c * n)} for c in c_grid], train)
+    taken = [m.summary().totalIterations for m in models]
+    if max(taken) >= max_iter:
+        raise RuntimeError(f"no convergence in {max_iter} iterations for C {[c for c, t in zip(c_grid, taken) if t >= max_iter]}")
+    return choose("svc", models, [f"C={c:g},iterations={t}" for c, t in zip(c_grid, taken)], valid, test, label)
 
 
 def forest_head(train, valid, test, n_candidates: int = 5, seed: int = 1, features="features", label=LABEL,
@@ -142,16 +150,6 @@ def forest_head(train, valid, test, n_candidates: int = 5, seed: int = 1, featur
                                    train, valid, test, label)
 
 
-def linear_booster_head(train, valid, test, n_lambdas: int = 15, features="features", label=LABEL) -> SearchResult:
-    """A linear booster is a linear model; an L2 grid of 0, 0.1, 0.2, ... on the features as they are."""
-    n = train.count()
-    lambdas = [k / 10 for k in range(n_lambdas)]
-    lr = LogisticRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False, maxIter=200)
-    maps = [{lr.regParam: lam / n} for lam in lambdas]
-    return predefined_split_search("linear_booster", lr, maps, [f"lambda={x:.4g}" for x in lambdas],
-                                   train, valid, test, label)
-
-
 def dense_head(train, valid, test, hidden: Sequence[int] = (64, 64), iters: Sequence[int] = (50, 100, 150),
                seed: int = 1, features="features", label=LABEL, head: str = "nn") -> SearchResult:
     """M3 / M8: feed-forward network; early stopping becomes growing numbers of iterations scored on

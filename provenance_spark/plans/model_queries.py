@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from provenance_spark.functions import fixed_values as fv
 from provenance_spark.operators import detector as det
 from provenance_spark.operators import features as ft
-from provenance_spark.operators import dense, heads, metrics, sgd, word_vectors
+from provenance_spark.operators import booster, dense, heads, metrics, sgd, word_vectors
 from provenance_spark.operators.splits import prepare_datasets
 from provenance_spark.plans.corpus_queries import load_corpus
 from provenance_spark.plans.registry import query
@@ -132,7 +132,7 @@ def q_extra_heads(spark, sf_dir):
     out = heads.svc_head(tr, va, te).to_df(spark)
     forest = heads.forest_head(tr, va, te, trees=FOREST_TREES, depths=FOREST_DEPTHS)
     out = out.unionByName(forest.to_df(spark))
-    return out.unionByName(heads.linear_booster_head(tr, va, te).to_df(spark))
+    return out.unionByName(booster.booster_head(tr, va, te, "hidden_state").to_df(spark))
 
 
 @query("tfidf_logistic", "M5 F1 F3")

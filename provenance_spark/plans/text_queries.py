@@ -10,6 +10,7 @@ from provenance_spark.functions.sample_lemmas import DEFAULT_LEMMAS
 from provenance_spark.operators import detector as det
 from provenance_spark.operators import encode as enc
 from provenance_spark.operators import features as ft
+from provenance_spark.operators import heavy_hitters
 from provenance_spark.operators import subword as sub
 from provenance_spark.operators import word_vectors as wv
 from provenance_spark.plans import oracle as o
