@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenance_spark.llm.common import bound_batches
-from provenance_spark.session import cut_lineage, shuffle_partitions
+from provenance_spark.session import checked_broadcast, cut_lineage, shuffle_partitions
 
 ARCHIVE_BYTES = 16 << 20
 DICT_BYTES = 64 << 10
@@ -33,6 +33,8 @@ DICT_BYTES = 64 << 10
 TRAIN_BYTES = 4 << 20
 LEVEL = 3
 MIN_REVISIT = 0
+#: Digests of copies that are broadcast at most: 32 characters and an id each, about 30 MB.
+MAX_COPIES = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,12 +49,17 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``(id, url, payload, digest, size, first)``: first is the id a revisit refers to, null for a response."""
+    """``(id, url, payload, digest, size, first)``: first is the id a revisit refers to, null for a response.
+
+    Copies are found on (id, digest, size) alone. Digests that occur twice or more, with their least id, are broadcast up to
+    ``MAX_COPIES`` rows, so payloads stay in the tasks that read them; beyond it payloads meet them in a shuffle.
+    """
     rows = (pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                          F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
             .withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.length("payload").cast("long")))
     copies = (rows.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
               .where("n > 1").select("digest", "least"))
+    copies = checked_broadcast(copies, MAX_COPIES)
     revisit = F.col("least").isNotNull() & ~F.col("id").eqNullSafe(F.col("least"))
     return rows.join(copies, "digest", "left").select(
         "id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("least")).alias("first"))

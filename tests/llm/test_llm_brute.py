@@ -529,3 +529,15 @@ def test_held_out_rule(spark):
     from provenance_spark.llm.common import held_out
     frame = spark.range(200).withColumn("h", held_out(F.col("id"), 5, 0))
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in frame.collect())
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 18])
+def test_warc_copies_are_the_same_broadcast_or_shuffled(spark, monkeypatch, limit):
+    monkeypatch.setattr(warc_zdict, "MAX_COPIES", limit)
+    rows = [(5, "u", "a"), (2, "u", "a"), (9, None, "b"), (None, "v", "b"), (4, "w", None), (3, "w", ""), (3, "w", ""), (7, "x", "c")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    planned = warc_zdict.plan_records(frame, "page_id", "url", "html")
+    assert ("strategy=broadcast" in planned._jdf.queryExecution().analyzed().toString()) == (limit > 0)
+    got = sorted(((r["id"], r["first"], None if r["payload"] is None else bytes(r["payload"])) for r in planned.collect()), key=repr)
+    want = [(5, 2, None), (2, None, b"a"), (9, None, b"b"), (None, 9, None), (4, 3, None), (3, None, b""), (3, None, b""), (7, None, b"c")]
+    assert got == sorted(want, key=repr)
