@@ -117,6 +117,14 @@ def tfidf_vector_stages(vocab_rows: list, input_col: str = "terms", output_col:
     return [cv, scale, norm]
 
 
+def sparse_vectors(rows: DataFrame, dim: int, idx: str = "idx", val: str = "val", output_col: str = "features") -> DataFrame:
+    """Rows of sorted ids and weights as sparse ML vectors of ``dim`` numbers; nothing of the vocabulary is needed any more."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    made = F.udf(lambda i, v: Vectors.sparse(dim, i, v), VectorUDT())
+    return rows.withColumn(output_col, made(idx, val)).drop(idx, val)
+
+
 # ---------------------------------------------------------------- F4-F6 (sequence features)
 
 

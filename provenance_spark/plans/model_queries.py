@@ -137,17 +137,9 @@ def q_extra_heads(spark, sf_dir):
 
 @query("tfidf_logistic", "M5 F1 F3")
 def q_tfidf_logistic(spark, sf_dir):
-    from provenance_spark.functions.text import with_ngram_terms
-    p = prepared(spark, sf_dir)
-    terms = with_ngram_terms(p.select("id", "split", "AI", "text"), "text", "terms").drop("text")
-    tf = ft.doc_term_counts(p.where(F.col("split") == "train").select("id", "text"), id_col="id")
-    n_train = p.where(F.col("split") == "train").count()
-    vocab_rows = ft.fit_vocabulary(tf, n_train, min_df=5, max_features=1 << 18, id_col="id").collect()
-    stages = ft.tfidf_vector_stages(vocab_rows, input_col="terms", output_col="features")
-    vec = terms
-    for s in stages:
-        vec = s.transform(vec)
-    vec = cut_lineage(vec.select("id", "split", "AI", "features"))
+    """The stored TF-IDF rows carry their term ids from a join, so no vocabulary meets the driver."""
+    rows, dim = tfidf_prepared(spark, sf_dir)
+    vec = cut_lineage(ft.sparse_vectors(rows.withColumnRenamed("y", "AI"), dim).select("id", "split", "AI", "features"))
     return heads.logistic_head(*_splits(vec), c_grid=fv.TFIDF_LR_C_GRID, penalize_intercept=True).to_df(spark)
 
 

@@ -154,3 +154,19 @@ def test_word_vectors_of_an_empty_table(spark):
     model.save(spark, path)
     assert (wv.WordVectors.load(spark, path).table == model.table).all()
 
+
+
+def test_joined_tfidf_vectors_equal_those_of_a_collected_vocabulary(spark):
+    from provenance_spark.functions.text import with_ngram_terms
+    from provenance_spark.operators.detector import tfidf_arrays
+    texts = ["the cat sat", "the cat ran off", "a dog sat", "", "unknown words", "the the cat"]
+    df = spark.createDataFrame([(n, "test" if n > 3 else "train", n % 2, t) for n, t in enumerate(texts)], "id long, split string, AI int, text string")
+    rows, dim = tfidf_arrays(df, min_df=1)
+    got = {r["id"]: r["features"] for r in ft.sparse_vectors(rows, dim).collect()}
+    tf = ft.doc_term_counts(df.where("split = 'train'").select("id", "text"), id_col="id")
+    out = with_ngram_terms(df, "text", "terms")
+    for stage in ft.tfidf_vector_stages(ft.fit_vocabulary(tf, 4, min_df=1, max_features=1 << 18, id_col="id").collect()):
+        out = stage.transform(out)
+    want = {r["id"]: r["features"] for r in out.select("id", "features").collect()}
+    assert got.keys() == want.keys() == set(range(6))
+    assert all(got[k].size == want[k].size == dim and abs(got[k].toArray() - want[k].toArray()).max() < 1e-12 for k in got)
