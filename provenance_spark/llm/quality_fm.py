@@ -176,7 +176,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def annotate(docs: DataFrame, machine: Machine, text_col: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with each whole text's score between 0 and 1; a null text scores as an empty one. Rows aren't shuffled."""
+    """``docs`` with each whole text's score between 0 and 1; a null text scores as an empty one. Rows aren't shuffled.
+
+    Texts are scored whole whatever their length, and rows that repeat get the same score each. An empty table gives no rows.
+    All columns stay as they were; one that has the name of the raw text's helper column doesn't clash with it.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(machine)

@@ -258,3 +258,29 @@ def test_rules_awkward_rows(spark):
     for n, kinds in ((3000, 4), (3000, 50), (2, 1), (5, 1)):
         words = [str(rng.randrange(kinds)) for _ in range(n)]
         assert quality_llr.repeated_words([w.encode() for w in words]) == brute_base(" ".join(words))[4]
+
+
+def test_pipeline_stages_on_awkward_and_empty_tables(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(40)
+    first = docs.orderBy("doc_id").first().asDict()
+    odd = [first, {**first, "doc_id": None}, {**first, "doc_id": 900001, "text": None}, {**first, "doc_id": 900002, "text": ""},
+           {**first, "doc_id": 900003, "text": "word " * 50_000, "source": None, "lang": None}]
+    whole = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    whole = whole.withColumn("kept", F.lit("k")).withColumn("found", F.lit(1)).withColumn("language", F.lit("x")).withColumn("component_id", F.lit(2))
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.select("doc_id").collect())
+    for name, stage in stages.items():
+        out, none = stage(spark, whole, SF_SMALL), stage(spark, whole.limit(0), SF_SMALL)
+        assert set(out.columns) - {"epoch"} == set(whole.columns) and none.isEmpty(), name
+        got, before = ids(out), ids(whole)
+        if name == "language ID":
+            assert got == [i for i in before if i[1] not in (900001, 900002)]
+        elif name == "line dedup":
+            assert got == before
+        elif name == "SimHash near-dedup":  # repeated rows become one; a null id stays
+            assert len(set(got)) == len(got) and (True, 0) in got and (False, first["doc_id"]) in got
+        elif name == "benchmark decontamination":
+            assert {(False, 900001), (False, 900002), (False, 900003)} <= set(got)
+        else:
+            assert set(got) <= set(before)
