@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes a stage's rows as Parquet into the shared
 checkpoint folder and reads them again for the next, so a lost executor costs a stage at most. All stages but the last
-return the columns of documents; the last adds ``epoch``.
+return the columns of documents, further columns of any name included; the last adds ``epoch``.
+
+Every stage gives no rows for an empty table, and takes whole texts of any length.
 """
 
 from __future__ import annotations
@@ -18,24 +20,24 @@ from provenance_spark.session import ship_package, workspace_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; null texts and texts without a letter go."""
+    """Documents in which a language is found; null texts and texts without a letter go. Rows that repeat are judged each."""
     ship_package(spark)
     return langid_ppm.known_language(docs, language_model(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without lines that are boilerplate of their source; n_chars follows the text."""
+    """All documents, their texts without lines that are boilerplate of their source; n_chars follows the text. No row goes, null texts included."""
     return line_site.cleaned(docs, HOST).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the least doc_id."""
+    """One document of each group of near copies: the least doc_id. Rows that repeat it are one row; a null doc_id stays."""
     ship_package(spark)
     return simhash_cover.keep_one(docs, shingle=simhash_cover.SHINGLE, radius=simhash_cover.RADIUS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs; null and empty texts hold none."""
     ship_package(spark)
     return decontaminate_ac.clean(docs, table(spark, sf_dir, "benchmark"))
 
