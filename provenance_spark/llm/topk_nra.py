@@ -124,8 +124,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     Rows take part as in ``quantised``; vectors of unequal length count as if the shorter ended in zeros. Ties go to the
     smaller id. An empty table, or one without queries, gives no rows.
 
-    Scores are 64-bit integers: components must be small enough for them (up to about 1e7 at 64 numbers is safe). Beyond the
-    range of a 64-bit integer ``floor`` saturates and sums may wrap around; the order of such vectors is undefined.
+    Scores are 64-bit integers: with n numbers a vector, components below ``sqrt(2^63 / n) / scale`` are safe (5.9e6 for 64
+    numbers and scale 64). Beyond it sums may wrap around, and ``floor`` saturates from 2^63 on; the order of such vectors is undefined.
     """
     spark = vectors.sparkSession
     rows = cut_lineage(quantised(vectors, id_col, vec_col, scale))
