@@ -11,7 +11,7 @@ weights (ST2).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ ALPHA = 1e-4  # scale of the "optimal" learning-rate schedule (there is no penal
 
 #: Rows whose weights are read and written at once. The steps are those of one row after another, whatever the block.
 BLOCK = 32
+#: Rows whose entries a task holds at once as arrays, several for each entry.
+HELD = 256
 
 
 def dloss(loss: str, p: float, y: float) -> float:
@@ -165,6 +167,13 @@ def sgd_epoch(rows: pd.DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence
     return step
 
 
+def pieces(rows: pd.DataFrame, block: int = BLOCK) -> Iterator[pd.DataFrame]:
+    """``rows`` in whole blocks of at most ``HELD`` rows (or one block): what a task unpacks doesn't grow with its Arrow batch."""
+    size = block * max(1, HELD // block)
+    for at in range(0, len(rows), size):
+        yield rows.iloc[at:at + size]
+
+
 def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
                init: tuple[np.ndarray, np.ndarray] | None = None,
               compact: bool = False, step: int = 0, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, int]:
@@ -184,7 +193,8 @@ def mixed_sgd(df: DataFrame, dim: int, losses: Sequence[str] = fv.SGD_LOSSES,
         W, b = start.value[0].copy(), start.value[1].copy()
         n, t = 0, step
         for pdf in batches:
-            t = sgd_epoch(pdf, W, b, losses, t, compact, block)
+            for part in pieces(pdf, block):
+                t = sgd_epoch(part, W, b, losses, t, compact, block)
             n += len(pdf)
         if n == 0:
             return
@@ -222,7 +232,7 @@ def evaluate(df: DataFrame, W: np.ndarray, b: np.ndarray, losses: Sequence[str]
             out = []
             for g, part in pdf.groupby(by):
                 y = np.where(part["y"].to_numpy() == 1, 1.0, -1.0)
-                f = Rows(part["idx"].tolist(), part["val"].tolist(), compact).predict(Wm, bm, 0, len(part))
+                f = np.concatenate([Rows(p["idx"].tolist(), p["val"].tolist(), compact).predict(Wm, bm, 0, len(p)) for p in pieces(part)], axis=1)
                 for k, loss in enumerate(losses):
                     m = f[k] * y
                     out.append((g, loss, int(((f[k] > 0).astype(int) == (y > 0)).sum()),

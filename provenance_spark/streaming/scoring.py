@@ -25,10 +25,13 @@ def score_stream(spark: SparkSession, source: DataFrame, model: DetectorModel, o
 
 
 def conversation_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """The ``conversations`` table read as a file stream (only that file of the folder)."""
+    """The ``conversations`` table read as a file stream: only that table of the folder, whether it is one file or a folder of files.
+
+    The table is named by a pattern: a stream's path may not be a plain file.
+    """
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                            T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
-           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+           .parquet(f"{sf_dir.rstrip('/')}/{{conversations.parquet}}"))
     return (raw.where(F.col("role") != "system")
             .select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))

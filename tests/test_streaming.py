@@ -46,3 +46,27 @@ def test_incremental_replay_leaves_weights_unchanged(spark):
     handler(batch, 1)
     W2, _, last2 = handler.weights()
     assert last2 == 1 and not np.array_equal(W0, W2)
+
+
+def test_conversations_stream_from_a_folder_of_files(spark):
+    base = workspace_path(spark, "tables")
+    rows = read_table(spark, SF_SMALL, "conversations")
+    rows.repartition(3).write.parquet(f"{base}/conversations.parquet")
+    rows.limit(5).write.parquet(f"{base}/other.parquet")
+    q = conversation_stream(spark, base).writeStream.format("memory").queryName("from_folder").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("from_folder").count() == rows.where(F.col("role") != "system").count() > 0
+
+
+def test_a_task_unpacks_few_rows_at_once_with_the_same_steps(spark):
+    import pandas as pd
+    from provenance_spark.operators import sgd
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"idx": [rng.integers(0, 50, 7) for _ in range(700)], "val": [np.ones(7)] * 700, "y": rng.integers(0, 2, 700)})
+    parts = list(sgd.pieces(rows))
+    assert max(map(len, parts)) <= sgd.HELD and sum(map(len, parts)) == 700
+    W, b, V, c, at = np.zeros((5, 50)), np.zeros(5), np.zeros((5, 50)), np.zeros(5), 0
+    sgd.sgd_epoch(rows, W, b, sgd.fv.SGD_LOSSES, 0, True)
+    for p in parts:
+        at = sgd.sgd_epoch(p, V, c, sgd.fv.SGD_LOSSES, at, True)
+    assert np.array_equal(W, V) and np.array_equal(b, c)
