@@ -170,3 +170,40 @@ def test_joined_tfidf_vectors_equal_those_of_a_collected_vocabulary(spark):
     want = {r["id"]: r["features"] for r in out.select("id", "features").collect()}
     assert got.keys() == want.keys() == set(range(6))
     assert all(got[k].size == want[k].size == dim and abs(got[k].toArray() - want[k].toArray()).max() < 1e-12 for k in got)
+
+
+def test_cleaning_steps_stand_once_in_the_plan(spark):
+    from provenance_spark.functions import text as tx
+    df = spark.createDataFrame([(1, " “Cannot” use 3 texts,\n gonna run. "), (2, None), (3, "")], "id long, text string")
+    out = tx.with_clean_text(df, "text", "clean", remove_stopword=True, lemmatize=True)
+    assert [r["clean"] for r in out.orderBy("id").collect()] == ["“ ” use text gon na run", None, ""]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("([«“‘„»”’])") == 1 and plan.count("translate(") == 3  # each named a dozen times before
+
+
+def test_a_small_lemma_table_makes_the_tokens_once(spark):
+    from provenance_spark.operators import features as ft
+    df = spark.createDataFrame([(1, ["uses", "a", "uses"]), (2, None), (3, ["b"]), (None, ["uses"])], "doc_id long, tokens array<string>")
+    out = ft.lemmatize_join(df, spark.createDataFrame([("uses", "use")], "word string, lemma string"))
+    got = {r["doc_id"]: r["tokens"] for r in out.collect()}
+    assert got == {1: ["use", "a", "use"], 2: [], 3: ["b"], None: ["use"]}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_hashed_terms_are_the_hashed_rows_without_lambdas(spark):
+    from pyspark.sql import functions as F
+    from provenance_spark.streaming.incremental import hashed_rows, hashed_terms
+    df = spark.createDataFrame([(1, "aa bb aa bb"), (2, "x"), (3, None), (4, "cc")], "doc_id long, text string")
+    long = sorted(tuple(r) for r in hashed_terms(df, num_features=64).collect())
+    rows = hashed_rows(df, num_features=64).select("doc_id", F.explode("idx").alias("bucket"))
+    assert long == sorted(tuple(r) for r in rows.collect())
+    assert "lambda" not in hashed_terms(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weights_from_texts_equal_weights_of_counts(spark):
+    from provenance_spark.operators import features as ft
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc"), (2, "bb dd"), (None, "aa"), (4, None)], "doc_id long, text string")
+    tf = ft.doc_term_counts(df)
+    vocab = ft.fit_vocabulary(tf, 5, min_df=1)
+    assert sorted(map(str, ft.tfidf_weights(df, vocab).collect())) == sorted(map(str, ft.tfidf_long(tf, vocab).collect()))
