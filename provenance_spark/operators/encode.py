@@ -16,12 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenance_spark.functions import fixed_values as fv
-from provenance_spark.operators.subword import Segmenter
+from provenance_spark.operators.subword import CACHED_WORDS, Segmenter
 from provenance_spark.session import cut_lineage
 
-#: Words whose pieces a worker remembers.
-CACHED_WORDS = 200_000
-
 
 def make_encoder_udf(vocab: Mapping[str, int], max_len: int | None):
     """Pandas UDF: array<string> pre-tokens -> array<int> ids, of fixed length ``max_len`` if it is given."""

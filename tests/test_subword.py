@@ -60,3 +60,20 @@ def test_vocabulary_bound(spark, monkeypatch):
     vocabulary = spark.createDataFrame([("a", False, 1), ("b", False, 2), ("c", False, 3)], "piece string, continues boolean, id int")
     with pytest.raises(ValueError, match="at most"):
         sub.segmented(spark.createDataFrame([("a",)], "word string"), vocabulary)
+
+
+def test_texts_with_their_own_id_cross_no_network(spark):
+    from provenance_spark.operators import subword as sub
+    vocab = spark.createDataFrame([("a", False, 10), ("b", True, 11), ("ab", False, 12)], "piece string, continues boolean, id int")
+    df = spark.createDataFrame([(1, ["ab", "abb", "z", "a"]), (2, None), (3, [])], "doc_id long, tokens array<string>")
+    out = sub.encode_subwords(df, vocab, "doc_id", "tokens")
+    assert {r["doc_id"]: r["input_ids"][1:-1] for r in out.collect()} == {1: [12, 12, 11, sub.fv.UNK_ID, 10], 2: [], 3: []}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_id_are_one_text_by_place(spark):
+    from provenance_spark.operators import subword as sub
+    vocab = spark.createDataFrame([("a", False, 10), ("b", False, 11), ("b", True, 12)], "piece string, continues boolean, id int")
+    df = spark.createDataFrame([(1, ["a", "ab"]), (1, ["b"]), (None, ["b"]), (None, None), (5, ["ab"])], "doc_id long, tokens array<string>")
+    out = sub.encode_subwords(df, vocab, "doc_id", "tokens")
+    assert {r["doc_id"]: r["input_ids"][1:-1] for r in out.collect()} == {1: [10, 11, 10, 12], None: [11], 5: [10, 12]}
