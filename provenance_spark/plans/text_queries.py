@@ -15,9 +15,9 @@ from provenance_spark.operators import subword as sub
 from provenance_spark.operators import word_vectors as wv
 from provenance_spark.plans import oracle as o
 from provenance_spark.plans.registry import query
-from provenance_spark.session import cut_lineage
+from provenance_spark.session import cut_lineage, shuffle_partitions
 from provenance_spark.sources.tables import read_table
-from provenance_spark.streaming.incremental import hashed_rows
+from provenance_spark.streaming.incremental import hashed_terms
 
 LEMMAS = tx.compose_lemma_map(DEFAULT_LEMMAS)
 
@@ -55,13 +55,13 @@ def q_word_tokens(spark, sf_dir):
 @query("stopword_filter", "T5", _tokens_sql(o.remove_stopwords_sql(o.word_tokens_sql(o.clean_basic_sql("text")))))
 def q_stopword_filter(spark, sf_dir):
     d = tx.with_word_tokens(docs(spark, sf_dir), "text", "t")
-    return _tokens_out(d, tx.remove_stopwords(F.col("t")))
+    return _tokens_out(d, tx.staged_pass(F.col("t"), tx.remove_stopwords))
 
 
 @query("lemmatize", "T6", _tokens_sql(o.lemmatize_sql(o.word_tokens_sql(o.clean_basic_sql("text")), LEMMAS)))
 def q_lemmatize(spark, sf_dir):
     d = tx.with_word_tokens(docs(spark, sf_dir), "text", "t")
-    return _tokens_out(d, tx.lemmatize_tokens(F.col("t"), LEMMAS))
+    return _tokens_out(d, tx.staged_pass(F.col("t"), lambda t: tx.lemmatize_tokens(t, LEMMAS)))
 
 
 @query("lemmatize_table", "T6", _tokens_sql(o.lemmatize_sql(o.word_tokens_sql(o.clean_basic_sql("text")), LEMMAS)))
@@ -162,8 +162,8 @@ WITH {VOCAB_CTE},
 w AS (SELECT tf.doc_id, v.term_id, tf.tf * v.idf AS w FROM tf JOIN vocab v ON tf.term = v.term)
 SELECT doc_id, term_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def q_tfidf_weights(spark, sf_dir):
-    tf, vocab = fitted_vocabulary(spark, sf_dir)
-    return ft.tfidf_long(tf, vocab)
+    _, vocab = fitted_vocabulary(spark, sf_dir)
+    return ft.tfidf_weights(docs(spark, sf_dir), vocab)
 
 
 # ---------------------------------------------------------------- sequences
@@ -266,8 +266,9 @@ SELECT CAST('0x' || substr(md5(term), 1, 7) AS BIGINT) % {1 << HASH_BITS} AS buc
 def q_hashed_features(spark, sf_dir):
     """Occurrences and documents of every hash bucket; MD5 here, as DuckDB has no XXH64."""
     digest = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 7), 16, 10).cast("long")
-    rows = hashed_rows(docs(spark, sf_dir), "text", 1 << HASH_BITS, hash_of=digest)
-    each = rows.select("doc_id", F.explode("idx").alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
+    # documents meet by id before they are taken apart: only the texts cross the network
+    d = docs(spark, sf_dir).repartition(shuffle_partitions(spark), "doc_id")
+    each = hashed_terms(d, "doc_id", "text", 1 << HASH_BITS, hash_of=digest).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
     return (each.groupBy(F.col("bucket").cast("long").alias("bucket"))
             .agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")))
 
@@ -322,7 +323,7 @@ SELECT doc_id, array_to_string(list_concat([{fv.CLS_ID}], ids, [{fv.SEP_ID}]), '
 FROM ids""")
 def q_subword_ids(spark, sf_dir):
     """Whole texts as word pieces with their attention mask, here of a vocabulary made by rule."""
-    d = cut_lineage(encoder_words(spark, sf_dir))
+    d = encoder_words(spark, sf_dir)
     counts = d.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     e = sub.encode_subwords(d, sub.frequent_pieces(counts, PIECE_CHARS, PIECE_COUNT), "doc_id", "tokens")
     mask = F.size(F.filter("attention_mask", lambda x: x == 1)).cast("long")
