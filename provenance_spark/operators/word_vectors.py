@@ -36,6 +36,8 @@ SMOOTH = 0.75
 OVERSAMPLE = 16
 POWERS = 2
 BLOCK = 256
+#: Texts whose pairs a task holds at once.
+HELD = 512
 #: One in so many components is a word's own.
 OWN = 4
 
@@ -74,8 +76,8 @@ def cooccurrences(texts: DataFrame, tokens_col: str, buckets: int, contexts: int
     """``(block, m)``: counts of ``BLOCK`` rows by all contexts, as bytes of 64-bit integers. Blocks without counts are missing."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets * contexts, np.int32)
-        for b in batches:
-            ids, lengths = _arrays(b.column(0))
+        for column in (b.column(0).slice(at, HELD) for b in batches for at in range(0, b.num_rows, HELD)):
+            ids, lengths = _arrays(column)
             text = np.repeat(np.arange(len(lengths)), lengths)
             for d in range(1, min(window, len(ids) - 1) + 1):
                 same = text[:-d] == text[d:]
