@@ -30,6 +30,8 @@ from provenance_spark.session import checked_broadcast, cut_lineage
 CAPACITY, MAX_CAPACITY = 1 << 17, 1 << 21
 #: Candidates up to this many are broadcast to the recount; beyond it they are joined by a shuffle.
 MAX_BROADCAST = 1 << 20
+#: Rows that wait for each counter: the counters' terms are hashed again whenever rows join them.
+WAITING = 4
 SCHEMA = "term string, low long, docs long, error long"
 NAMES = ["term", "low", "docs"]
 
@@ -45,7 +47,7 @@ class Candidates:
 
 
 class Summary:
-    """Misra-Gries counters of at most ``capacity`` terms; rows wait until there are as many as counters, then join them at once."""
+    """Misra-Gries counters of at most ``capacity`` terms; rows wait until there are ``WAITING`` times as many as counters, then join them at once."""
 
     def __init__(self, capacity: int):
         self.capacity, self.error, self.waiting, self.rows = capacity, 0, [], 0
@@ -54,7 +56,7 @@ class Summary:
     def add(self, term: pa.Array, tf: pa.Array) -> None:
         self.waiting.append(pa.table({"term": term.cast(pa.string()), "low": tf.cast(pa.int64()), "docs": pa.array(np.ones(len(term), np.int64))}))
         self.rows += len(term)
-        if self.rows >= self.capacity:
+        if self.rows >= WAITING * self.capacity:
             self.settle()
 
     def settle(self) -> None:
