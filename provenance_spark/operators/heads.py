@@ -12,7 +12,7 @@ Model selection follows a predefined split: fit each grid point on ``train``, sc
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenance_spark.functions import fixed_values as fv
+from provenance_spark.operators import wide_logistic
 from provenance_spark.operators.chunks import chunks, sum_chunks
 
 LABEL = "AI"
@@ -72,13 +73,14 @@ def accuracies(models: Sequence, df: DataFrame, label: str = LABEL) -> list[floa
     return [float(x) for x in row]
 
 
-def choose(head: str, models: list, labels: Sequence[str], valid: DataFrame, test: DataFrame, label: str = LABEL) -> SearchResult:
+def choose(head: str, models: list, labels: Sequence[str], valid: DataFrame, test: DataFrame, label: str = LABEL,
+           score: Callable[[Sequence, DataFrame, str], list[float]] = accuracies) -> SearchResult:
     """The first best model by valid accuracy, scored once on test."""
-    scores = accuracies(models, valid, label)
+    scores = score(models, valid, label)
     best = int(np.argmax(scores))  # first maximum wins ties
     res = SearchResult(head, [GridPoint(head, labels[i], scores[i]) for i in range(len(models))], models[best])
     res.points[best].chosen = True
-    res.points[best].test_accuracy = accuracies([models[best]], test, label)[0]
+    res.points[best].test_accuracy = score([models[best]], test, label)[0]
     return res
 
 
@@ -111,18 +113,18 @@ def logistic_head(train, valid, test, c_grid=fv.LR_C_GRID, features="features",
                   penalize_intercept: bool = False, max_iter: int = 5000) -> SearchResult:
     """M1 (and M5 with ``penalize_intercept``): C grid mapped to ``regParam = 1 / (C * n_train)``.
 
-    With ``penalize_intercept`` a constant feature replaces the free intercept (liblinear's rule).
+    With ``penalize_intercept`` a constant feature replaces the free intercept (liblinear's rule), and all grid points are fitted together
+    (:mod:`provenance_spark.operators.wide_logistic`). A constant gets no weight there, as in Spark's fit, so none is added.
     """
     n = train.count()
+    names = [f"C={c:g}" for c in c_grid]
     if penalize_intercept:
-        from pyspark.ml.feature import VectorAssembler
-        add = VectorAssembler(inputCols=[features, "_one"], outputCol="_features_c")
-        train, valid, test = [add.transform(d.withColumn("_one", F.lit(1.0))) for d in (train, valid, test)]
-        features = "_features_c"
+        models = wide_logistic.fit(train, [1.0 / (c * max(n, 1)) for c in c_grid], features, label, max_iter)
+        return choose("lr", models, names, valid, test, label, lambda m, df, y: wide_logistic.accuracies(m, df, features, y))
     lr = LogisticRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False,
-                            fitIntercept=not penalize_intercept, maxIter=max_iter, tol=1e-8)
+                            maxIter=max_iter, tol=1e-8)
     maps = [{lr.regParam: 1.0 / (c * n)} for c in c_grid]
-    return predefined_split_search("lr", lr, maps, [f"C={c:g}" for c in c_grid], train, valid, test, label)
+    return predefined_split_search("lr", lr, maps, names, train, valid, test, label)
 
 
 def svc_head(train, valid, test, c_grid=fv.SVC_C_GRID, features="features", label=LABEL, max_iter: int = 5000) -> SearchResult:
