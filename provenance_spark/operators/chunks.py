@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD
 from pyspark.sql import DataFrame
 
 from provenance_spark.session import shuffle_partitions
 
 #: Numbers in one array row (32 KB).
 CHUNK = 4096
+#: Chunks that meet in a task at least: small sums need few tasks.
+MEET = 16
 
 
 def chunks(vec: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -36,3 +39,12 @@ def sum_chunks(parts: DataFrame) -> DataFrame:
 
     n = shuffle_partitions(parts.sparkSession)
     return parts.repartition(n, "key", "chunk").mapInPandas(add, parts.schema)
+
+
+def total_of(pieces: RDD, size: int, partitions: int) -> np.ndarray:
+    """The sum of vectors of ``size`` numbers whose chunks are in ``pieces``: they meet by number, and the driver gets the sums."""
+    out = np.zeros(size)
+    meet = min(partitions, -(-size // (CHUNK * MEET)))
+    for c, v in pieces.reduceByKey(np.add, meet).collect():
+        out[c * CHUNK:c * CHUNK + len(v)] = v
+    return out

@@ -23,14 +23,12 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenance_spark.operators.chunks import CHUNK, chunks
+from provenance_spark.operators.chunks import chunks, total_of
 from provenance_spark.session import shuffle_partitions
 
 MEMORY, TOLERANCE = 25, 1e-4
 #: Numbers of a block: some megabytes in a task.
 HELD = 1 << 19
-#: Chunks that meet in a task at least: small sums need few tasks.
-MEET = 16
 
 Point = tuple[float, np.ndarray]
 
@@ -99,11 +97,7 @@ def summed(blocks: RDD, add: Callable[..., None], shape: tuple[int, ...], partit
         if total is not None:
             yield from chunks(total.ravel())
 
-    out = np.zeros(int(np.prod(shape)))
-    meet = min(partitions, -(-len(out) // (CHUNK * MEET)))
-    for c, v in blocks.mapPartitions(run).reduceByKey(np.add, meet).collect():  # shape's numbers in all
-        out[c * CHUNK:c * CHUNK + len(v)] = v
-    return out.reshape(shape)
+    return total_of(blocks.mapPartitions(run), int(np.prod(shape)), partitions).reshape(shape)
 
 
 def moments(blocks: RDD, width: int, partitions: int) -> np.ndarray:

@@ -108,3 +108,9 @@ def test_network_is_stored_and_scores_texts(spark):
     words = fit_word_vectors(spark.createDataFrame([(["a", "b", "a"],), (["b", "c"],)], "t array<string>"), "t", 6)
     out = DetectorModel(words, "nn", back).transform(spark.createDataFrame([("a b",), ("",)], "text string")).collect()
     assert all(0 <= r["Probability"] <= 1 and r["Prediction"] for r in out) and len(out) == 2
+
+
+def test_partitions_hold_as_many_replicas_each(spark):
+    df = table(spark, 240)
+    blocks = dense.held(*dense.replicas(dense._rows(df, "features", "AI"), 40))
+    assert blocks.mapPartitions(lambda part: [len(list(part))]).collect() == [1] * 6
